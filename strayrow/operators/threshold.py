@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+METHODS = ("exact", "refine", "approx")
 # Up to this many rows the built-in exact percentile is used: it keeps every
 # distinct value in the memory of one task, which is only safe for a known count.
 PERCENTILE_ROWS = 1_000_000
@@ -31,13 +32,14 @@ def quantiles(
 
     ``probabilities`` maps column names to a probability. ``method="approx"`` takes
     one pass with a bounded sketch, ``"exact"`` gives the interpolated order
-    statistics. ``n`` is the row count if the caller knows it. ``weight`` names a
+    statistics, with the built-in percentile for a small table and by refinement for
+    a large one; ``"refine"`` always refines. ``n`` is the row count if known. ``weight`` names a
     column with the number of times a row counts (exact method only).
     """
     if weight is not None and method == "approx":
         raise ValueError("weights need the exact method")
-    if method not in ("exact", "approx"):
-        raise ValueError("method must be 'exact' or 'approx'")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
     for q in probabilities.values():
         if not 0.0 <= q <= 1.0:
             raise ValueError("a probability lies between 0 and 1")
@@ -49,9 +51,9 @@ def quantiles(
             ]
         ).first()
         return {c: row[c] for c in probabilities}
-    if n is None:
+    if method == "exact" and n is None:
         n = df.count()
-    if n <= PERCENTILE_ROWS:
+    if method == "exact" and n <= PERCENTILE_ROWS:
         copies = F.lit(1) if weight is None else F.col(weight)
         aggs = [F.percentile(F.col(c), q, copies).alias(c) for c, q in probabilities.items()]
         values = df.agg(*aggs).first()
