@@ -6,12 +6,17 @@ is lazy. Doubles are rounded on both sides.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from datetime import datetime
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from strayrow.functions import columns as fc
 from strayrow.operators import (
     autoencoder,
@@ -29,7 +34,7 @@ from strayrow.operators import (
     threshold,
 )
 from strayrow.plans.pipeline import FittedPipeline, Pipeline, load_detector, save_detector
-from strayrow.session import new_path
+from strayrow.session import new_path, ship_package
 from strayrow.sources import csv, predictions, split_json
 from strayrow.streaming import scoring
 
@@ -144,6 +149,17 @@ def faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Shared shapes of results
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]):
+    """The query, run after the executors were given the package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def r(col: Column | str, name: str, places: int = 6) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, places).alias(name)
 
@@ -490,7 +506,7 @@ def pipeline_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All eight detectors on the averages of the orders, with both kinds of training options."""
+    """All eight detectors, fitted and applied together."""
     rows = part(spark, sf_dir)
     return (
         Pipeline("standard")
@@ -528,6 +544,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Parts flagged by several detectors after min-max scaling."""
+    ship_package(spark)
     rows = part(spark, "/root/testdata/sf0.001")
     return (
         Pipeline()
@@ -541,7 +558,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    every = {
         "scale_minmax": scaled_part("minmax"),
         "scale_standard": scaled_part("standard"),
         "contamination_threshold": contamination_threshold,
@@ -592,6 +609,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flag_eight": flag_eight,
         "stream_score": stream_score,
     }
+    return {name: shipped(query) for name, query in every.items()}
 
 
 # SQL for the comparison
@@ -824,8 +842,8 @@ def oracle_sql() -> dict[str, str]:
             WITH days AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS k,
                                  sum(value) AS s FROM events GROUP BY 1),
             ends AS (SELECT min(k) AS k1, max(k) AS k2, arg_min(s, k) AS s1, arg_max(s, k) AS s2 FROM days),
-            dist AS (SELECT k, abs((k2 + 1 - k1) * (s1 - s) - (s2 - s1) * (0 - (k - k1)))
-                            / sqrt((k2 + 1 - k1) ** 2 + (s2 - s1) ** 2) AS d FROM days, ends)
+            dist AS (SELECT k, abs((k2 - k1 + 2) * (s1 - s) - (s2 - s1) * (0 - (k - k1)))
+                            / sqrt((k2 - k1 + 2) ** 2 + (s2 - s1) ** 2) AS d FROM days, ends)
             SELECT CAST(k AS INTEGER) AS k, round(d, 6) AS distance FROM dist ORDER BY d DESC, k LIMIT 1""",
         "knn_join_self": f"WITH {EMB}, {emb_pairs()} {wide_distances('nn', 'vec_id')}",
         "knn_metric_p1": f"WITH {EMB}, {emb_pairs('p1')} {wide_distances('nn', 'vec_id')}",

@@ -58,13 +58,12 @@ def sum_vectors(partials: DataFrame, column: str) -> np.ndarray:
     The result has the length of one array (a model's parameters), whatever the
     number of rows.
     """
-    rows = (
+    sums = (
         partials.select(F.posexplode(column).alias("pos", "x"))
         .groupBy("pos")
         .agg(F.sum("x").alias("x"))
-        .collect()
+        .toArrow()
     )
-    total = np.zeros(len(rows))
-    for row in rows:
-        total[row["pos"]] = row["x"]
+    total = np.zeros(sums.num_rows)
+    total[sums["pos"].to_numpy()] = sums["x"].to_numpy()
     return total

@@ -103,8 +103,9 @@ def elbow_curve(
 def elbow_distances(curve: DataFrame) -> DataFrame:
     """Distance of every ``(k, score)`` point to the line from the first to the last score.
 
-    Points stand at x = 0, 1, … in the order of k; the line ends one step beyond
-    the last k. The ends are single values of an aggregate over the short curve.
+    Points stand at x = 0, 1, … from the first k on; the line ends at the number of
+    clusters the curve stops before, counted from 1. The ends are single values of an
+    aggregate over the short curve.
     """
     ends = curve.agg(
         F.min("k").alias("k1"),
@@ -117,7 +118,7 @@ def elbow_distances(curve: DataFrame) -> DataFrame:
         F.col("score"),
         F.lit(0.0),
         F.lit(float(ends["s1"])),
-        F.lit(float(ends["k2"] + 1 - ends["k1"])),
+        F.lit(float(ends["k2"] - ends["k1"] + 2)),
         F.lit(float(ends["s2"])),
     )
     return curve.select("k", "score", distance.alias("distance"))

@@ -24,6 +24,7 @@ from strayrow.operators.base import RowModel, ThresholdRule
 from strayrow.operators.frame import fit_rows
 from strayrow.operators.stats import FeatureStats, collect_stats
 from strayrow.operators.threshold import contamination_threshold, quantiles
+from strayrow.session import spread
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 LANDMARKS = 256
@@ -264,9 +265,10 @@ def fit_one_class_svm(
     seed: int = 0,
     on_null: str = "error",
 ) -> OneClassSvm:
-    rows = fit_rows(df, [], features, on_null).persist(StorageLevel.MEMORY_AND_DISK)
+    source = fit_rows(df, [], features, on_null)
+    stats = collect_stats(source, features)
+    rows = spread(source, stats.n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = collect_stats(rows, features)
         model = fit_plane(
             rows, features, stats, contamination, kernel, degree, gamma, coef0, tol,
             n_landmarks, max_iter, seed,

@@ -18,6 +18,7 @@ from strayrow.operators.scale import SCALERS, Scaler, scaler_from_stats
 from strayrow.operators.stats import FeatureStats, collect_stats
 from strayrow.operators.threshold import check_contamination, quantiles
 from strayrow.plans.detectors import DETECTORS, detector
+from strayrow.session import spread
 from strayrow.sources import state
 
 OUTPUTS = ("wide", "long")
@@ -59,7 +60,7 @@ class Pipeline:
         raw = collect_stats(rows, features, with_cov="pca_mahalanobis" in self.specs)
         scaler = scaler_from_stats(raw, features, self.scaler)
         stats = raw.affine(scaler.shift, scaler.scale)
-        scaled = scaler.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        scaled = spread(scaler.transform(rows), stats.n).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             models = {
                 key: self._shape(key, spec, scaled, features, ids, stats)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Tables up to this size are spread over all cores before heavy work per row.
+SMALL_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, n: int) -> DataFrame:
+    """Even out a small table that a few files would leave on a few cores.
+
+    A large table keeps the partitions it has: it has plenty, and moving it costs more.
+    """
+    if n > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, for sessions started without it on their path.
+
+    The same as naming a zip of it in ``--py-files``; once per Spark application.
+    """
+    context = spark.sparkContext
+    name = f"strayrow-{context.applicationId}.zip"
+    if any(f.endswith(name) for f in context.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strayrow-")) / name
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
