@@ -273,7 +273,7 @@ def labelled_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gaussian_epsilon_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled_probabilities(spark, sf_dir)
+    rows = labelled_probabilities(spark, sf_dir).persist()
     epsilon, f1 = gaussian.search_epsilon(rows, "p", "y")
     return gaussian.confusion(rows, "p", "y", epsilon).select(
         r(F.lit(epsilon), "epsilon", 12), r(F.lit(f1), "best_f1"), "fp", "fn", "tp"

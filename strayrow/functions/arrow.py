@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +25,10 @@ def to_lists(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(matrix.ravel()))
 
 
-def all_present(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
+def _filled(parts: tuple[pd.Series, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature matrix of a batch, and which rows have all cells; a null cell arrives as NaN."""
+    matrix = np.column_stack([p.to_numpy(dtype=np.float64) for p in parts])
+    return matrix, ~np.isnan(matrix).any(axis=1)
 
 
 def row_function(kernel: Callable[[np.ndarray], np.ndarray], cols: list[Column]) -> Column:
@@ -35,10 +36,11 @@ def row_function(kernel: Callable[[np.ndarray], np.ndarray], cols: list[Column])
 
     @F.pandas_udf("double")
     def apply(*parts: pd.Series) -> pd.Series:
-        matrix = np.column_stack([p.to_numpy(dtype=np.float64) for p in parts])
-        return pd.Series(kernel(matrix))
+        matrix, filled = _filled(parts)
+        # Spark stores the NaN of a row with a missing cell as null.
+        return pd.Series(np.where(filled, kernel(matrix), np.nan))
 
-    return F.when(all_present(cols), apply(*cols))
+    return apply(*cols)
 
 
 def row_array_function(kernel: Callable[[np.ndarray], np.ndarray], cols: list[Column]) -> Column:
@@ -46,18 +48,27 @@ def row_array_function(kernel: Callable[[np.ndarray], np.ndarray], cols: list[Co
 
     @F.pandas_udf("array<double>")
     def apply(*parts: pd.Series) -> pd.Series:
-        matrix = np.column_stack([p.to_numpy(dtype=np.float64) for p in parts])
-        return pd.Series(list(kernel(matrix)))
+        matrix, filled = _filled(parts)
+        rows = zip(kernel(matrix), filled)
+        return pd.Series([list(row) if whole else None for row, whole in rows], dtype=object)
 
-    return F.when(all_present(cols), apply(*cols))
+    return apply(*cols)
 
 
-def sum_vectors(partials: DataFrame, column: str) -> np.ndarray:
-    """Elementwise sum of an array column, added up by Spark position by position.
+# Up to this many vectors are added on the driver.
+FEW_VECTORS = 64
 
-    The result has the length of one array (a model's parameters), whatever the
-    number of rows.
+
+def sum_vectors(partials: DataFrame, column: str, pieces: int | None = None) -> np.ndarray:
+    """Elementwise sum of an array column of equal lengths, a model's parameters.
+
+    ``pieces`` is the number of rows if the caller knows it. Few rows come to the
+    driver as they are; otherwise Spark adds them up position by position, and the
+    driver gets one vector whatever their number.
     """
+    if pieces is not None and pieces <= FEW_VECTORS:
+        lists = partials.select(column).toArrow()[column].combine_chunks()
+        return lists.flatten().to_numpy().reshape(len(lists), -1).sum(axis=0)
     sums = (
         partials.select(F.posexplode(column).alias("pos", "x"))
         .groupBy("pos")

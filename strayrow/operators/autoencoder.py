@@ -84,7 +84,9 @@ class Autoencoder(ThresholdRule, RowModel):
         )
 
 
-def _epoch(rows, names, network, optimizer_name, batch_size, weights, memory, counters, salt):
+def _epoch(
+    rows, names, tasks, network, optimizer_name, batch_size, weights, memory, counters, salt
+):
     """One pass over the rows: mean weights, memory and counters, training and validation loss."""
     size, slots = len(weights), len(memory)
     start = (weights, memory, counters)
@@ -113,7 +115,7 @@ def _epoch(rows, names, network, optimizer_name, batch_size, weights, memory, co
         out = np.concatenate([out, [trained, loss, held, held_loss]])
         yield pa.RecordBatch.from_arrays([to_lists(out[None, :])], names=["v"])
 
-    total = sum_vectors(rows.mapInArrow(run, "v array<double>"), "v")
+    total = sum_vectors(rows.mapInArrow(run, "v array<double>"), "v", tasks)
     trained, loss, held, held_loss = total[-4:]
     mean = total[:-4] / trained
     return (
@@ -197,8 +199,8 @@ def fit_network(
     try:
         for epoch in range(epochs):
             after = _epoch(
-                rows, features, network, optimizer, batch_size, weights, memory, counters,
-                (seed, epoch),
+                rows, features, tasks, network, optimizer, batch_size, weights, memory,
+                counters, (seed, epoch),
             )
             held = after[4]
             # The held-out rows are scored with the weights an epoch starts from, which

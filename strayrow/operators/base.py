@@ -8,12 +8,14 @@ the training table, so its score comes from a join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any, ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strayrow.operators import neighbours as nn
 from strayrow.operators.frame import as_list, feature_columns
 
 
@@ -70,4 +72,40 @@ class RowModel(Fitted):
 
 
 class JoinModel(Fitted):
-    pass
+    """Scores come from the nearest training rows, found through ``index``."""
+
+    index: nn.PointIndex
+    n_neighbors: int
+    method: str
+
+    def add_score(self, found: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
+        """Score column for a table of ids, ``neighbours`` and columns that are passed on."""
+        raise NotImplementedError
+
+    def score(self, df: DataFrame, id_col: str | Sequence[str], on_null: str = "error") -> DataFrame:
+        ids = as_list(id_col)
+        rows = df.select(
+            *[F.col(f"`{c}`") for c in ids], *feature_columns(df, self.features, on_null)
+        )
+        complete, missing = split_missing(rows, self.features, on_null)
+        found = nn.neighbours(complete, ids, self.index, self.n_neighbors, self.method)
+        scored = self.add_score(found, ids, "score").select(*ids, "score")
+        return with_missing(scored, missing)
+
+
+def split_missing(
+    rows: DataFrame, features: Sequence[str], on_null: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """Complete rows, and the rows with a missing cell if those are skipped."""
+    if on_null != "skip":
+        return rows, None
+    missing = reduce(lambda a, b: a | b, [F.col(f"`{f}`").isNull() for f in features])
+    return rows.filter(~missing), rows.filter(missing)
+
+
+def with_missing(scored: DataFrame, missing: DataFrame | None) -> DataFrame:
+    """Add the rows with a missing cell again; what they lack is null."""
+    if missing is None:
+        return scored
+    known = [c for c in scored.columns if c in missing.columns]
+    return scored.unionByName(missing.select(*known), allowMissingColumns=True)

@@ -16,6 +16,7 @@ from strayrow.functions.arrow import row_function
 from strayrow.operators.base import RowModel, ThresholdRule
 from strayrow.operators.frame import as_list, fit_rows
 from strayrow.operators.threshold import contamination_threshold
+from strayrow.session import spread
 
 SAMPLE_ROWS = 256
 EULER_GAMMA = 0.5772156649015329
@@ -52,20 +53,21 @@ class IsolationForest(ThresholdRule, RowModel):
     threshold: float = float("nan")
 
     def score_column(self, cells: Sequence[Column]) -> Column:
-        roots, feature, cut = self.roots, self.feature, self.cut
-        left, right, path = self.left, self.right, self.path
+        roots, feature, cut, path = self.roots, self.feature, self.cut, self.path
+        children = np.ravel(np.column_stack([self.left, self.right]))
         scale = max(float(average_path(self.sample_rows)), 1e-300) * len(roots)
         depth = max(1, math.ceil(math.log2(max(self.sample_rows, 2))))
 
         def score(matrix: np.ndarray) -> np.ndarray:
             total = np.zeros(len(matrix))
-            rows = np.arange(len(matrix))
+            cells, width = np.ravel(matrix), matrix.shape[1]
+            first_cell = np.arange(len(matrix)) * width
             for root in roots:
                 at = np.full(len(matrix), root)
                 for _ in range(depth):
-                    goes_left = matrix[rows, feature[at]] <= cut[at]
-                    at = np.where(goes_left, left[at], right[at])
-                total += path[at]
+                    goes_right = cells.take(first_cell + feature.take(at)) > cut.take(at)
+                    at = children.take(2 * at + goes_right)
+                total += path.take(at)
             return np.exp2(-total / scale)
 
         return row_function(score, list(cells))
@@ -232,6 +234,7 @@ def fit_isolation_forest(
     n = rows.count()
     if n == 0:
         raise ValueError("cannot fit on an empty table")
+    rows = spread(rows, n)
     model = fit_trees(rows, features, id_col, n, n_estimators, max_features, bootstrap, seed)
     scores = rows.select(model.score_column([F.col(f"`{f}`") for f in features]).alias("score"))
     return replace(model, threshold=contamination_threshold(scores, "score", contamination, n))

@@ -38,11 +38,6 @@ def check_numeric(df: DataFrame, features: Sequence[str]) -> None:
             raise ValueError(f"feature {name!r} is not numeric")
 
 
-def missing_cell(col: Column) -> Column:
-    value = col.cast("double")
-    return value.isNull() | F.isnan(value)
-
-
 def feature_columns(df: DataFrame, features: Sequence[str], on_null: str = "error") -> list[Column]:
     """Double columns of the features with nulls and NaN handled.
 
@@ -54,12 +49,13 @@ def feature_columns(df: DataFrame, features: Sequence[str], on_null: str = "erro
     check_numeric(df, features)
     out = []
     for name in features:
-        col = F.col(f"`{name}`")
+        cell = f"CAST(`{name}` AS DOUBLE)"
+        bad = "NULL"
         if on_null == "error":
-            bad = F.raise_error(F.lit(f"feature {name} has a null or NaN cell")).cast("double")
-        else:
-            bad = F.lit(None).cast("double")
-        out.append(F.when(missing_cell(col), bad).otherwise(col.cast("double")).alias(name))
+            text = name.replace("\\", "\\\\").replace("'", "\\'")
+            bad = f"raise_error('feature {text} has a null or NaN cell')"
+        checked = f"CASE WHEN {cell} IS NULL OR isnan({cell}) THEN {bad} ELSE {cell} END"
+        out.append(F.expr(checked).alias(name))
     return out
 
 

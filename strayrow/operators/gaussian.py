@@ -171,5 +171,11 @@ def fit_gaussian(
     rows = fit_rows(df, keep, features, on_null)
     model = from_stats(collect_stats(rows, features), features)
     scored = rows.select(*keep, model.score_column([F.col(f"`{f}`") for f in features]).alias("p"))
-    epsilon, _ = search_epsilon(scored, "p", label_col, epsilon_candidates)
+    if label_col is not None:
+        # With labels the probabilities are read twice; without, once.
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        epsilon, _ = search_epsilon(scored, "p", label_col, epsilon_candidates)
+    finally:
+        scored.unpersist()
     return with_epsilon(model, epsilon)

@@ -147,11 +147,8 @@ def fit_centroids(
         raise ValueError("n_clusters must be at least 1")
     if n_clusters == 1:
         return KMeansModel(tuple(features), _single_cluster(df, features)[0][None, :])
-    vectors = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _fit(vectors, n_clusters, seed, max_iter)
-    finally:
-        vectors.unpersist()
+    # Spark ML keeps its own copy of the vectors while it iterates.
+    model = _fit(_vectors(df, features), n_clusters, seed, max_iter)
     return KMeansModel(tuple(features), np.array(model.clusterCenters()))
 
 
@@ -165,8 +162,13 @@ def fit_kmeans(
     max_iter: int = 20,
     on_null: str = "error",
 ) -> KMeansModel:
-    rows = fit_rows(df, [], features, on_null)
-    model = fit_centroids(rows, features, n_clusters, max_cluster_elbow, seed, max_iter)
-    scores = rows.select(model.score_column([F.col(f"`{f}`") for f in features]).alias("score"))
-    cut = contamination_threshold(scores, "score", contamination)
+    rows = fit_rows(df, [], features, on_null).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = fit_centroids(rows, features, n_clusters, max_cluster_elbow, seed, max_iter)
+        scores = rows.select(
+            model.score_column([F.col(f"`{f}`") for f in features]).alias("score")
+        )
+        cut = contamination_threshold(scores, "score", contamination)
+    finally:
+        rows.unpersist()
     return KMeansModel(model.features, model.centroids, cut)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strayrow.functions import columns as fc
 from strayrow.operators import neighbours as nn
 from strayrow.operators.base import JoinModel, ThresholdRule
-from strayrow.operators.frame import as_list, feature_columns, fit_rows
+from strayrow.operators.frame import as_list, fit_rows
 from strayrow.operators.threshold import contamination_threshold
 
 
@@ -28,17 +28,9 @@ class KNearest(ThresholdRule, JoinModel):
     def features(self) -> tuple[str, ...]:
         return self.index.features
 
-    def score(self, df: DataFrame, id_col: str | Sequence[str], on_null: str = "error") -> DataFrame:
-        ids = as_list(id_col)
-        keep = [F.col(f"`{c}`") for c in ids]
-        rows = df.select(*keep, *feature_columns(df, self.features, on_null))
-        complete = rows.dropna(subset=list(self.features)) if on_null == "skip" else rows
-        found = nn.neighbours(complete, ids, self.index, self.n_neighbors, self.method)
-        scored = found.select(
-            *keep,
-            fc.neighbour_score(nn.distances(), self.n_neighbors, self.score_func).alias("score"),
-        )
-        return with_missing(scored, rows, ids, self.features) if on_null == "skip" else scored
+    def add_score(self, found: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
+        score = fc.neighbour_score(nn.distances(), self.n_neighbors, self.score_func)
+        return found.withColumn(name, score)
 
     def state(self):
         settings = {
@@ -63,19 +55,6 @@ class KNearest(ThresholdRule, JoinModel):
         )
 
 
-def with_missing(
-    scored: DataFrame, rows: DataFrame, ids: Sequence[str], features: Sequence[str]
-) -> DataFrame:
-    """Add the rows with a missing cell again, with a null score."""
-    missing = F.lit(False)
-    for f in features:
-        missing = missing | F.col(f"`{f}`").isNull()
-    blank = rows.filter(missing).select(
-        *[F.col(f"`{c}`") for c in ids], F.lit(None).cast("double").alias("score")
-    )
-    return scored.unionByName(blank)
-
-
 def fit_knn(
     df: DataFrame,
     features: Sequence[str],
@@ -87,17 +66,19 @@ def fit_knn(
     contamination: float = 0.1,
     method: str = "auto",
     on_null: str = "error",
+    graph: nn.NeighbourGraph | None = None,
 ) -> KNearest:
+    """``graph`` is a neighbour graph of the same rows, if there is one already."""
     if score_func not in fc.SCORE_FUNCS:
         raise ValueError(
             f"unknown score function {score_func!r}, choose from {', '.join(fc.SCORE_FUNCS)}"
         )
-    rows = fit_rows(df, as_list(id_col), features, on_null)
-    index = nn.build_index(rows, features, id_col, metric, p)
-    scores = nn.self_neighbours(index, n_neighbors, method).select(
+    if graph is None:
+        rows = fit_rows(df, as_list(id_col), features, on_null)
+        graph = nn.build_graph(rows, features, id_col, n_neighbors, metric, p, method)
+    index = graph.index
+    scores = graph.nearest(n_neighbors).select(
         "w", fc.neighbour_score(nn.distances(), n_neighbors, score_func).alias("score")
     )
-    if index.n_rows > 1_000_000:
-        scores = nn.materialize(scores, "knn-scores")
     cut = contamination_threshold(scores, "score", contamination, index.n_rows, weight="w")
     return KNearest(index, n_neighbors, score_func, cut, method)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.functions.arrow import to_lists, to_matrix
-from strayrow.functions.distance import metric_order, nearest, pairwise
+from strayrow.functions.distance import MATRIX_CELLS, metric_order, nearest, pairwise
 from strayrow.operators.frame import as_list
 from strayrow.session import materialize
 
@@ -35,8 +35,8 @@ BROADCAST_POINTS = 20_000
 BROADCAST_BYTES = 16 << 20
 # Points aimed at per cell; the number of pivots is bounded, beyond it cells grow.
 CELL_POINTS = 4096
-MAX_PIVOTS = 16_384
-PIVOT_BYTES = 64 << 20
+MAX_PIVOTS = 65_536
+PIVOT_BYTES = 32 << 20
 # Bytes of feature values in one block of points or of asking rows.
 BLOCK_BYTES = 32 << 20
 # Relative allowance for rounding when a bound decides that a cell is skipped.
@@ -127,20 +127,55 @@ def neighbours(
     index: PointIndex,
     k: int,
     method: str = "auto",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Id columns of ``df`` and ``neighbours``: the k closest training rows, ascending.
 
-    A row equal to a training row finds it at distance zero.
+    A row equal to a training row finds it at distance zero. Columns named in
+    ``carry`` stay with their rows.
     """
     ids = as_list(id_col)
     check_k(k, index.n_rows)
-    rows = df.select(*[F.col(f"`{c}`") for c in ids], feature_array(index.features).alias("f"))
+    kept = [F.col(f"`{c}`") for c in [*ids, *carry]]
+    rows = df.select(*kept, feature_array(index.features).alias("f"))
     if chosen_method(index, method) == "broadcast":
         return _ask_everywhere(rows, index, k, exclude_self=False)
     distinct = rows.groupBy("f").agg(F.min(point_id(ids)).alias("qid")).select("qid", "f")
     found = _ask_cells(distinct, index, k, exclude_self=False)
     back = found.join(distinct, "qid").select("f", "neighbours")
-    return rows.join(back, "f").select(*[F.col(f"`{c}`") for c in ids], "neighbours")
+    return rows.join(back, "f").select(*kept, "neighbours")
+
+
+@dataclass(frozen=True)
+class NeighbourGraph:
+    """Training points with their ``k`` neighbours, stored; shared by detectors of one metric."""
+
+    index: PointIndex
+    graph: DataFrame
+    k: int
+    method: str
+
+    def nearest(self, k: int) -> DataFrame:
+        """``pid``, ``w`` and the first ``k`` neighbours."""
+        check_k(k, self.k)
+        first = F.col("neighbours") if k == self.k else F.slice("neighbours", 1, k)
+        return self.graph.select("pid", "w", first.alias("neighbours"))
+
+
+def build_graph(
+    df: DataFrame,
+    features: Sequence[str],
+    id_col: str | Sequence[str],
+    k: int,
+    metric: str = "minkowski",
+    p: float = 2,
+    method: str = "auto",
+) -> NeighbourGraph:
+    """Graph for up to ``k`` neighbours, or all others if the table has fewer rows."""
+    index = build_index(df, features, id_col, metric, p)
+    k = max(1, min(k, index.n_rows - 1))
+    graph = materialize(self_neighbours(index, k, method), "graph")
+    return NeighbourGraph(index, graph, k, method)
 
 
 def self_neighbours(index: PointIndex, k: int, method: str = "auto") -> DataFrame:
@@ -396,13 +431,14 @@ def _reachable(known: DataFrame, index: PointIndex, need: int) -> DataFrame:
     def bound_from_cells(matrix: np.ndarray) -> np.ndarray:
         """A distance within which enough points must lie, from the cells alone."""
         out = np.empty(len(matrix))
-        for s in range(0, len(matrix), 256):
-            upper = pairwise(matrix[s : s + 256], cells.pivots, order) + high
+        step = max(1, MATRIX_CELLS // len(cells.pivots))
+        for s in range(0, len(matrix), step):
+            upper = pairwise(matrix[s : s + step], cells.pivots, order) + high
             by = np.argsort(upper, axis=1)
             enough = np.cumsum(weight[by], axis=1) >= need
             at = np.argmax(enough, axis=1)
             rows = np.arange(len(upper))
-            out[s : s + 256] = np.where(enough[rows, at], upper[rows, by[rows, at]], np.inf)
+            out[s : s + step] = np.where(enough[rows, at], upper[rows, by[rows, at]], np.inf)
         return out
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

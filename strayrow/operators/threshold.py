@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,20 @@ def _by_refinement(
     Every step counts buckets (combined before the shuffle) and goes on inside the
     bucket that holds the wanted rank, so no task ever holds many values.
     """
+    names = list(probabilities)
+    kept = df.select(*names, *([weight] if weight else []))
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return _refine(kept, probabilities, weight)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _refine(kept, probabilities, weight)
+    finally:
+        kept.unpersist()
+
+
+def _refine(
+    df: DataFrame, probabilities: Mapping[str, float], weight: str | None
+) -> dict[str, float]:
     names = list(probabilities)
     copies = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")
     long = df.select(

@@ -10,7 +10,7 @@ from strayrow.operators import autoencoder, forest, gaussian, kmeans, knn, lof,
 from strayrow.operators.base import Fitted
 
 # Arguments every fit function takes from its caller, not from the detector's settings.
-GIVEN = {"df", "features", "id_col", "label_col", "on_null"}
+GIVEN = {"df", "features", "id_col", "label_col", "on_null", "graph"}
 
 
 @dataclass(frozen=True)

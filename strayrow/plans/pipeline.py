@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.operators import autoencoder, forest, gaussian, kmeans, knn, lof, pca, svm
-from strayrow.operators.base import Fitted, NotTrainedError, RowModel
+from strayrow.operators import neighbours as nn
+from strayrow.operators.base import (
+    Fitted,
+    NotTrainedError,
+    RowModel,
+    split_missing,
+    with_missing,
+)
 from strayrow.operators.frame import as_list, feature_columns, fit_rows
 from strayrow.operators.scale import SCALERS, Scaler, scaler_from_stats
 from strayrow.operators.stats import FeatureStats, collect_stats
@@ -22,6 +29,8 @@ from strayrow.session import spread
 from strayrow.sources import state
 
 OUTPUTS = ("wide", "long")
+KNN = knn.KNearest.key
+LOF = lof.LocalOutlierFactor.key
 
 
 class Pipeline:
@@ -62,22 +71,39 @@ class Pipeline:
         stats = raw.affine(scaler.shift, scaler.scale)
         scaled = spread(scaler.transform(rows), stats.n).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            graph = self._shared_graph(scaled, features, ids)
             models = {
-                key: self._shape(key, spec, scaled, features, ids, stats)
+                key: self._shape(key, spec, scaled, features, ids, stats, graph)
                 for key, spec in self.specs.items()
             }
+            if graph is not None:
+                # The table of the one has all columns the other needs.
+                models[KNN] = replace(models[KNN], index=models[LOF].index)
             models = self._set_cuts(models, scaled, features, label_col, stats.n)
         finally:
             scaled.unpersist()
         self.fitted = FittedPipeline(scaler, tuple(ids), models)
         return self.fitted
 
+    def _shared_graph(self, scaled: DataFrame, features, ids) -> nn.NeighbourGraph | None:
+        """One neighbour graph for both detectors that need one, if their metric is the same."""
+        if KNN not in self.specs or LOF not in self.specs:
+            return None
+        one, other = self.specs[KNN], self.specs[LOF]
+        order = nn.metric_order(one["metric"], one["p"])
+        if order != nn.metric_order(other["metric"], other["p"]) or one["method"] != other["method"]:
+            return None
+        k = max(one["n_neighbors"], other["n_neighbors"])
+        return nn.build_graph(scaled, features, ids, k, one["metric"], one["p"], one["method"])
+
     def flag(self, df: DataFrame, output: str = "wide", on_null: str = "error") -> DataFrame:
         if self.fitted is None:
             raise NotTrainedError("the pipeline has not been fitted")
         return self.fitted.flag(df, output, on_null)
 
-    def _shape(self, key, spec, scaled: DataFrame, features, ids, stats: FeatureStats) -> Fitted:
+    def _shape(
+        self, key, spec, scaled: DataFrame, features, ids, stats: FeatureStats, graph
+    ) -> Fitted:
         """A fitted detector; those that score single rows still lack their cut."""
         if "contamination" in spec:
             check_contamination(spec["contamination"])
@@ -94,8 +120,8 @@ class Pipeline:
             return forest.fit_trees(scaled, features, ids, stats.n, **rest)
         if key == "one_class_svm":
             return svm.fit_plane(scaled, features, stats, spec["contamination"], **rest)
-        fit = knn.fit_knn if key == "knearest_neighbors" else lof.fit_lof
-        return fit(scaled, features, ids, **spec)
+        fit = knn.fit_knn if key == KNN else lof.fit_lof
+        return fit(scaled, features, ids, **spec, graph=graph)
 
     def _set_cuts(self, models, scaled: DataFrame, features, label_col, n: int):
         by_row = {k: m for k, m in models.items() if isinstance(m, RowModel)}
@@ -135,20 +161,37 @@ class FittedPipeline:
         return self.scaler.features
 
     def score(self, df: DataFrame, on_null: str = "error") -> DataFrame:
-        """Id columns, and ``<detector>_score`` and ``<detector>`` (the flag) per detector."""
+        """Id columns, and ``<detector>_score`` and ``<detector>`` (the flag) per detector.
+
+        Rows pass through once: what single rows tell is one projection, and detectors
+        that compare with the same training points share one neighbour join.
+        """
         ids = [F.col(f"`{c}`") for c in self.ids]
         cells = df.select(*ids, *feature_columns(df, self.features, on_null))
         scaled = self.scaler.transform(cells)
         columns = [F.col(f"`{f}`") for f in self.features]
         by_row = {k: m for k, m in self.models.items() if isinstance(m, RowModel)}
-        out = scaled.select(
-            *ids, *[m.score_column(columns).alias(f"{k}_score") for k, m in by_row.items()]
-        )
-        for key, model in self.models.items():
-            if key not in by_row:
-                found = model.score(scaled, self.ids, on_null)
-                found = found.withColumnRenamed("score", f"{key}_score")
-                out = found if out.columns == list(self.ids) else out.join(found, list(self.ids), "left")
+        by_join = [(k, m) for k, m in self.models.items() if k not in by_row]
+        missing = None
+        if by_join:
+            scaled, missing = split_missing(scaled, self.features, on_null)
+        scores = [m.score_column(columns).alias(f"{k}_score") for k, m in by_row.items()]
+        done = [f"{k}_score" for k in by_row]
+        out = scaled.select(*ids, *columns, *scores)
+        while by_join:
+            first = by_join[0][1]
+            group = [
+                (k, m) for k, m in by_join if m.index is first.index and m.method == first.method
+            ]
+            by_join = [pair for pair in by_join if pair not in group]
+            ahead = [*done, *(self.features if by_join else ())]
+            most = max(m.n_neighbors for _, m in group)
+            out = nn.neighbours(out, self.ids, first.index, most, first.method, carry=ahead)
+            # The factor gathers the edges of a row again, so it comes last.
+            for key, model in sorted(group, key=lambda pair: pair[0] == LOF):
+                out = model.add_score(out, self.ids, f"{key}_score")
+                done.append(f"{key}_score")
+        out = with_missing(out.select(*ids, *done), missing)
         return out.select(
             *ids,
             *[F.col(f"{k}_score") for k in self.models],
@@ -178,11 +221,17 @@ class FittedPipeline:
         created = datetime.now(timezone.utc)
         arrays = {"shift": self.scaler.shift, "scale": self.scaler.scale}
         state.write_arrays(spark, arrays, f"{path}/scaler")
+        shared = self._share_points()
         records = {
-            key: state.write_parts(spark, model, f"{path}/{key}")
+            key: state.write_parts(spark, model, f"{path}/{key}", with_tables=not (shared and key == KNN))
             for key, model in self.models.items()
         }
-        settings = {"scaler": self.scaler.kind, "ids": list(self.ids), "detectors": records}
+        settings = {
+            "scaler": self.scaler.kind,
+            "ids": list(self.ids),
+            "detectors": records,
+            "shared_points": shared,
+        }
         state.write_metadata(
             spark, path, model_id, created, created, self.models, self.features, settings
         )
@@ -198,14 +247,28 @@ class FittedPipeline:
             np.asarray(arrays["shift"]),
             np.asarray(arrays["scale"]),
         )
+        shared = settings["shared_points"]
         models = {
             key: state.read_parts(
-                spark, DETECTORS[key].kind, settings["detectors"][key], f"{path}/{key}"
+                spark,
+                DETECTORS[key].kind,
+                settings["detectors"][key],
+                f"{path}/{key}",
+                tables_path=f"{path}/{LOF}" if shared and key == KNN else None,
             )
             for key in meta["models"]
         }
+        if shared:
+            models[KNN] = replace(models[KNN], index=models[LOF].index)
         return cls(scaler, tuple(settings["ids"]), models)
 
+    def _share_points(self) -> bool:
+        return (
+            KNN in self.models
+            and LOF in self.models
+            and self.models[KNN].index is self.models[LOF].index
+        )
+
 
 def save_detector(spark: SparkSession, model: Fitted, path: str, model_id: str) -> None:
     """Store one detector on its own."""

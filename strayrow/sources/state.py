@@ -43,18 +43,31 @@ def read_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return {r["name"]: np.array(r["cells"], dtype=float).reshape(r["shape"]) for r in rows}
 
 
-def write_parts(spark: SparkSession, model: Fitted, path: str) -> dict[str, Any]:
-    """Write the arrays and tables of a detector; its settings are returned."""
+def write_parts(
+    spark: SparkSession, model: Fitted, path: str, with_tables: bool = True
+) -> dict[str, Any]:
+    """Write the arrays and tables of a detector; its settings are returned.
+
+    Without tables, another detector has stored the same ones.
+    """
     settings, arrays, tables = model.state()
     write_arrays(spark, arrays, f"{path}/arrays")
-    for name, table in tables.items():
+    for name, table in tables.items() if with_tables else ():
         table.write.parquet(f"{path}/{name}")
     return {"settings": settings, "tables": sorted(tables)}
 
 
-def read_parts(spark: SparkSession, kind: type[Fitted], record: dict[str, Any], path: str) -> Fitted:
+def read_parts(
+    spark: SparkSession,
+    kind: type[Fitted],
+    record: dict[str, Any],
+    path: str,
+    tables_path: str | None = None,
+) -> Fitted:
     arrays = read_arrays(spark, f"{path}/arrays")
-    tables = {name: read_table(spark, f"{path}/{name}") for name in record["tables"]}
+    tables = {
+        name: read_table(spark, f"{tables_path or path}/{name}") for name in record["tables"]
+    }
     return kind.restore(record["settings"], arrays, tables)
 
 
