@@ -9,6 +9,10 @@ METRICS = ("minkowski", "euclidean", "manhattan", "chebyshev")
 MATRIX_CELLS = 1 << 21
 # From this width on, a matrix product preselects the neighbours.
 PRODUCT_WIDTH = 16
+# From this number of narrower points on, a block is cut into cells first.
+CELL_SEARCH_POINTS = 1024
+# Relative allowance for rounding when a bound decides that a cell is skipped.
+BOUND_SLACK = 1e-9
 
 
 def metric_order(metric: str = "minkowski", p: float = 2) -> float:
@@ -95,11 +99,10 @@ def nearest(
         limit = np.full(len(queries), np.inf)
     # A query can lose one copy to itself, so one more point is looked at.
     take = min(k + int(exclude_self), len(points))
-    step = max(1, MATRIX_CELLS // max(len(points), 1))
+    cut_up = len(points) >= CELL_SEARCH_POINTS and points.shape[1] < PRODUCT_WIDTH
+    search = _cell_search if cut_up else _plain_search
     out = []
-    for start in range(0, len(queries), step):
-        part = slice(start, start + step)
-        rows, cols, distance = _candidates(queries[part], points, take, order, limit[part])
+    for rows, cols, distance in search(queries, points, take, order, limit):
         by = np.lexsort((cols, distance, rows))
         rows, cols, distance = rows[by], cols[by], distance[by]
         copies = np.minimum(weights[cols], k + 1)
@@ -111,8 +114,70 @@ def nearest(
         distance = np.repeat(distance, copies)
         position = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
         keep = position < k
-        out.append((rows[keep] + start, cols[keep], distance[keep]))
+        out.append((rows[keep], cols[keep], distance[keep]))
     if not out:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0)
-    return tuple(np.concatenate(parts) for parts in zip(*out))
+    rows, cols, distance = (np.concatenate(parts) for parts in zip(*out))
+    by = np.argsort(rows, kind="stable")
+    return rows[by], cols[by], distance[by]
+
+
+def _plain_search(queries, points, take, order, limit):
+    """Candidates of a part of the queries at a time, compared with all points."""
+    step = max(1, MATRIX_CELLS // max(len(points), 1))
+    for start in range(0, len(queries), step):
+        part = slice(start, start + step)
+        rows, cols, distance = _candidates(queries[part], points, take, order, limit[part])
+        yield rows + start, cols, distance
+
+
+def _closest(rows, pivots, order):
+    """Nearest pivot of every row, and the distance to it."""
+    at, reach = np.empty(len(rows), dtype=np.int64), np.empty(len(rows))
+    step = max(1, MATRIX_CELLS // len(pivots))
+    for start in range(0, len(rows), step):
+        d = pairwise(rows[start : start + step], pivots, order)
+        best = np.argmin(d, axis=1)
+        at[start : start + step] = best
+        reach[start : start + step] = d[np.arange(len(d)), best]
+    return at, reach
+
+
+def _cell_search(queries, points, take, order, limit):
+    """Candidates of the queries around one pivot at a time, compared with the cells in reach.
+
+    The cells next to the pivot bound how far the neighbours of its queries can be;
+    the triangle inequality then tells which cells matter.
+    """
+    pivots = points[:: max(1, round(np.sqrt(len(points))))]
+    cell, reach = _closest(points, pivots, order)
+    members = np.argsort(cell, kind="stable")
+    counts = np.bincount(cell, minlength=len(pivots))
+    starts = np.r_[0, np.cumsum(counts)]
+    radius = np.full(len(pivots), -np.inf)
+    np.maximum.at(radius, cell, reach)
+    between = pairwise(pivots, pivots, order)
+    home, away = _closest(queries, pivots, order)
+    for c in np.unique(home):
+        mine = np.flatnonzero(home == c)
+        near = np.argsort(between[c], kind="stable")
+        enough = np.searchsorted(np.cumsum(counts[near]), take) + 1
+        seeds = np.concatenate([members[starts[j] : starts[j + 1]] for j in near[:enough]])
+        furthest = 0.0
+        step = max(1, MATRIX_CELLS // len(seeds))
+        for start in range(0, len(mine), step):
+            part = mine[start : start + step]
+            d = np.partition(pairwise(queries[part], points[seeds], order), take - 1, axis=1)
+            furthest = max(furthest, np.minimum(d[:, take - 1], limit[part]).max())
+        allowed = (furthest + away[mine].max()) * (1 + BOUND_SLACK) + BOUND_SLACK * between[c]
+        reachable = np.flatnonzero(between[c] - radius <= allowed)
+        if not len(reachable):
+            continue
+        # In the order of the points, so that equal distances keep it.
+        among = np.sort(np.concatenate([members[starts[j] : starts[j + 1]] for j in reachable]))
+        fewer = min(take, len(among))
+        for rows, cols, distance in _plain_search(
+            queries[mine], points[among], fewer, order, limit[mine]
+        ):
+            yield mine[rows], among[cols], distance

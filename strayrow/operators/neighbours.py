@@ -25,7 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.functions.arrow import to_lists, to_matrix
-from strayrow.functions.distance import MATRIX_CELLS, metric_order, nearest, pairwise
+from strayrow.functions.distance import (
+    BOUND_SLACK,
+    MATRIX_CELLS,
+    metric_order,
+    nearest,
+    pairwise,
+)
 from strayrow.operators.frame import as_list
 from strayrow.session import materialize
 
@@ -39,8 +45,7 @@ MAX_PIVOTS = 65_536
 PIVOT_BYTES = 32 << 20
 # Bytes of feature values in one block of points or of asking rows.
 BLOCK_BYTES = 32 << 20
-# Relative allowance for rounding when a bound decides that a cell is skipped.
-BOUND_SLACK = 1e-9
+BROADCAST_BLOCKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -503,16 +508,20 @@ def _ask_blocks(
     shares = visits.groupBy("block").agg(
         F.ceil(F.count(F.lit(1)) / index.rows_per_block).cast("int").alias("shares")
     )
-    tasks = max(1, min(int(index.cells["first"][-1]), 20_000))
+    blocks = int(index.cells["first"][-1])
+    # One short row per block; with very many blocks the join is left to Spark.
+    if blocks <= BROADCAST_BLOCKS:
+        shares = F.broadcast(shares)
+    tasks = max(1, min(blocks, 20_000))
     tasks = max(tasks, asking.sparkSession.sparkContext.defaultParallelism)
     left = (
-        visits.join(F.broadcast(shares), "block")
+        visits.join(shares, "block")
         .withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares").cast("long")).cast("int"))
         .select("block", "share", "qid", "f", "bound")
         .repartition(tasks, "block", "share")
     )
     right = (
-        placed.join(F.broadcast(shares), "block")
+        placed.join(shares, "block")
         .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         # Fresh column identities: in a self-join both sides read the same table.
         .select(*[F.col(c).alias(c) for c in ("block", "share", "pid", "f", "w")])

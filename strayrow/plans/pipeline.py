@@ -23,7 +23,7 @@ from strayrow.operators.base import (
 from strayrow.operators.frame import as_list, feature_columns, fit_rows
 from strayrow.operators.scale import SCALERS, Scaler, scaler_from_stats
 from strayrow.operators.stats import FeatureStats, collect_stats
-from strayrow.operators.threshold import check_contamination, quantiles
+from strayrow.operators.threshold import METHODS, check_contamination, quantiles
 from strayrow.plans.detectors import DETECTORS, detector
 from strayrow.session import spread
 from strayrow.sources import state
@@ -31,15 +31,20 @@ from strayrow.sources import state
 OUTPUTS = ("wide", "long")
 KNN = knn.KNearest.key
 LOF = lof.LocalOutlierFactor.key
+# Detectors that follow from the statistics and need the rows for their cut only.
+FROM_STATISTICS = {pca.PcaMahalanobis.key, gaussian.Gaussian.key}
 
 
 class Pipeline:
     """Detectors to be fitted together, in the order they were added."""
 
-    def __init__(self, scaler: str = "minmax"):
+    def __init__(self, scaler: str = "minmax", threshold_method: str = "exact"):
         if scaler not in SCALERS:
             raise ValueError(f"unknown scaler {scaler!r}, choose from {', '.join(SCALERS)}")
+        if threshold_method not in METHODS:
+            raise ValueError(f"threshold_method must be one of {', '.join(METHODS)}")
         self.scaler = scaler
+        self.threshold_method = threshold_method
         self.specs: dict[str, dict] = {}
         self.fitted: FittedPipeline | None = None
 
@@ -69,7 +74,9 @@ class Pipeline:
         raw = collect_stats(rows, features, with_cov="pca_mahalanobis" in self.specs)
         scaler = scaler_from_stats(raw, features, self.scaler)
         stats = raw.affine(scaler.shift, scaler.scale)
-        scaled = spread(scaler.transform(rows), stats.n).persist(StorageLevel.MEMORY_AND_DISK)
+        scaled = scaler.transform(rows)
+        if set(self.specs) - FROM_STATISTICS:
+            scaled = spread(scaled, stats.n).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             graph = self._shared_graph(scaled, features, ids)
             models = {
@@ -138,7 +145,7 @@ class Pipeline:
                 for k in by_row
                 if "contamination" in self.specs[k]
             }
-            cuts = quantiles(scores, shares, n) if shares else {}
+            cuts = quantiles(scores, shares, n, self.threshold_method) if shares else {}
             done = {k: replace(models[k], threshold=cut) for k, cut in cuts.items()}
             key = gaussian.Gaussian.key
             if key in by_row:

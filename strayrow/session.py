@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
+# Tables written by materialize, per Spark application, until release.
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +41,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     nothing in executor memory and survives lost executors.
     """
     path = new_path(df.sparkSession, label)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the derived tables this application wrote with :func:`materialize`.
+
+    Fitted neighbour models and results that are not written yet still read them, so
+    this comes last; a saved model keeps its own copy. Gives the number of tables.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for text in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(hadoop).delete(path, True)
+    return len(paths)
+
+
 # Tables up to this size are spread over all cores before heavy work per row.
 SMALL_ROWS = 1_000_000
 
@@ -57,6 +74,11 @@ def spread(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def spread_pieces(df: DataFrame, n: int) -> int | None:
+    """Number of partitions :func:`spread` left, if it moved the table."""
+    return None if n > SMALL_ROWS else df.sparkSession.sparkContext.defaultParallelism
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, for sessions started without it on their path.
 

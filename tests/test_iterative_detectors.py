@@ -122,9 +122,25 @@ def test_copies_on_the_cut(spark):
     x[:100] = [3.0, 3.0]
     mapping = svm.KernelMap("linear", 1.0, 0.0, 3, np.zeros((0, 0)), np.zeros((0, 0)))
     normal = np.array([-1.0, -1.0])
-    got = svm._lowest_mean(table(spark, x), ["f0", "f1"], mapping, normal, 0.3, 300)
+    df, names = table(spark, x), ["f0", "f1"]
     s = x @ normal
-    assert got @ normal == pytest.approx(np.sort(s)[:90].mean())
+    want = np.sort(s)[:90].mean()
+    for edges in (
+        svm._exact_edges(df, names, mapping, normal, 0.3),
+        svm._edges(s, 0.3),
+        np.array([-6.5, -5.9, 10.0]),
+    ):
+        got, missed = svm._lowest_mean(df, names, mapping, normal, 0.3, 300, edges)
+        assert want - 1e-9 <= got @ normal <= want + missed + 1e-9
+    assert svm._lowest_mean(df, names, mapping, normal, 0.3, 300, np.array([-9.0])) is None
+
+
+def test_wrong_bands_fall_back_to_all_rows(spark, planted, monkeypatch):
+    right = svm.fit_one_class_svm(planted, F4, 0.1)
+    monkeypatch.setattr(svm, "_edges", lambda scores, share: np.array([scores.min() - 1.0]))
+    other = svm.fit_one_class_svm(planted, F4, 0.1)
+    a, b = (m.normal / np.linalg.norm(m.normal) for m in (right, other))
+    assert a @ b > 0.999
 
 
 def test_shortest_vector_in_a_hull():

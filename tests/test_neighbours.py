@@ -87,6 +87,22 @@ def test_kernel_ties_limits_and_weights():
     assert len(r) == 0
 
 
+@pytest.mark.parametrize("order", [1.0, 2.0, 3.0, np.inf])
+@pytest.mark.parametrize("without_self", [False, True])
+def test_search_in_cells_equals_the_plain_search(order, without_self, monkeypatch):
+    rng = np.random.default_rng(12)
+    points = np.unique(np.vstack([crowded(rng, 900, 2), rng.integers(0, 9, (80, 2))]), axis=0)
+    w = rng.integers(1, 4, len(points))
+    queries = points if without_self else np.vstack([crowded(rng, 200, 2), [[1e3, -1e3]]])
+    limit = np.where(rng.random(len(queries)) < 0.3, 0.5, np.inf)
+    found = []
+    for size in (1, 10**9):
+        monkeypatch.setattr(distance, "CELL_SEARCH_POINTS", size)
+        found.append(distance.nearest(queries, points, w, 6, order, without_self, limit))
+    for a, b in zip(*found):
+        assert np.array_equal(a, b)
+
+
 def test_metric_names():
     assert distance.metric_order("minkowski", 3) == 3.0
     assert distance.metric_order("chebyshev") == np.inf

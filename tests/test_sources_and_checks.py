@@ -8,6 +8,7 @@ import pytest
 from conftest import table
 from pyspark.sql import functions as F
 
+from strayrow import session
 from strayrow.operators import frame
 from strayrow.session import new_path
 from strayrow.sources import csv, predictions, split_json
@@ -124,3 +125,18 @@ def test_predictions_replace_themselves(spark):
     assert predictions.read(spark, path, "m").count() == 6
     one = predictions.read(spark, path, "m", "a")
     assert one.count() == 3 and one.first()["prediction_date"] == when
+
+
+def test_release_deletes_derived_tables(spark):
+    kept = new_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    derived = session.materialize(spark.range(5), "derived")
+    assert derived.count() == 5
+    assert session.release(spark) >= 1 and session.release(spark) == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(derived.inputFiles()[0]).count()
+    assert spark.read.parquet(kept).count() == 3
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
