@@ -205,6 +205,16 @@ def per_row(
     return rows.join(values, "f").drop("f")
 
 
+def join_points(edges: DataFrame, points: DataFrame, on: str, index: PointIndex) -> DataFrame:
+    """Bring columns of the training points to the edges that name them.
+
+    The optimizer does not see that exploded neighbours are many times their rows, so
+    the side to send is named here: the points if they are few, otherwise neither.
+    """
+    side = F.broadcast(points) if index.fits_broadcast() else points.hint("merge")
+    return edges.join(side, on)
+
+
 def distances(neighbour_column: str = "neighbours") -> Column:
     return F.transform(F.col(neighbour_column), lambda x: x["distance"])
 

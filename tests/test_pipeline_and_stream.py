@@ -8,7 +8,7 @@ import pytest
 from conftest import by_id, table
 from pyspark.sql import functions as F
 
-from strayrow.operators import knn, lof, pca
+from strayrow.operators import knn, lof, neighbours, pca
 from strayrow.operators.base import NotTrainedError
 from strayrow.plans.detectors import DETECTORS
 from strayrow.plans.pipeline import FittedPipeline, Pipeline, load_detector, save_detector
@@ -221,3 +221,16 @@ def test_detectors_on_one_feature(spark):
     model = Pipeline().add("pca_mahalanobis", n_components=1).add("gaussian_distribution").add("kmeans", n_clusters=1)
     found = model.fit(table(spark, x), ["f0"], "id").flag(table(spark, x)).toPandas()
     assert found.sort_values("id").iloc[-1][list(model.specs)].all()
+
+
+def test_edges_are_never_broadcast(spark, planted, monkeypatch):
+    names = ["f0", "f1", "f2", "f3"]
+
+    def plan(limit):
+        monkeypatch.setattr(neighbours, "BROADCAST_POINTS", limit)
+        scored = lof.fit_lof(planted, names, "id").score(planted, "id")
+        return scored._jdf.queryExecution().executedPlan().toString()
+
+    few, many = plan(10_000), plan(10)
+    assert "BroadcastHashJoin" in few and "BuildRight" in few and "BuildLeft" not in few
+    assert "SortMergeJoin" in many
