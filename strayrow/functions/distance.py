@@ -144,40 +144,66 @@ def _closest(rows, pivots, order):
     return at, reach
 
 
+def within_reach(to_pivots, to_own, low, high, bound):
+    """Which cells can hold a point no farther from the row than its bound.
+
+    ``to_pivots`` holds the distances of every row to the pivots of the cells, and
+    ``to_own`` the one to its nearest pivot. Points of a cell lie between ``low`` and
+    ``high`` from their pivot, and no other pivot is closer to them, so their distance
+    to the row is at least half of what their pivot is farther than the row's own.
+    """
+    gap = np.maximum(to_pivots - high, low - to_pivots)
+    np.maximum(gap, (to_pivots - to_own[:, None]) / 2, out=gap)
+    return gap <= bound[:, None] * (1 + BOUND_SLACK) + BOUND_SLACK * to_pivots
+
+
 def _cell_search(queries, points, take, order, limit):
     """Candidates of the queries around one pivot at a time, compared with the cells in reach.
 
-    The cells next to the pivot bound how far the neighbours of its queries can be;
-    the triangle inequality then tells which cells matter.
+    A query without a limit takes the distance it needs to the cells next to its pivot
+    as its bound.
     """
     pivots = points[:: max(1, round(np.sqrt(len(points))))]
     cell, reach = _closest(points, pivots, order)
     members = np.argsort(cell, kind="stable")
     counts = np.bincount(cell, minlength=len(pivots))
     starts = np.r_[0, np.cumsum(counts)]
-    radius = np.full(len(pivots), -np.inf)
-    np.maximum.at(radius, cell, reach)
+    low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    np.minimum.at(low, cell, reach)
+    np.maximum.at(high, cell, reach)
     between = pairwise(pivots, pivots, order)
+
+    def rows_of(cells):
+        return np.concatenate([members[starts[j] : starts[j + 1]] for j in cells])
+
     home, away = _closest(queries, pivots, order)
     for c in np.unique(home):
         mine = np.flatnonzero(home == c)
-        near = np.argsort(between[c], kind="stable")
-        enough = np.searchsorted(np.cumsum(counts[near]), take) + 1
-        seeds = np.concatenate([members[starts[j] : starts[j + 1]] for j in near[:enough]])
-        furthest = 0.0
-        step = max(1, MATRIX_CELLS // len(seeds))
+        bound = limit[mine].copy()
+        open_ = np.flatnonzero(np.isinf(bound))
+        if len(open_):
+            near = np.argsort(between[c], kind="stable")
+            enough = np.searchsorted(np.cumsum(counts[near]), take) + 1
+            seeds = rows_of(near[:enough])
+            step = max(1, MATRIX_CELLS // len(seeds))
+            for start in range(0, len(open_), step):
+                part = open_[start : start + step]
+                d = pairwise(queries[mine[part]], points[seeds], order)
+                bound[part] = np.partition(d, take - 1, axis=1)[:, take - 1]
+        reachable = np.empty((len(mine), len(pivots)), dtype=bool)
+        step = max(1, MATRIX_CELLS // len(pivots))
         for start in range(0, len(mine), step):
-            part = mine[start : start + step]
-            d = np.partition(pairwise(queries[part], points[seeds], order), take - 1, axis=1)
-            furthest = max(furthest, np.minimum(d[:, take - 1], limit[part]).max())
-        allowed = (furthest + away[mine].max()) * (1 + BOUND_SLACK) + BOUND_SLACK * between[c]
-        reachable = np.flatnonzero(between[c] - radius <= allowed)
-        if not len(reachable):
+            part = slice(start, start + step)
+            d = pairwise(queries[mine[part]], pivots, order)
+            reachable[part] = within_reach(d, away[mine[part]], low, high, bound[part])
+        asking = reachable.any(axis=1)
+        mine, bound = mine[asking], bound[asking]
+        if not len(mine):
             continue
         # In the order of the points, so that equal distances keep it.
-        among = np.sort(np.concatenate([members[starts[j] : starts[j + 1]] for j in reachable]))
-        fewer = min(take, len(among))
-        for rows, cols, distance in _plain_search(
-            queries[mine], points[among], fewer, order, limit[mine]
-        ):
+        among = np.sort(rows_of(np.flatnonzero(reachable.any(axis=0))))
+        if not len(among):
+            continue
+        found = _plain_search(queries[mine], points[among], min(take, len(among)), order, bound)
+        for rows, cols, distance in found:
             yield mine[rows], among[cols], distance

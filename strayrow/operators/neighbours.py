@@ -31,6 +31,7 @@ from strayrow.functions.distance import (
     metric_order,
     nearest,
     pairwise,
+    within_reach,
 )
 from strayrow.operators.frame import as_list
 from strayrow.session import materialize
@@ -289,16 +290,34 @@ class _Cells:
     order: float
 
     def assign(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell of every row and the distance to its pivot."""
-        cell = np.empty(len(matrix), dtype=np.int32)
-        reach = np.empty(len(matrix))
-        top = np.argmin(pairwise(matrix, self.coarse, self.order), axis=1)
-        for c in np.unique(top):
-            at = np.flatnonzero(top == c)
-            d = pairwise(matrix[at], self.pivots[self.members[c]], self.order)
-            best = np.argmin(d, axis=1)
-            cell[at] = self.members[c][best]
-            reach[at] = d[np.arange(len(at)), best]
+        """Nearest pivot of every row and the distance to it.
+
+        The pivots of the nearest group come first; other groups are looked at only
+        where they can hold a closer one.
+        """
+        cell = np.zeros(len(matrix), dtype=np.int32)
+        reach = np.full(len(matrix), np.inf)
+        top = pairwise(matrix, self.coarse, self.order)
+        home = np.argmin(top, axis=1)
+
+        def look(c: int, at: np.ndarray) -> None:
+            members = self.members[c]
+            step = max(1, MATRIX_CELLS // len(members))
+            for start in range(0, len(at), step):
+                part = at[start : start + step]
+                d = pairwise(matrix[part], self.pivots[members], self.order)
+                best = np.argmin(d, axis=1)
+                closest = d[np.arange(len(part)), best]
+                closer = closest < reach[part]
+                cell[part[closer]] = members[best[closer]]
+                reach[part[closer]] = closest[closer]
+
+        for c in np.unique(home):
+            look(c, np.flatnonzero(home == c))
+        for c, members in enumerate(self.members):
+            d = pairwise(self.pivots[members], self.coarse[c : c + 1], self.order)[:, 0]
+            possible = top[:, c] - d.max() <= reach * (1 + BOUND_SLACK) + BOUND_SLACK * top[:, c]
+            look(c, np.flatnonzero(possible & (home != c)))
         return cell, reach
 
 
@@ -396,6 +415,7 @@ def _with_block(placed: DataFrame, layout: DataFrame, key: str) -> DataFrame:
 def _ask_cells(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool) -> DataFrame:
     """``qid`` and ``neighbours`` of the asking points ``(qid, f)``, which are distinct."""
     table = _cell_table(index)
+    # Distance to the own pivot goes along: it bounds what other cells can hold.
     if exclude_self:
         asking = table["placed"].withColumnRenamed("pid", "qid")
     else:
@@ -403,7 +423,7 @@ def _ask_cells(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool)
             _with_cell(asking, table["cells"], index.width), table["layout"], "qid"
         )
     home = asking.select(
-        "qid", "f", F.lit(float("inf")).alias("bound"), F.array("block").alias("blocks")
+        "qid", "f", "reach", F.lit(float("inf")).alias("bound"), F.array("block").alias("blocks")
     )
     if not exclude_self:
         home = materialize(home, "asking")
@@ -416,6 +436,7 @@ def _ask_cells(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool)
     known = home.join(first, "qid", "left").select(
         "qid",
         "f",
+        "reach",
         F.coalesce(bound, F.lit(float("inf"))).alias("bound"),
         F.get("blocks", 0).alias("home"),
     )
@@ -463,6 +484,7 @@ def _reachable(known: DataFrame, index: PointIndex, need: int) -> DataFrame:
             matrix = to_matrix(batch.column("f"), width)
             bound = batch.column("bound").to_numpy(zero_copy_only=False).copy()
             home = batch.column("home").to_numpy(zero_copy_only=False)
+            own = batch.column("reach").to_numpy(zero_copy_only=False)
             open_rows = np.flatnonzero(np.isinf(bound))
             if len(open_rows):
                 bound[open_rows] = bound_from_cells(matrix[open_rows])
@@ -475,9 +497,9 @@ def _reachable(known: DataFrame, index: PointIndex, need: int) -> DataFrame:
                 if not len(at):
                     continue
                 d = pairwise(matrix[at], cells.pivots[members], order)
-                gap = np.maximum(d - high[members], low[members] - d)
-                allowance = loose[at, None] + BOUND_SLACK * d
-                q, m = np.nonzero(gap <= allowance)
+                q, m = np.nonzero(
+                    within_reach(d, own[at], low[members], high[members], bound[at])
+                )
                 cell = members[m]
                 copies = parts[cell]
                 q, cell = np.repeat(q, copies), np.repeat(cell, copies)

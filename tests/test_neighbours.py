@@ -60,10 +60,22 @@ def test_only_reachable_blocks_are_asked(spark):
     index = nn.build_index(table(spark, x), ["f0", "f1"], "id", cell_points=100)
     table_ = nn._cell_table(index)
     home = table_["placed"].select(
-        F.col("pid").alias("qid"), "f", F.lit(0.05).alias("bound"), F.col("block").alias("home")
+        F.col("pid").alias("qid"), "f", "reach", F.lit(0.05).alias("bound"), F.col("block").alias("home")
     )
     asked = nn._reachable(home, index, 6).select(F.avg(F.size("blocks"))).first()[0]
-    assert asked < 0.35 * table_["first"][-1]
+    assert asked < 0.2 * table_["first"][-1]
+
+
+def test_cells_are_those_of_the_nearest_pivot(spark):
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.standard_normal((900, 2)), 40 * rng.standard_normal((100, 2))])
+    for metric, order in ORDERS.items():
+        index = nn.build_index(table(spark, x), ["f0", "f1"], "id", metric, cell_points=10)
+        cells = nn._choose_cells(index)
+        cell, reach = cells.assign(x)
+        d = distance.pairwise(x, cells.pivots, order)
+        assert np.array_equal(reach, d.min(axis=1))
+        assert np.array_equal(d[np.arange(1000), cell], reach)
 
 
 def test_wide_points_use_the_product_form(spark):
