@@ -379,6 +379,20 @@ def flag_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_and_flag(knn.fit_knn(rows, EMBEDDING, "vec_id").flag(rows, "vec_id"), "vec_id")
 
 
+def flag_knn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    scaled = scale.fit_scaler(rows, EVENTS).transform(rows)
+    model = knn.fit_knn(scaled, EVENTS, "event_id", method="pivot")
+    return score_and_flag(model.flag(scaled, "event_id"), "event_id")
+
+
+def flag_lof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_averages(spark, sf_dir)
+    scaled = scale.fit_scaler(rows, LINE).transform(rows)
+    model = lof.fit_lof(scaled, LINE, "l_orderkey", method="pivot")
+    return score_and_flag(model.flag(scaled, "l_orderkey"), "l_orderkey")
+
+
 def lof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir)
     model = lof.fit_lof(rows, EMBEDDING, "vec_id")
@@ -590,6 +604,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_score_average": knn_score("average", 5),
         "knn_score_median": knn_score("median", 6),
         "flag_knn": flag_knn,
+        "flag_knn_events": flag_knn_events,
+        "flag_lof_orders": flag_lof_orders,
         "lof_score": lof_score,
         "flag_lof": flag_lof,
         "flag_new_lof": flag_new_lof,
@@ -860,6 +876,14 @@ def oracle_sql() -> dict[str, str]:
         "flag_knn": f"""WITH {EMB}, {emb_pairs()}, {emb_pairs(with_self=True)},
             t AS (SELECT quantile_cont(d, 0.9) AS cut FROM nn WHERE k = 5)
             SELECT id AS vec_id, round(d, 6) AS score, d > cut AS flag FROM nn_all, t WHERE k = 5""",
+        "flag_knn_events": """WITH raw AS (SELECT event_id, value AS x,
+                    CAST(json_extract(props, '$.k') AS DOUBLE) AS y FROM events),
+            w AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM raw),
+            x AS (SELECT event_id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y FROM raw, w),
+            n AS (SELECT a.event_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d
+                  FROM x a, x b GROUP BY a.event_id),
+            t AS (SELECT quantile_cont(d[6], 0.9) AS cut FROM n)
+            SELECT event_id, round(d[5], 6) AS score, d[5] > cut AS flag FROM n, t""",
         "lof_score": f"""WITH {EMB}, {emb_pairs()}, {lof_ctes("nn")}
             SELECT id AS vec_id, round(score, 6) AS score FROM lof""",
         "flag_lof": f"""WITH {EMB}, {emb_pairs()}, {emb_pairs(with_self=True)}, {lof_ctes("nn", "nn_all")},

@@ -146,6 +146,9 @@ def neighbours(
     rows = df.select(*kept, feature_array(index.features).alias("f"))
     if chosen_method(index, method) == "broadcast":
         return _ask_everywhere(rows, index, k, exclude_self=False)
+    # Both sides of the join back must hold the same bits, also if a sum upstream would
+    # come out differently when it is computed again.
+    rows = materialize(rows, "rows")
     distinct = rows.groupBy("f").agg(F.min(point_id(ids)).alias("qid")).select("qid", "f")
     found = _ask_cells(distinct, index, k, exclude_self=False)
     back = found.join(distinct, "qid").select("f", "neighbours")
@@ -199,7 +202,11 @@ def self_neighbours(index: PointIndex, k: int, method: str = "auto") -> DataFram
 def per_row(
     df: DataFrame, id_col: str | Sequence[str], index: PointIndex, by_point: DataFrame
 ) -> DataFrame:
-    """Bring columns known per training point back to every training row."""
+    """Bring columns known per training point back to every training row.
+
+    ``df`` holds the rows the index was built from, with the same feature values bit
+    for bit. Write a table first if its features are sums of doubles.
+    """
     ids = as_list(id_col)
     rows = df.select(*[F.col(f"`{c}`") for c in ids], feature_array(index.features).alias("f"))
     values = by_point.join(index.points.select("pid", "f"), "pid").drop("pid", "w")
