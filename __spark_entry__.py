@@ -10,6 +10,7 @@ import sys
 from collections.abc import Callable
 from datetime import datetime
 from functools import wraps
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,13 @@ from strayrow.session import new_path, ship_package
 from strayrow.sources import csv, predictions, split_json
 from strayrow.streaming import scoring
 
+# the training-data operators may be absent
+if find_spec("strayrow.llm") and find_spec("strayrow.llm.queries") and find_spec("corpus_pipeline"):
+    import corpus_pipeline
+    from strayrow.llm import queries as llm
+else:
+    corpus_pipeline = llm = None
+
 PART = ["p_size", "p_retailprice"]
 EVENTS = ["value", "k"]
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -625,7 +633,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flag_eight": flag_eight,
         "stream_score": stream_score,
     }
-    return {name: shipped(query) for name, query in every.items()}
+    more = llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}
+    return {name: shipped(query) for name, query in every.items()} | more
 
 
 # SQL for the comparison
@@ -808,7 +817,10 @@ def oracle_sql() -> dict[str, str]:
         [f"round(avg({c}), 6) AS mean_{c}" for c in LINE]
         + [f"round(var_pop({c}), 6) AS var_{c}" for c in LINE]
     )
-    return {
+    more = llm.ORACLE_SQL if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        more = more | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return more | {
         "scale_minmax": f"WITH {PART_SCALED} SELECT p_partkey, round(x, 6) AS p_size, round(y, 6) AS p_retailprice FROM x",
         "scale_standard": f"""WITH {PART_XY}
             SELECT p_partkey, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS p_size,
