@@ -14,6 +14,7 @@ documents. The documents then find their places in the plan by size and rank, in
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from strayrow.session import materialize
 CHUNK_PATTERN = r"[^\x20\x09-\x0D]+"
 CACHED = 400_000  # chunks whose ids a worker keeps
 LONGEST_CACHED = 40
+LAST_PLAIN = "\xff"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which the tokenizer treats apart
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -37,7 +40,9 @@ class Encoder(dict):
     """Ids of white-space separated chunks, as little-endian bytes, kept for reuse.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its chunks in turn. Chunks repeat a lot; each is tokenized once per worker.
+    its chunks in turn. Chunks repeat a lot; each is tokenized once per worker. Signs
+    around a word are tokens apart, whatever the word; and a chunk of plain letters is
+    one word to the tokenizer, so its BPE model alone gives the ids.
     """
 
     def __init__(self, path: str):
@@ -48,10 +53,43 @@ class Encoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.chunks = re.compile(CHUNK_PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # how the tokenizer spells the bytes of each plain letter
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {ord(c): "".join(x for x, _ in spell(c)) for c in map(chr, range(256)) if c.isalpha()}
+        self.by_word = self.one_word_rule()
+
+    def one_word_rule(self) -> bool:
+        """Whether this tokenizer treats plain words as assumed; if not, all chunks go through it whole."""
+        try:
+            return all(
+                self.whole(x) == self.word(x.lower()) for x in ("a", "Plain", "wörterßÀ", "éÿz", "internationalisation")
+            ) and all(self.whole(x + y) == self.whole(x) + self.whole(y) for x in ("a", "wörtÿ", "S") for y in (".", ",", "***", "|"))
+        except Exception:  # a model without words of its own
+            return False
+
+    def whole(self, chunk: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters.translate(self.spelling))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        bare = chunk.strip(SIGNS)
+        if not self.by_word or not bare.isalpha() or not (bare.isascii() or max(bare) <= LAST_PLAIN):
+            ids = self.whole(chunk)
+        elif len(bare) < len(chunk) and any(x in chunk for x in self.special):
+            ids = self.whole(chunk)
+        elif len(bare) < len(chunk):
+            at = chunk.index(bare)
+            before, after = chunk[:at], chunk[at + len(bare) :]
+            ids = (self[before] if before else b"") + self[bare] + (self[after] if after else b"")
+        else:
+            lower = bare.lower()
+            ids = self.word(lower) if lower == bare else self[lower]
         if len(chunk) <= LONGEST_CACHED:
             self[chunk] = ids
         return ids
