@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-CHUNK = 1000
+CHUNK = 400
 
 
 def with_slots(df: DataFrame, group: str, order: list[str], name: str, counts: DataFrame) -> DataFrame:
