@@ -10,8 +10,8 @@ any order gives the same links.
 1. Documents with equal sets are one class; classes with equal prefix and size are one
    group, and groups are indexed by the elements of their prefix.
 2. Each posting list is compared with its leader, the group that holds the element
-   nearest to the front; each class of a group with the group's first. Links are verified
-   on whole sets and joined to components.
+   nearest to the front; each class of a group with the group's first. Pairs that their
+   whole prefixes do not rule out are verified on whole sets, and links joined to components.
 3. Lists that still hold several components are expanded: every pair of classes from
    different components that passes the size and position filter is verified too.
 
@@ -33,7 +33,7 @@ from strayrow.llm.text import SPACED, Words, mix, runs, signed, slices
 from strayrow.session import materialize
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
-HELD = 4_000_000  # elements a task gathers before it counts them
+HELD = 2_500_000  # elements a task gathers before it counts them
 OFTEN = 8  # times an element must have been seen to go to the end of the order
 ORDER_BITS, SEEN_BITS, ID_BITS = 24, 26, 24
 
@@ -149,6 +149,46 @@ def postings(groups: DataFrame, seen_twice: np.ndarray) -> DataFrame:
     return groups.select("gid", "n", "prefix").mapInArrow(explode, f"t long, gid {kind}, n long, pos long")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
+    """The pairs whose prefixes leave it possible that the whole sets reach the threshold.
+
+    Up to the smaller of the two last elements both sets are known in full, so the shared
+    elements there, and the fewer of those beyond, bound what the sets can share.
+    """
+    ids = pairs.select(F.xxhash64("a").alias("k")).union(pairs.select(F.xxhash64("b")))
+    shared = pairs.sparkSession.sparkContext.broadcast((late, bit_table(ids, "k", ID_BITS)))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bits_set(shared.value[1], batch.column("k").to_numpy().view(np.uint64)))).drop_columns(["k"])
+
+    kind = classes.schema["cid"].dataType.simpleString()
+    few = classes.select("cid", "n", "prefix", F.xxhash64("cid").alias("k")).mapInArrow(wanted, f"cid {kind}, n long, prefix array<long>")
+    few = materialize(few, "jaccard-prefixes")
+    both = pairs.join(few.toDF("a", "nx", "px"), "a").join(few.toDF("b", "ny", "py"), "b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value[0]
+        for batch in batches:
+            n = [batch.column(c).to_numpy() for c in ("nx", "ny")]
+            fronts = []
+            for c in ("px", "py"):
+                lists = batch.column(c)
+                h = lists.flatten().to_numpy().view(np.uint64)
+                # places in the common order: late elements last
+                fronts.append((np.split(np.where(bits_set(late, h), 1, 0), np.cumsum(lists.value_lengths().to_numpy())[:-1]), np.split(h, np.cumsum(lists.value_lengths().to_numpy())[:-1])))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                (lx, hx), (ly, hy) = ((late_bits[i], hashes[i]) for late_bits, hashes in fronts)
+                end = min((lx[-1], hx[-1]), (ly[-1], hy[-1]))
+                x, y = (h[(bit < end[0]) | (bit == end[0]) & (h <= end[1])] for bit, h in ((lx, hx), (ly, hy)))
+                most = len(np.intersect1d(x, y, assume_unique=True)) + min(n[0][i] - len(x), n[1][i] - len(y))
+                keep[i] = (100 + percent) * most >= percent * (n[0][i] + n[1][i])
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return materialize(both.select("a", "b", "nx", "ny", "px", "py").mapInArrow(bound, f"a {kind}, b {kind}"), "jaccard-plausible")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
@@ -236,7 +276,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     inner = members.where("cid != gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first_pairs = materialize(ordered(led.union(inner)), "jaccard-pairs")
-    links = materialize(verified(first_pairs, docs, classes, id_col, text_col, n, percent), "jaccard-links")
+    links = materialize(verified(plausible(first_pairs, classes, late, percent), docs, classes, id_col, text_col, n, percent), "jaccard-links")
     labels = components(links)
 
     known = posts.join(members, "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
@@ -247,7 +287,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rest = x.join(y, F.col("x.t") == F.col("y.t")).where("x.cid < y.cid AND x.comp != y.comp").where(
         possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    rest = materialize(rest, "jaccard-rest")
+    rest = plausible(materialize(rest, "jaccard-rest"), classes, late, percent)
     if not rest.isEmpty():
         more = verified(rest, docs, classes, id_col, text_col, n, percent)
         links = materialize(links.union(more), "jaccard-links")

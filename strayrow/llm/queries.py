@@ -16,8 +16,18 @@ from strayrow.llm.ranks import remainder
 from strayrow.session import ship_package
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Executors get the package; Arrow batches get fewer rows, since rows hold whole texts."""
     ship_package(spark)
+    if int(spark.conf.get(BATCH_ROWS)) > 1000:
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
