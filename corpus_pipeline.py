@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.llm import contamination, jaccard, langid, packing, toxicity
-from strayrow.llm.queries import public_tokenizer, table
-from strayrow.session import materialize, ship_package
+from strayrow.llm.queries import prepare, public_tokenizer, table
+from strayrow.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.5
@@ -21,7 +21,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def only_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: rows without a letter go, and rows whose language stays in doubt."""
-    ship_package(spark)
+    prepare(spark)
     found = langid.identify(docs, langid.fit_langid(docs), keep=tuple(COLUMNS))
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
@@ -34,7 +34,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of connected near-duplicates (five words, 0.8) the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     found = jaccard.jaccard_components(docs, 5, 80).select("doc_id", "component_id")
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # the same row may occur twice; one stays
@@ -49,7 +49,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack_documents(docs, public_tokenizer(), 4096)
 
 
