@@ -130,9 +130,9 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     return docs.select(id_col, text_col).mapInArrow(build, f"id {kind}, n long, d1 long, d2 long, prefix array<long>")
 
 
-def postings(groups: DataFrame, seen_twice: np.ndarray) -> DataFrame:
-    """(t, gid, n, pos) for the elements of prefixes that another group may hold too."""
-    shared = groups.sparkSession.sparkContext.broadcast(seen_twice)
+def postings(classes: DataFrame, seen_twice: np.ndarray) -> DataFrame:
+    """(t, cid, n, pos) for the elements of prefixes that another class may hold too."""
+    shared = classes.sparkSession.sparkContext.broadcast(seen_twice)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,11 +142,11 @@ def postings(groups: DataFrame, seen_twice: np.ndarray) -> DataFrame:
             keep = bits_set(shared.value, t.view(np.uint64))
             row, pos = np.repeat(np.arange(len(p)), p)[keep], runs(p)[keep]
             at = pa.array(row)
-            yield pa.record_batch([pa.array(t[keep]), batch.column("gid").take(at), batch.column("n").take(at), pa.array(pos)],
-                                  ["t", "gid", "n", "pos"])
+            yield pa.record_batch([pa.array(t[keep]), batch.column("cid").take(at), batch.column("n").take(at), pa.array(pos)],
+                                  ["t", "cid", "n", "pos"])
 
-    kind = groups.schema["gid"].dataType.simpleString()
-    return groups.select("gid", "n", "prefix").mapInArrow(explode, f"t long, gid {kind}, n long, pos long")
+    kind = classes.schema["cid"].dataType.simpleString()
+    return classes.select("cid", "n", "prefix").mapInArrow(explode, f"t long, cid {kind}, n long, pos long")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
@@ -262,12 +262,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     key = ["n", "d1", "d2"]
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix"))
     classes = materialize(classes.withColumn("front", F.xxhash64("prefix")), "jaccard-classes")
-    groups = classes.groupBy("n", "front").agg(F.min("cid").alias("gid"), F.first("prefix").alias("prefix"))
-    groups = materialize(groups, "jaccard-groups")
-    members = classes.select("cid", "n", "front").join(groups.select("gid", "n", "front"), ["n", "front"]).select("cid", "gid")
+    # the prefixes stay where they are: a group is known by its size and its prefix's hash
+    groups = materialize(classes.groupBy("n", "front").agg(F.min("cid").alias("gid")), "jaccard-groups")
+    members = classes.select("cid", "n", "front").join(groups, ["n", "front"]).select("cid", "gid")
     members = materialize(members, "jaccard-members")
-    twice = groups.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    posts = materialize(postings(groups, bit_table(twice, "t", SEEN_BITS)), "jaccard-postings")
+    twice = classes.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    posts = postings(classes, bit_table(twice, "t", SEEN_BITS)).join(members, "cid").select("t", "gid", "n", "pos")
+    posts = materialize(posts.distinct(), "jaccard-postings")
 
     leader = posts.groupBy("t").agg(F.min(F.struct("pos", "gid", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
     led = posts.join(leader, "t").where(F.col("gid") != F.col("l.gid")).where(
