@@ -105,23 +105,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 PREFERENCE_SQL = """
     WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS chosen
                FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-    a AS (SELECT conv_id, chosen, list_filter(range(1, len(chosen) + 1), i -> chosen[i].role = 'assistant') AS answers FROM c),
+    a AS (SELECT conv_id, chosen, list_filter(range(1, len(chosen) + 1), lambda i: chosen[i].role = 'assistant') AS answers FROM c),
     r AS (SELECT conv_id, chosen, CASE WHEN len(answers) = 0 THEN chosen ELSE list_concat(chosen[1:answers[-1] - 1],
                  [{'role': 'assistant', 'text': chosen[answers[1]].text}]) END AS rejected FROM a),
     s AS (SELECT conv_id, chosen, rejected, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1),
-                 i -> chosen[i] <> rejected[i])) - 1, least(len(chosen), len(rejected))) AS n FROM r),
+                 lambda i: chosen[i] <> rejected[i])) - 1, least(len(chosen), len(rejected))) AS n FROM r),
     t AS (SELECT conv_id, n AS n_shared,
-                 list_transform(chosen[1:n], x -> '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS p,
-                 list_transform(chosen[n + 1:], x -> '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS x,
-                 list_transform(rejected[n + 1:], x -> '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS y,
-                 list_transform(chosen[n + 1:], x -> x.role) AS xr, list_transform(rejected[n + 1:], x -> x.role) AS yr FROM s),
+                 list_transform(chosen[1:n], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS p,
+                 list_transform(chosen[n + 1:], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS x,
+                 list_transform(rejected[n + 1:], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS y,
+                 list_transform(chosen[n + 1:], lambda x: x.role) AS xr, list_transform(rejected[n + 1:], lambda x: x.role) AS yr FROM s),
     u AS (SELECT *, array_to_string(p, '') AS prompt, array_to_string(x, '') AS cx, array_to_string(y, '') AS cy FROM t)
     SELECT conv_id, CAST(n_shared AS BIGINT) AS n_shared, prompt, cx AS chosen_completion, cy AS rejected_completion,
-           array_to_string(list_transform(list_filter(range(1, len(x) + 1), i -> xr[i] = 'assistant'),
-               i -> (length(prompt) + length(array_to_string(x[1:i - 1], '')) + 14) || ':' ||
+           array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: xr[i] = 'assistant'),
+               lambda i: (length(prompt) + length(array_to_string(x[1:i - 1], '')) + 14) || ':' ||
                     (length(prompt) + length(array_to_string(x[1:i], '')) - 1)), ',') AS chosen_spans,
-           array_to_string(list_transform(list_filter(range(1, len(y) + 1), i -> yr[i] = 'assistant'),
-               i -> (length(prompt) + length(array_to_string(y[1:i - 1], '')) + 14) || ':' ||
+           array_to_string(list_transform(list_filter(range(1, len(y) + 1), lambda i: yr[i] = 'assistant'),
+               lambda i: (length(prompt) + length(array_to_string(y[1:i - 1], '')) + 14) || ':' ||
                     (length(prompt) + length(array_to_string(y[1:i], '')) - 1)), ',') AS rejected_spans
     FROM u"""
 
