@@ -34,6 +34,7 @@ from strayrow.operators import (
     svm,
     threshold,
 )
+from strayrow.plans import requests as request_jobs
 from strayrow.plans.pipeline import FittedPipeline, Pipeline, load_detector, save_detector
 from strayrow.session import new_path, ship_package
 from strayrow.sources import csv, predictions, split_json
@@ -154,6 +155,15 @@ def faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faulty requests as texts; the seventh kind is no JSON."""
+    text = F.to_json(F.struct(F.col("request_id").alias("id"), "columns", "data"))
+    broken = F.col("request_id").cast("long") % 7 == 6
+    return faulty_requests(spark, sf_dir).select(
+        F.when(broken, F.concat(F.lit("request "), "request_id")).otherwise(text).alias("value")
+    )
+
+
 # Shared shapes of results
 
 
@@ -473,6 +483,23 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.filter("error_data <> ''").select("request_id", "error_data")
 
 
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_json.sort_out(split_json.parse(mixed_requests(spark, sf_dir)), CELLS)[1]
+
+
+def predict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, stored = new_path(spark, "request-model"), new_path(spark, "request-flags")
+    pipeline = Pipeline("standard").add("kmeans", n_clusters=1)
+    request_jobs.train_on_requests(requests(spark, sf_dir), pipeline, CELLS, model, "007")
+    request_jobs.predict_requests(
+        mixed_requests(spark, sf_dir), model, stored, "007", "1", datetime(2024, 2, 1)
+    )
+    found = predictions.read(spark, stored, "007", "1")
+    return found.select(
+        "model_id", "prediction_id", "request_id", "pos", "detector", r("score", "score"), "flag"
+    )
+
+
 def feature_null_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = part(spark, sf_dir).withColumn("p_size", F.nullif("p_size", F.lit(10)))
     model = kmeans.fit_kmeans(gaps, PART, 1, on_null="skip")
@@ -625,6 +652,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_source": csv_source,
         "validate_columns": validate_columns,
         "validate_rows": validate_rows,
+        "rejected_requests": rejected_requests,
+        "predict_requests": predict_requests,
         "feature_null_skip": feature_null_skip,
         "state_round_trip": state_round_trip,
         "prediction_table": prediction_table,
@@ -810,6 +839,10 @@ def oracle_sql() -> dict[str, str]:
         f" AS {c}"
         for i, c in enumerate(CELLS, 1)
     )
+    exact_cells = ", ".join(
+        f"CAST(embedding[pos * 4 + CASE WHEN vec_id % 2 = 0 THEN {i} ELSE {5 - i} END] AS DOUBLE) AS {c}"
+        for i, c in enumerate(CELLS, 1)
+    )
     scaled_line = ", ".join(
         f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in LINE
     )
@@ -923,6 +956,28 @@ def oracle_sql() -> dict[str, str]:
                         WHEN len(lengths) > 1 THEN 'rows differ in length'
                         ELSE 'rows have ' || lengths[1] || ' cells for ' || width || ' columns' END AS error_data
             FROM chk WHERE len(lengths) <> 1 OR lengths[1] <> width""",
+        "rejected_requests": f"""WITH {REQUESTS_SQL}
+            SELECT request_id,
+                   CASE WHEN same THEN '' ELSE 'columns are not those of the model' END AS error_columns,
+                   CASE WHEN len(lengths) = 0 THEN 'no rows'
+                        WHEN len(lengths) > 1 THEN 'rows differ in length'
+                        WHEN lengths[1] = width THEN ''
+                        ELSE 'rows have ' || lengths[1] || ' cells for ' || width || ' columns' END AS error_data
+            FROM chk
+            WHERE CAST(request_id AS BIGINT) % 7 <> 6 AND (NOT same OR len(lengths) <> 1 OR lengths[1] <> width)
+            UNION ALL
+            SELECT sha256('request ' || request_id), '', 'not a request'
+            FROM chk WHERE CAST(request_id AS BIGINT) % 7 = 6""",
+        "predict_requests": f"""WITH
+            x AS (SELECT vec_id, CAST(pos AS INTEGER) AS pos, {exact_cells}
+                  FROM embeddings, range(0, 16) t(pos)),
+            m AS (SELECT {", ".join(f"avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in CELLS)} FROM x),
+            d AS (SELECT vec_id, pos, sqrt({" + ".join(f"power(({c} - m{c}) / s{c}, 2)" for c in CELLS)}) AS score
+                  FROM x, m)
+            SELECT '007' AS model_id, '1' AS prediction_id, CAST(vec_id AS VARCHAR) AS request_id, pos,
+                   'kmeans' AS detector, round(score, 6) AS score,
+                   score > (SELECT quantile_cont(score, 0.9) FROM d) AS flag
+            FROM d WHERE vec_id % 7 = 0""",
         "feature_null_skip": f"""WITH raw AS (SELECT p_partkey, CAST(nullif(p_size, 10) AS DOUBLE) AS x,
                                                   p_retailprice AS y FROM part),
             x AS (SELECT * FROM raw WHERE x IS NOT NULL), {centre_cte("x", "p_partkey")},

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strayrow.functions.arrow import row_array_function, row_function, sum_vectors, to_lists
 from strayrow.functions.network import Network, Optimizer, check_choices
@@ -127,6 +128,18 @@ def _epoch(
     )
 
 
+def _place(df: DataFrame, order_col: str) -> Column:
+    """The order column as a number; dates and times as microseconds."""
+    kind = df.schema[order_col].dataType
+    column = F.col(f"`{order_col}`")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        since = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), column.cast("timestamp_ntz"))
+        return since.cast("double")
+    return column.cast("double")
+
+
 def fit_network(
     df: DataFrame,
     features: Sequence[str],
@@ -175,7 +188,7 @@ def fit_network(
             share = F.pmod(F.xxhash64(*ids, F.lit(seed), F.lit("aside")), F.lit(1 << 20))
             aside = share < int(validation_split * (1 << 20))
         else:
-            place = F.col(order_col).cast("double")
+            place = _place(df, order_col)
             cut = contamination_threshold(
                 df.select(place.alias("o")), "o", validation_split, n
             )

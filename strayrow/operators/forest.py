@@ -22,7 +22,7 @@ SAMPLE_ROWS = 256
 EULER_GAMMA = 0.5772156649015329
 # Expected rows drawn per tree, relative to what a tree takes, so that none falls short.
 OVERDRAW = 1.5
-HASH_RANGE = 1 << 30
+HASH_RANGE = 1 << 60
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, cut double, left int, right int, path double"
@@ -113,31 +113,37 @@ def feature_count(max_features: int | float, width: int) -> int:
 def _draw(df: DataFrame, ids: list[str], n: int, n_trees: int, size: int, seed: int) -> DataFrame:
     """``tree`` and the feature columns of the rows each tree is built from.
 
-    Hashes of the id decide, so the sample does not depend on partitions. A large
-    table gives every tree rows of its own from one draw; a small one is drawn from
-    anew per tree. Only drawn rows are multiplied, and the rank among a tree's drawn
+    Hashes of the id decide, so the sample does not depend on partitions. Every tree
+    draws from all rows, at any table size; one hash of the row is mixed with each
+    tree's number. Only drawn rows are multiplied, and the rank among a tree's drawn
     rows trims them to the sample size.
     """
 
-    def draw(salt: Column) -> Column:
-        return F.pmod(F.xxhash64(*ids, F.lit(seed), salt), F.lit(HASH_RANGE))
+    def draw(tree: Column) -> Column:
+        return F.pmod(F.xxhash64("_row", tree), F.lit(HASH_RANGE))
 
     wanted = OVERDRAW * size + 64
-    if n >= 4 * n_trees * wanted:
-        limit = math.ceil(HASH_RANGE * n_trees * wanted / n)
-        drawn = df.filter(draw(F.lit("row")) < limit).withColumn(
-            "tree", F.pmod(F.xxhash64(*ids, F.lit(seed), F.lit("tree")), F.lit(n_trees)).cast("int")
-        )
-    else:
-        limit = min(HASH_RANGE, math.ceil(HASH_RANGE * wanted / n))
-        trees = F.filter(
-            F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < limit
-        )
-        drawn = df.withColumn("tree", F.explode(trees))
+    limit = min(HASH_RANGE, math.ceil(HASH_RANGE * wanted / n))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < limit)
+    drawn = (
+        df.withColumn("_row", F.xxhash64(*ids, F.lit(seed)))
+        .withColumn("tree", F.explode(trees))
+        .drop("_row")
+    )
     rank = Window.partitionBy("tree").orderBy(F.xxhash64(*ids, F.lit(seed + 1), F.col("tree")), *ids)
     return drawn.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= size)
 
 
+def _with_replacement(matrix: np.ndarray, n: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    """``size`` draws with replacement from a table of ``n`` rows.
+
+    The matrix has different rows of the table in random order. They stand in for the
+    distinct rows of the draw, with its multiplicities.
+    """
+    times = np.unique(rng.integers(0, n, size), return_counts=True)[1][: len(matrix)]
+    return np.repeat(matrix[: len(times)], times, axis=0)
+
+
 def _grow(matrix: np.ndarray, columns: np.ndarray, height: int, rng: np.random.Generator) -> list:
     """Nodes ``(feature, cut, left, right, path)`` of one tree, the root first."""
     nodes: list[list] = []
@@ -187,7 +193,7 @@ def fit_trees(
         matrix = group[features].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
         if bootstrap:
-            matrix = matrix[rng.integers(0, len(matrix), len(matrix))]
+            matrix = _with_replacement(matrix, n, size, rng)
         columns = np.sort(rng.choice(len(features), width, replace=False))
         nodes = _grow(matrix, columns, height, rng)
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "path"])

@@ -65,24 +65,24 @@ def fit_rows(df: DataFrame, keep: Sequence[str], features: Sequence[str], on_nul
     return out.dropna(subset=list(features)) if on_null == "skip" else out
 
 
-def validate_documents(
+def with_document_errors(
     documents: DataFrame,
     model_columns: Sequence[str],
-    key: str = "request_id",
     columns: str = "columns",
     data: str = "data",
 ) -> DataFrame:
-    """Column and row-shape errors of split-oriented documents, one row per bad document.
+    """Split-oriented documents with ``error_columns`` and ``error_data``, empty where a check passed.
 
-    Output: ``key``, ``error_columns`` and ``error_data``; a message is empty when
-    its check passed, and clean documents give no row.
+    A null row has no cells.
     """
     names = F.coalesce(F.col(columns), F.array().cast("array<string>"))
     expected = F.array(*[F.lit(c) for c in model_columns])
     same = (F.size(F.array_except(names, expected)) == 0) & (
         F.size(F.array_except(expected, names)) == 0
     )
-    lengths = F.array_distinct(F.transform(F.col(data), F.size))
+    lengths = F.array_distinct(
+        F.transform(F.col(data), lambda row: F.when(row.isNull(), 0).otherwise(F.size(row)))
+    )
     empty = F.col(data).isNull() | (F.size(data) == 0)
     ragged = F.size(lengths) > 1
     misfit = (F.size(lengths) == 1) & (F.get(lengths, 0) != F.size(names))
@@ -96,8 +96,22 @@ def validate_documents(
         )
         .otherwise("")
     )
-    return documents.select(
-        F.col(key),
-        error_columns.alias("error_columns"),
-        error_data.alias("error_data"),
-    ).filter("error_columns <> '' OR error_data <> ''")
+    return documents.withColumns({"error_columns": error_columns, "error_data": error_data})
+
+
+def validate_documents(
+    documents: DataFrame,
+    model_columns: Sequence[str],
+    key: str = "request_id",
+    columns: str = "columns",
+    data: str = "data",
+) -> DataFrame:
+    """Column and row-shape errors of split-oriented documents, one row per bad document.
+
+    Output: ``key``, ``error_columns`` and ``error_data``; a message is empty when
+    its check passed, and clean documents give no row.
+    """
+    checked = with_document_errors(documents, model_columns, columns, data)
+    return checked.select(F.col(key), "error_columns", "error_data").filter(
+        "error_columns <> '' OR error_data <> ''"
+    )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
@@ -23,6 +24,7 @@ from strayrow.operators.threshold import contamination_threshold
 MAX_EXPRESSION_TERMS = 256
 # Elbow fits that run side by side on the persisted training table.
 PARALLEL_FITS = 4
+MAX_ITER = 300
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class KMeansModel(ThresholdRule, RowModel):
     features: tuple[str, ...]
     centroids: np.ndarray
     threshold: float = float("nan")
+    # False if the fit that was kept ended at ``max_iter``.
+    converged: bool = True
 
     @property
     def n_clusters(self) -> int:
@@ -50,12 +54,21 @@ class KMeansModel(ThresholdRule, RowModel):
         return row_function(distance, list(cells))
 
     def state(self):
-        settings = {"features": list(self.features), "threshold": self.threshold}
+        settings = {
+            "features": list(self.features),
+            "threshold": self.threshold,
+            "converged": self.converged,
+        }
         return settings, {"centroids": self.centroids}, {}
 
     @classmethod
     def restore(cls, settings, arrays, tables):
-        return cls(tuple(settings["features"]), arrays["centroids"], settings["threshold"])
+        return cls(
+            tuple(settings["features"]),
+            arrays["centroids"],
+            settings["threshold"],
+            settings.get("converged", True),
+        )
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -63,8 +76,17 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(array_to_vector(F.array(*cells)).alias("features"))
 
 
-def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(vectors)
+def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int, n_init: int = 1):
+    """The fit of lowest cost among ``n_init`` starts, and whether it converged."""
+    starts = [
+        KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(vectors)
+        for i in range(n_init)
+    ]
+    best = min(starts, key=lambda m: m.summary.trainingCost)
+    converged = best.summary.numIter < max_iter
+    if not converged:
+        warnings.warn(f"K-Means with k={k} did not converge in {max_iter} iterations", stacklevel=3)
+    return best, converged
 
 
 def _single_cluster(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, float]:
@@ -79,7 +101,8 @@ def elbow_curve(
     max_clusters: int = 100,
     k_values: Sequence[int] | None = None,
     seed: int = 0,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
+    n_init: int = 1,
 ) -> DataFrame:
     """Table ``(k, score)`` with the negative inertia of a fit for every k below ``max_clusters``."""
     ks = list(k_values) if k_values is not None else list(range(1, max_clusters))
@@ -90,7 +113,7 @@ def elbow_curve(
     def cost(k: int) -> tuple[int, float]:
         if k == 1:
             return k, -_single_cluster(df, features)[1]
-        return k, -float(_fit(vectors, k, seed, max_iter).summary.trainingCost)
+        return k, -float(_fit(vectors, k, seed, max_iter, n_init)[0].summary.trainingCost)
 
     try:
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
@@ -137,19 +160,22 @@ def fit_centroids(
     n_clusters: int | None = None,
     max_cluster_elbow: int = 100,
     seed: int = 0,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
+    n_init: int = 1,
 ) -> KMeansModel:
     """The detector without its threshold."""
+    if n_init < 1:
+        raise ValueError("n_init must be at least 1")
     if n_clusters is None:
-        curve = elbow_curve(df, features, max_cluster_elbow, seed=seed, max_iter=max_iter)
+        curve = elbow_curve(df, features, max_cluster_elbow, None, seed, max_iter, n_init)
         n_clusters = elbow_pick(curve).first()["k"]
     if n_clusters < 1:
         raise ValueError("n_clusters must be at least 1")
     if n_clusters == 1:
         return KMeansModel(tuple(features), _single_cluster(df, features)[0][None, :])
     # Spark ML keeps its own copy of the vectors while it iterates.
-    model = _fit(_vectors(df, features), n_clusters, seed, max_iter)
-    return KMeansModel(tuple(features), np.array(model.clusterCenters()))
+    model, converged = _fit(_vectors(df, features), n_clusters, seed, max_iter, n_init)
+    return KMeansModel(tuple(features), np.array(model.clusterCenters()), converged=converged)
 
 
 def fit_kmeans(
@@ -159,16 +185,17 @@ def fit_kmeans(
     contamination: float = 0.1,
     max_cluster_elbow: int = 100,
     seed: int = 0,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
+    n_init: int = 1,
     on_null: str = "error",
 ) -> KMeansModel:
     rows = fit_rows(df, [], features, on_null).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = fit_centroids(rows, features, n_clusters, max_cluster_elbow, seed, max_iter)
+        model = fit_centroids(rows, features, n_clusters, max_cluster_elbow, seed, max_iter, n_init)
         scores = rows.select(
             model.score_column([F.col(f"`{f}`") for f in features]).alias("score")
         )
         cut = contamination_threshold(scores, "score", contamination)
     finally:
         rows.unpersist()
-    return KMeansModel(model.features, model.centroids, cut)
+    return replace(model, threshold=cut)

@@ -41,10 +41,14 @@ class FeatureStats:
 
 
 def collect_stats(df: DataFrame, features: Sequence[str], with_cov: bool = False) -> FeatureStats:
-    """One aggregation over the table for up to ``MAX_PAIRWISE`` features, two beyond."""
+    """One aggregation over the table for up to ``MAX_PAIRWISE`` features, two beyond.
+
+    Rows with a null or NaN in any of the features take no part, whatever their number.
+    """
     features = list(features)
     stats = _by_columns if len(features) <= MAX_PAIRWISE else _by_vectors
-    result = stats(df, features, with_cov)
+    cells = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    result = stats(cells.dropna(), features, with_cov)
     if result.n == 0:
         raise ValueError("cannot fit on an empty table")
     return result
@@ -52,7 +56,7 @@ def collect_stats(df: DataFrame, features: Sequence[str], with_cov: bool = False
 
 def _by_columns(df: DataFrame, features: list[str], with_cov: bool) -> FeatureStats:
     d = len(features)
-    cells = [F.col(f"`{f}`").cast("double") for f in features]
+    cells = [F.col(f"`{f}`") for f in features]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cells):
         aggs += [
@@ -82,9 +86,8 @@ def _by_columns(df: DataFrame, features: list[str], with_cov: bool) -> FeatureSt
 
 
 def _by_vectors(df: DataFrame, features: list[str], with_cov: bool) -> FeatureStats:
-    vectors = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="error").transform(
-        df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    ).select("_v")
+    assembler = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="error")
+    vectors = assembler.transform(df).select("_v")
     measure = Summarizer.metrics("count", "min", "max", "mean", "variance")
     row = vectors.select(measure.summary(F.col("_v")).alias("s")).first()
     s = row["s"]

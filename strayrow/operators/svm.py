@@ -10,6 +10,8 @@ the driver. The gap between the two is the duality gap, at which the fit stops.
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -31,7 +33,8 @@ LANDMARKS = 256
 # Directions of the landmark kernel below this share of the largest are left out.
 FLAT_DIRECTION = 1e-10
 QUANTILE_ACCURACY = 10_000
-# Rows whose projections place the bands, and where they lie relative to the share.
+HASH_RANGE = 1 << 40
+# Distinct rows whose projections place the bands, and where they lie relative to the share.
 SAMPLE_ROWS = 16_384
 EDGE_SHARES = (
     0.5, 0.7, 0.8, 0.86, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 1.0,
@@ -93,6 +96,8 @@ class OneClassSvm(ThresholdRule, RowModel):
     map: KernelMap
     normal: np.ndarray
     threshold: float = float("nan")
+    # False if the fit ended at ``max_iter`` with the duality gap still above ``tol``.
+    converged: bool = True
 
     def score_column(self, cells: Sequence[Column]) -> Column:
         mapping, normal = self.map, self.normal
@@ -107,6 +112,7 @@ class OneClassSvm(ThresholdRule, RowModel):
             "coef0": m.coef0,
             "degree": m.degree,
             "threshold": self.threshold,
+            "converged": self.converged,
         }
         arrays = {"landmarks": m.landmarks, "weights": m.weights, "normal": self.normal}
         return settings, arrays, {}
@@ -116,21 +122,33 @@ class OneClassSvm(ThresholdRule, RowModel):
         named = {k: settings[k] for k in ("kernel", "gamma", "coef0", "degree")}
         mapping = KernelMap(**named, landmarks=arrays["landmarks"], weights=arrays["weights"])
         return cls(
-            tuple(settings["features"]), mapping, arrays["normal"], settings["threshold"]
+            tuple(settings["features"]),
+            mapping,
+            arrays["normal"],
+            settings["threshold"],
+            settings.get("converged", True),
         )
 
 
-def _landmarks(df: DataFrame, features: Sequence[str], n: int, count: int, seed: int) -> np.ndarray:
-    """Rows with the smallest feature hash; equal rows count once."""
+def hashed_rows(
+    df: DataFrame, features: Sequence[str], n: int, count: int, seed: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ``count`` distinct rows with the smallest feature hash, and how often each occurs.
+
+    All of them, if there are fewer. The hash range that is read is widened until it
+    holds enough distinct rows, so the pick depends on the distinct rows alone.
+    """
     cells = [F.col(f"`{f}`") for f in features]
-    h = F.xxhash64(*cells, F.lit(seed))
-    modulus = max(1, n // (16 * count))
-    rows = df.select(*cells, h.alias("_h"))
-    drawn = rows.filter(F.pmod("_h", F.lit(modulus)) == 0).dropDuplicates()
-    picked = drawn.orderBy("_h", *cells).limit(count).toPandas()
-    if picked.empty:
-        picked = rows.limit(1).toPandas()
-    return picked[list(features)].to_numpy(dtype=float)
+    place = F.pmod(F.xxhash64(*cells, F.lit(seed)), F.lit(HASH_RANGE))
+    rows = df.select(*cells, place.alias("_h"))
+    share = min(1.0, 4 * count / n)
+    while True:
+        inside = rows.filter(F.col("_h") < F.lit(math.ceil(share * HASH_RANGE)))
+        distinct = inside.groupBy("_h", *cells).agg(F.count(F.lit(1)).alias("_n"))
+        picked = distinct.orderBy("_h", *cells).limit(count).toPandas()
+        if len(picked) == count or share == 1.0:
+            return picked[list(features)].to_numpy(dtype=float), picked["_n"].to_numpy(dtype=float)
+        share = min(1.0, 64 * share)
 
 
 def _kernel_map(df, features, stats, kernel, gamma, coef0, degree, count, seed) -> KernelMap:
@@ -140,7 +158,7 @@ def _kernel_map(df, features, stats, kernel, gamma, coef0, degree, count, seed)
     if kernel == "linear":
         none = np.zeros((0, 0))
         return KernelMap(kernel, value, coef0, degree, none, none)
-    landmarks = _landmarks(df, features, stats.n, count, seed)
+    landmarks, _ = hashed_rows(df, features, stats.n, count, seed)
     own = kernel_values(landmarks, landmarks, kernel, value, coef0, degree)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > FLAT_DIRECTION * values.max()
@@ -199,10 +217,13 @@ def _lowest_mean(
     return mean, part * (1 - part) * counts[at] / wanted * width if part < 1 else 0.0
 
 
-def _edges(scores: np.ndarray, share: float) -> np.ndarray:
-    """Band edges around the wanted share, from the projections of a sample."""
+def _edges(scores: np.ndarray, copies: np.ndarray, share: float) -> np.ndarray:
+    """Band edges around the wanted share, from the projections of sampled rows and their counts."""
     ranks = np.unique(np.minimum(share * np.array(EDGE_SHARES), 1.0))
-    return np.unique(np.quantile(scores, ranks))
+    order = np.argsort(scores, kind="stable")
+    upto = np.cumsum(copies[order])
+    at = np.searchsorted(upto, ranks * upto[-1])
+    return np.unique(scores[order][np.minimum(at, len(scores) - 1)])
 
 
 def _exact_edges(rows, features, mapping: KernelMap, normal, share: float) -> np.ndarray:
@@ -255,6 +276,8 @@ def shortest_in_hull(corners: np.ndarray, rounds: int = 500) -> np.ndarray:
             if not active:
                 active = [int(np.argmin(np.diag(gram)))]
                 weights[active] = 1.0
+    else:
+        warnings.warn(f"the shortest vector was not settled after {rounds} rounds", stacklevel=2)
     return weights / weights.sum()
 
 
@@ -279,16 +302,14 @@ def fit_plane(
     width = len(features) if kernel == "linear" else mapping.weights.shape[1]
     # A few rows tell where the bands of the next pass should lie; the pass itself sums
     # over all rows, and falls back to a quantile of all rows where they tell wrong.
-    fraction = min(1.0, 2.0 * SAMPLE_ROWS / stats.n)
-    sample = df.select(*[F.col(f"`{f}`") for f in features]).sample(fraction, seed=seed)
-    sample = mapping(sample.limit(SAMPLE_ROWS).toPandas().to_numpy(dtype=float))
+    sample, copies = hashed_rows(df, features, stats.n, SAMPLE_ROWS, seed)
+    sample = mapping(sample)
 
     def find_corner(share: float) -> tuple[np.ndarray, float]:
-        if len(sample):
-            edges = _edges(sample @ normal, share)
-            found = _lowest_mean(df, features, mapping, normal, share, stats.n, edges)
-            if found is not None and found[1] <= 0.5 * tol * (normal @ normal):
-                return found
+        edges = _edges(sample @ normal, copies, share)
+        found = _lowest_mean(df, features, mapping, normal, share, stats.n, edges)
+        if found is not None and found[1] <= 0.5 * tol * (normal @ normal):
+            return found
         edges = _exact_edges(df, features, mapping, normal, share)
         return _lowest_mean(df, features, mapping, normal, share, stats.n, edges)
 
@@ -296,18 +317,22 @@ def fit_plane(
     every = np.array([np.inf])
     normal, _ = _lowest_mean(df, features, mapping, normal, 1.0, stats.n, every)
     corners = normal[None, :]
+    converged = False
     for _ in range(max_iter):
         corner, missed = find_corner(contamination)
         gap = normal @ normal - normal @ corner
         allowed = tol * max(normal @ normal, 1e-12)
         if gap <= allowed - min(missed, 0.5 * allowed):
+            converged = True
             break
         corners = np.vstack([corners, corner])
         weights = shortest_in_hull(corners)
         normal = weights @ corners
         # Corners without weight do not come back into the shortest vector's support.
         corners = corners[weights > 0]
-    return OneClassSvm(tuple(features), mapping, normal)
+    if not converged:
+        warnings.warn(f"the one-class fit did not reach tol={tol} in {max_iter} steps", stacklevel=2)
+    return OneClassSvm(tuple(features), mapping, normal, converged=converged)
 
 
 def fit_one_class_svm(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 METHODS = ("exact", "refine", "approx")
 # Up to this many rows the built-in exact percentile is used: it keeps every
 # distinct value in the memory of one task, which is only safe for a known count.
+# Refinement interpolates with the same arithmetic, so this only chooses a plan.
 PERCENTILE_ROWS = 1_000_000
 # Buckets per refinement step, and the size at which a bucket's values are fetched.
 BUCKETS = 4096
@@ -19,6 +20,8 @@ FETCH_ROWS = 10_000
 # Buckets per power of two in the first step.
 LOG_STEPS = 8
 LOG_OFFSET = 16_384
+# Beyond the buckets of all finite values.
+INFINITE = 1 << 40
 
 
 def quantiles(
@@ -130,14 +133,19 @@ def _refine(
         values = df.select(F.col(name).alias("x"), copies).filter("x IS NOT NULL AND NOT isnan(x)")
         low = _order_statistic(values, buckets, rank)
         high = low if share == 0 else _order_statistic(values, buckets, rank + 1)
-        result[name] = low + (high - low) * share
+        result[name] = low if low == high else (rank + 1 - position) * low + share * high
     return result
 
 
 def _log_bucket(x: Column) -> Column:
-    """Integer that never decreases with ``x``: signed steps of the binary logarithm."""
+    """Integer that never decreases with ``x``: signed steps of the binary logarithm.
+
+    An infinity has a bucket of its own, so refinement never divides its width.
+    """
+    infinite = F.lit(float("inf"))
     step = F.floor(F.log2(F.abs(x)) * LOG_STEPS) + LOG_OFFSET
-    return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("long")
+    ends = F.when(x == infinite, INFINITE).when(x == -infinite, -INFINITE)
+    return ends.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("long")
 
 
 def _order_statistic(values: DataFrame, buckets: list[tuple], rank: int) -> float:

@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write(
@@ -38,11 +39,11 @@ def write(
 def read(
     spark: SparkSession, path: str, model_id: str | None = None, prediction_id: str | None = None
 ) -> DataFrame:
-    """The stored table; the two ids prune the folders that are read."""
-    table = spark.read.option("recursiveFileLookup", "false").parquet(path)
-    table = table.withColumns(
-        {c: F.col(c).cast("string") for c in ("model_id", "prediction_id")}
-    )
+    """The stored table; the two ids prune the folders that are read and stay texts, such as ``007``."""
+    found = spark.read.parquet(path).schema
+    ids = ("model_id", "prediction_id")
+    fields = [T.StructField(f.name, T.StringType()) if f.name in ids else f for f in found]
+    table = spark.read.schema(T.StructType(fields)).parquet(path)
     if model_id is not None:
         table = table.filter(F.col("model_id") == model_id)
     if prediction_id is not None:

@@ -6,7 +6,7 @@ from conftest import by_id, table
 from pyspark.sql import functions as F
 
 from strayrow.functions import network as net
-from strayrow.operators import autoencoder, forest, svm
+from strayrow.operators import autoencoder, forest, kmeans, svm
 
 F4 = ["f0", "f1", "f2", "f3"]
 
@@ -269,3 +269,46 @@ def test_bad_network_arguments(spark, planted):
     # The default layers need at least 16 features.
     with pytest.raises(ValueError, match="neurons"):
         autoencoder.fit_autoencoder(planted, F4, "id")
+
+
+@pytest.mark.parametrize("copies", [3, 4000])
+def test_landmarks_do_not_depend_on_repeats(spark, copies):
+    rows = spark.range(20 * copies).select((F.col("id") % 20).cast("double").alias("a"))
+    found, times = svm.hashed_rows(rows, ["a"], 20 * copies, 256, 0)
+    assert sorted(found[:, 0]) == list(range(20)) and set(times) == {copies}
+    few, _ = svm.hashed_rows(rows, ["a"], 20 * copies, 5, 0)
+    assert (few == found[:5]).all()
+
+
+def test_samples_reach_the_whole_table(spark):
+    rows = spark.range(0, 200_000, 1, 8).select(F.col("id").cast("double").alias("a"))
+    found, _ = svm.hashed_rows(rows, ["a"], 200_000, 1000, 0)
+    share = np.histogram(found[:, 0], 8, (0, 200_000))[0] / 1000
+    assert len(found) == 1000 and (np.abs(share - 0.125) < 0.05).all()
+
+
+def test_unfinished_fits_are_reported(spark, planted):
+    with pytest.warns(UserWarning, match="did not reach"):
+        assert not svm.fit_one_class_svm(planted, F4, 0.1, tol=1e-9, max_iter=1).converged
+    with pytest.warns(UserWarning, match="did not converge"):
+        assert not kmeans.fit_kmeans(planted, F4, 8, max_iter=1).converged
+    assert kmeans.fit_kmeans(planted, F4, 3, n_init=2).converged
+
+
+def test_bootstrap_draws_from_the_whole_table(spark):
+    rows = spark.range(20_000)
+    drawn = forest._draw(rows, ["id"], 20_000, 20, 256, 0).groupBy("tree").count().collect()
+    assert len(drawn) == 20 and {r["count"] for r in drawn} == {256}
+    matrix, rng = np.arange(256.0)[:, None], np.random.default_rng(0)
+    for n, distinct in ((256, 162), (20_000, 254), (10**9, 256)):
+        found = [forest._with_replacement(matrix, n, 256, rng) for _ in range(50)]
+        assert {len(f) for f in found} == {256}
+        assert abs(np.mean([len(np.unique(f)) for f in found]) - distinct) < 3
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date"])
+def test_order_by_time(spark, kind):
+    day = F.make_date(F.lit(2024), F.lit(1), F.lit(1))
+    rows = spark.range(28).select("id", F.date_add(day, F.col("id").cast("int")).cast(kind).alias("at"))
+    places = rows.select("id", autoencoder._place(rows, "at").alias("p")).orderBy("id").toPandas()["p"]
+    assert np.allclose(np.diff(places), 86_400e6)

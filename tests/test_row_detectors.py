@@ -60,25 +60,18 @@ def test_large_projection_runs_as_matrix_product(spark, planted, monkeypatch):
     assert np.allclose(by_id(model.flag(planted, "id"), "score"), small)
 
 
-def loop_epsilon(p, y, candidates):
-    """The search as a plain loop over the grid."""
-    low, step = p.min(), (p.max() - p.min()) / candidates
-    best = (0.0, 0.0)
-    for i in range(candidates):
-        epsilon = low + i * step
-        hit = p < epsilon
-        tp, fp, fn = (hit & (y == 1)).sum(), (hit & (y == 0)).sum(), (~hit & (y == 1)).sum()
-        if tp + fp == 0 or tp + fn == 0 or tp == 0:
-            continue
-        precision, recall = tp / (tp + fp), tp / (tp + fn)
-        f1 = 2 * precision * recall / (precision + recall)
-        if f1 > best[1]:
-            best = (epsilon, f1)
-    return best
+def best_of_all(p, y, candidates):
+    """All candidates at once: one row of the matrix per candidate, F1 from set sizes."""
+    grid = p.min() + np.arange(candidates) * ((p.max() - p.min()) / candidates)
+    below = p[None, :] < grid[:, None]
+    shared = below @ y
+    f1 = 2 * shared / (below.sum(axis=1) + y.sum())
+    first = int(np.argmax(f1))
+    return (grid[first], f1[first]) if f1[first] > 0 else (0.0, 0.0)
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_epsilon_search_equals_the_loop(spark, seed, monkeypatch):
+def test_epsilon_search_equals_the_matrix(spark, seed, monkeypatch):
     monkeypatch.setattr(gaussian, "GRID_RUNS", 7)
     rng = np.random.default_rng(seed)
     p = rng.random(120) if seed % 2 else rng.integers(0, 9, 120) / 8.0
@@ -86,7 +79,7 @@ def test_epsilon_search_equals_the_loop(spark, seed, monkeypatch):
     y[0] = 1
     for candidates in (1, 13, 400):
         got = gaussian.search_epsilon(table(spark, p[:, None], y=y), "f0", "y", candidates)
-        assert np.allclose(got, loop_epsilon(p, y, candidates), rtol=1e-13, atol=0)
+        assert np.allclose(got, best_of_all(p, y, candidates), rtol=1e-13, atol=0)
 
 
 def test_epsilon_without_labels_or_positives(spark):

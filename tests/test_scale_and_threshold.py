@@ -100,3 +100,22 @@ def test_approximate_threshold_is_close_in_rank(spark):
 def test_bad_contamination(spark):
     with pytest.raises(ValueError, match="contamination"):
         threshold.contamination_threshold(table(spark, np.ones((2, 1))), "f0", 1.5)
+
+
+def test_infinite_scores_are_refined(spark):
+    values = [float("inf")] * 3 + [float("-inf")] * 2 + [float(i) / 7 for i in range(95)]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    for q in (0.0, 0.01, 0.3, 0.77, 0.9, 1.0):
+        exact, refined = (threshold.quantiles(df, {"s": q}, method=m)["s"] for m in ("exact", "refine"))
+        assert exact == refined
+
+
+@pytest.mark.parametrize("width", [12, 13])
+def test_incomplete_rows_take_no_part(spark, width):
+    names = [f"f{i}" for i in range(width)]
+    rng = np.random.default_rng(0)
+    x = rng.random((50, width))
+    whole = spark.createDataFrame(x.tolist(), names)
+    gaps = spark.createDataFrame([[None, *x[0, 1:].tolist()], [float("nan"), *x[1, 1:].tolist()]], whole.schema)
+    got = stats.collect_stats(whole.union(gaps), names, with_cov=True)
+    assert got.n == 50 and np.allclose(got.mean, x.mean(axis=0)) and np.allclose(got.cov, np.cov(x, rowvar=False))

@@ -13,8 +13,8 @@ from strayrow.operators import frame
 from strayrow.session import new_path
 from strayrow.sources import csv, predictions, split_json
 
-COLUMNS = ["pressure", "temperature", "humidity"]
-ROWS = [[60.63, 167.9, 13.64], [66.22, 145.3, 14.67], [81.76, 143.3, 13.98]]
+COLUMNS = ["speed", "torque", "load"]
+ROWS = [[1.5, 20.0, 0.25], [2.5, 21.0, 0.5], [3.5, 19.0, 0.75]]
 
 
 def documents(spark, *requests):
@@ -31,7 +31,7 @@ def test_rows_are_read_by_name(spark):
     docs = documents(
         spark,
         {"id": "one", "columns": COLUMNS, "data": ROWS},
-        {"id": "two", "columns": ["humidity", "pressure", "temperature"], "data": swapped},
+        {"id": "two", "columns": ["load", "speed", "torque"], "data": swapped},
     )
     rows = split_json.unpack(docs, COLUMNS).orderBy("request_id", "pos").collect()
     assert [list(r)[2:] for r in rows] == ROWS + ROWS
@@ -45,8 +45,8 @@ def test_request_without_id_gets_a_stable_name(spark):
 
 
 def test_missing_column_and_short_row_are_null(spark):
-    docs = documents(spark, {"id": "x", "columns": ["pressure"], "data": [[1.0], []]})
-    rows = split_json.unpack(docs, ["pressure", "humidity"]).orderBy("pos").collect()
+    docs = documents(spark, {"id": "x", "columns": ["speed"], "data": [[1.0], []]})
+    rows = split_json.unpack(docs, ["speed", "load"]).orderBy("pos").collect()
     assert [tuple(r)[2:] for r in rows] == [(1.0, None), (None, None)]
 
 
@@ -80,6 +80,33 @@ def test_faulty_documents(spark, request_, bad_columns, bad_data):
     assert errors(spark, **request_) == (bad_columns, bad_data)
 
 
+def test_bad_documents_are_named(spark):
+    texts = [
+        json.dumps({"id": "good", "columns": COLUMNS, "data": ROWS}),
+        json.dumps({"id": "text cell", "columns": COLUMNS, "data": [[1, "x", 2]]}),
+        "no JSON",
+        None,
+        json.dumps({"id": "empty", "columns": COLUMNS, "data": []}),
+        json.dumps({"id": "null row", "columns": COLUMNS, "data": [None]}),
+    ]
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    rows, rejected = split_json.sort_out(split_json.parse(raw), COLUMNS)
+    assert [tuple(r)[2:] for r in rows.orderBy("pos").collect()] == [tuple(r) for r in ROWS]
+    found = sorted(r["error_data"] for r in rejected.collect())
+    assert found == ["no rows", *["not a request"] * 3, "rows have 0 cells for 3 columns"]
+
+
+def test_ids_of_predictions_stay_texts(spark):
+    path = new_path(spark, "predictions")
+    flags = table(spark, np.ones((5, 1)), ["score"])
+    predictions.write(flags, path, "007", "2024-01-01")
+    assert predictions.read(spark, path).select("model_id", "prediction_id").distinct().collect() == [
+        ("007", "2024-01-01")
+    ]
+    assert predictions.read(spark, path, "007", "2024-01-01").count() == 5
+    assert predictions.read(spark, path, "7").count() == 0
+
+
 def test_table_columns():
     frame.check_columns(["a", "b"], ["b", "a"])
     with pytest.raises(ValueError, match="missing \\['b'\\], unexpected \\['c'\\]"):
