@@ -113,23 +113,26 @@ def feature_count(max_features: int | float, width: int) -> int:
 def _draw(df: DataFrame, ids: list[str], n: int, n_trees: int, size: int, seed: int) -> DataFrame:
     """``tree`` and the feature columns of the rows each tree is built from.
 
-    Hashes of the id decide, so the sample does not depend on partitions. Every tree
-    draws from all rows, at any table size; one hash of the row is mixed with each
-    tree's number. Only drawn rows are multiplied, and the rank among a tree's drawn
-    rows trims them to the sample size.
+    Hashes of the id decide, so the sample does not depend on partitions. The rows are
+    dealt in rounds: each deals disjoint shares of them to as many trees as there are
+    rows for, and every round has a hash of its own. A table with rows for all trees
+    needs one round, one with too few rows for two trees a round for each tree. Only
+    drawn rows are multiplied, and the rank among a tree's drawn rows trims them to the
+    sample size.
     """
-
-    def draw(tree: Column) -> Column:
-        return F.pmod(F.xxhash64("_row", tree), F.lit(HASH_RANGE))
-
-    wanted = OVERDRAW * size + 64
-    limit = min(HASH_RANGE, math.ceil(HASH_RANGE * wanted / n))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < limit)
-    drawn = (
-        df.withColumn("_row", F.xxhash64(*ids, F.lit(seed)))
-        .withColumn("tree", F.explode(trees))
-        .drop("_row")
-    )
+    wanted = math.ceil(OVERDRAW * size + 64)
+    in_round = max(1, min(n_trees, n // wanted))
+    share = HASH_RANGE * min(n, wanted) // n
+
+    def dealt(deal: Column) -> Column:
+        """The tree a row goes to in this round; numbers from ``n_trees`` on are none."""
+        at = F.floor(F.pmod(F.xxhash64(*ids, F.lit(seed), deal), F.lit(HASH_RANGE)) / share)
+        tree = (deal * in_round + at).cast("int")
+        return F.when(at < in_round, tree).otherwise(n_trees)
+
+    rounds = F.sequence(F.lit(0), F.lit((n_trees - 1) // in_round))
+    trees = F.filter(F.transform(rounds, dealt), lambda t: t < n_trees)
+    drawn = df.withColumn("tree", F.explode(trees))
     rank = Window.partitionBy("tree").orderBy(F.xxhash64(*ids, F.lit(seed + 1), F.col("tree")), *ids)
     return drawn.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= size)
 

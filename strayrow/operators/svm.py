@@ -217,8 +217,9 @@ def _lowest_mean(
     return mean, part * (1 - part) * counts[at] / wanted * width if part < 1 else 0.0
 
 
-def _edges(scores: np.ndarray, copies: np.ndarray, share: float) -> np.ndarray:
+def _edges(scores: np.ndarray, share: float, copies: np.ndarray | None = None) -> np.ndarray:
     """Band edges around the wanted share, from the projections of sampled rows and their counts."""
+    copies = np.ones(len(scores)) if copies is None else copies
     ranks = np.unique(np.minimum(share * np.array(EDGE_SHARES), 1.0))
     order = np.argsort(scores, kind="stable")
     upto = np.cumsum(copies[order])
@@ -306,7 +307,7 @@ def fit_plane(
     sample = mapping(sample)
 
     def find_corner(share: float) -> tuple[np.ndarray, float]:
-        edges = _edges(sample @ normal, copies, share)
+        edges = _edges(sample @ normal, share, copies)
         found = _lowest_mean(df, features, mapping, normal, share, stats.n, edges)
         if found is not None and found[1] <= 0.5 * tol * (normal @ normal):
             return found

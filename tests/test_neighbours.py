@@ -205,3 +205,14 @@ def test_copies_do_not_divide_by_zero(spark):
 def test_neighbourhood_is_cut_to_the_table(spark):
     x = np.random.default_rng(10).standard_normal((8, 2))
     assert lof.fit_lof(table(spark, x), ["f0", "f1"], "id").n_neighbors == 7
+
+
+def test_rows_that_share_an_id_keep_their_own_factor(spark):
+    x = np.random.default_rng(3).standard_normal((60, 2))
+    model = lof.fit_lof(table(spark, x), ["f0", "f1"], "id", 5)
+    points = [(7, 0.0, 0.0), (7, 5.0, 5.0), (8, 1.0, 0.0), (7, 0.0, 0.0)]
+    new = spark.createDataFrame(points, "id long, f0 double, f1 double")
+    alone = spark.createDataFrame([(i, *p[1:]) for i, p in enumerate(points)], new.schema)
+    got = sorted(r["score"] for r in model.flag(new, "id").collect())
+    assert np.allclose(got, sorted(by_id(model.flag(alone, "id"), "score")), rtol=1e-12)
+    assert [r["id"] for r in model.flag(new, "id").orderBy("id").collect()] == [7, 7, 7, 8]
