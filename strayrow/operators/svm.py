@@ -147,7 +147,9 @@ def hashed_rows(
         distinct = inside.groupBy("_h", *cells).agg(F.count(F.lit(1)).alias("_n"))
         picked = distinct.orderBy("_h", *cells).limit(count).toPandas()
         if len(picked) == count or share == 1.0:
-            return picked[list(features)].to_numpy(dtype=float), picked["_n"].to_numpy(dtype=float)
+            # The layout of a stored and loaded model, so that both give the same bits.
+            found = np.ascontiguousarray(picked[list(features)].to_numpy(dtype=float))
+            return found, picked["_n"].to_numpy(dtype=float)
         share = min(1.0, 64 * share)
 
 
