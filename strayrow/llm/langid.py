@@ -23,7 +23,8 @@ ORDERS = (4, 3, 2, 1)
 FIT_ROWS = 8000  # labelled documents the model is fitted on, at most
 WORDS, GRAMS = 150_000, 60_000  # entries of the model: words, and n-grams of each order
 SMOOTHING = 0.1
-PART = 1 << 20  # characters looked at once
+PART = 1 << 20  # characters looked at once in fitting, where a word counts once a part
+PREDICT_PART = 1 << 18  # the same in predicting
 _letters: list[np.ndarray] = []
 
 
@@ -66,13 +67,13 @@ class Letters:
         return owner, mix(self.span(at, at + order) + np.uint64(order))
 
 
-def parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Lower-cased texts in lots of about PART characters; longer ones are cut between words."""
+def parts(texts: list[str | None], limit: int = PART) -> Iterator[tuple[list[int], list[str]]]:
+    """Lower-cased texts in lots of about ``limit`` characters; longer ones are cut between words."""
     rows, lot, size = [], [], 0
     for i, text in enumerate(texts):
         text = (text or "").lower()
-        while len(text) > PART:
-            cut = PART
+        while len(text) > limit:
+            cut = limit
             while cut < len(text) and text[cut - 1].isalpha():
                 cut += 1
             yield [i], [text[:cut]]
@@ -80,7 +81,7 @@ def parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         rows.append(i)
         lot.append(text)
         size += len(text)
-        if size > PART:
+        if size > limit:
             yield rows, lot
             rows, lot, size = [], [], 0
     if rows:
@@ -120,7 +121,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: index of the language, its posterior, and the number of words."""
         sums, n = np.zeros((len(texts), max(len(self.langs), 1))), np.zeros(len(texts), dtype=np.int64)
-        for rows, lot in parts(texts):
+        for rows, lot in parts(texts, PREDICT_PART):
             words = Letters(lot)
             counts = np.diff(words.offsets)
             np.add.at(n, rows, counts)

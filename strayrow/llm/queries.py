@@ -17,13 +17,15 @@ from strayrow.session import ship_package
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Executors get the package; Arrow batches get fewer rows, since rows hold whole texts."""
+    """Executors get the package; Arrow batches get fewer rows and bytes, since rows hold whole texts."""
     ship_package(spark)
     if int(spark.conf.get(BATCH_ROWS)) > 1000:
         spark.conf.set(BATCH_ROWS, "1000")
+    spark.conf.set(BATCH_BYTES, str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
