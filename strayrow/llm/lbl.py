@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.llm.ranks import bounded_sample
+from strayrow.llm.ranks import bounded_sample, one_per_key
 from strayrow.llm.text import SPACED, Words, find, signed, slices
 from strayrow.session import materialize
 
@@ -211,7 +211,7 @@ def fit_lbl(train_docs: DataFrame, counts: Counts, id_col: str, text_col: str, f
             c = c.astype(np.int16)
             yield pa.record_batch([batch.column(id_col).cast(pa.string()), pa.array([c[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary())], ["id", "c"])
 
-    sample = bounded_sample(train_docs.select(id_col, text_col), id_col, fit_rows, "lbl")
+    sample = one_per_key(bounded_sample(train_docs.select(id_col, text_col), id_col, fit_rows, "lbl"), id_col, text_col)
     got = sample.mapInArrow(read, "id string, c binary").toArrow().to_pandas().sort_values(["id", "c"])
     return train([np.frombuffer(x, np.int16) for x in got["c"]])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strayrow.llm.ranks import bounded_sample
+from strayrow.llm.ranks import bounded_sample, one_per_key
 from strayrow.llm.text import runs
 from strayrow.session import materialize
 
@@ -171,7 +171,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     """
     spark = df.sparkSession
     rows = materialize(usable(df, id_col, vector_col).withColumn("id", F.col("id").cast("long")), "mih-rows")
-    sample = bounded_sample(rows.select("id", "v"), "id", FIT_ROWS, "mih").toArrow()
+    sample = one_per_key(bounded_sample(rows.select("id", "v"), "id", FIT_ROWS, "mih"), "id", "v").toArrow()
     empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     if sample.num_rows < 2:
         return empty

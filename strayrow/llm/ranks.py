@@ -52,6 +52,11 @@ def bounded_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_000_000)) < million)
 
 
+def one_per_key(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row of each key, the least of its rows, so that a bounded sample of keys stays bounded however often one repeats."""
+    return df.groupBy(key).agg(F.min(F.struct(*columns)).alias("_least")).select(key, "_least.*")
+
+
 def bit_table(keys: DataFrame, key: str, bits: int) -> np.ndarray:
     """A table of ``2**bits`` bits with the bit of every key set; bits are the key's top ones.
 
