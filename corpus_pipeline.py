@@ -37,8 +37,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = jaccard.jaccard_components(docs, 5, 80).select("doc_id", "component_id")
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # the same row may occur twice; one stays
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # the same row may occur twice; one stays. Rows without an id cannot be named as copies and stay
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
