@@ -1,15 +1,15 @@
 """Main text of web pages, with a suffix array over the pages of each host.
 
-A page becomes blocks of text with the regions they stand in. What an article or main
-region holds is kept; what stands in menus, headers, footers, sidebars, notices, adverts,
-forms and comments is not. The other blocks (all blocks, on pages without such a region)
-are token streams. The streams of a host are concatenated, a suffix array finds the
-substrings that stand on several distinct pages, and tokens they cover are removed as
-boilerplate; the unique runs stay.
-
-Hosts of any size: pages of a host are dealt into lots of bounded size by a hash,
-every lot has its own suffix array, and the repeated substrings of all lots of a host
-are gathered, as hashes of their token windows, before they are removed.
+A page becomes blocks of text with the regions they stand in. What stands in menus,
+headers, footers, sidebars, notices, adverts, forms and comments is not main text. Where
+a page has an article or main region, what it holds is; elsewhere all other blocks are.
+Token streams of whole pages, main regions among them, are concatenated by host, a suffix
+array finds the substrings that stand on several distinct pages, and tokens they cover are
+removed as boilerplate; the unique runs stay.
+
+Hosts of any size: pages of a host are dealt into lots of bounded size by a hash and every
+lot has its own suffix array. Where a host has several lots, each tells for all its token
+windows on how many distinct pages they stand, and the sums over the lots decide.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strayrow.llm.ranks import bit_table, bits_set
 from strayrow.llm.text import find, mix
 from strayrow.session import materialize
 
 RUN = 8  # tokens that a repeated substring has at least
 PAGES = 3  # distinct pages it must stand on
-LOT = 2000  # pages of a suffix array, about
+LOT = 300_000  # tokens of a suffix array, about; what is found does not depend on it
+COPY = 0.8  # a main region of which repeats cover more than this share is a copied article
+WINDOW_BITS = 26
 
 # fixed values: names of HTML elements
 SILENT = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "option", "button", "textarea", "form", "nav", "footer", "aside", "header", "menu", "dialog", "fieldset"}
@@ -50,18 +53,23 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*
 SPACE = re.compile(r"\s+")
 
 
-def unwanted(name: str, attributes: str) -> bool:
+NAMED, SURE = 1, 2
+
+
+def unwanted(name: str, attributes: str) -> int:
+    """Whether an element is unwanted: by a class or id only (NAMED), or by what it is (SURE)."""
     if name in SILENT:
-        return True
+        return SURE
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
+    named = 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").strip()
         if key in ("class", "id") and UNWANTED.search(value):
-            return True
+            named = NAMED
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            return SURE
+    return named
 
 
 MAIN_TEXT, OPEN, DROPPED = 0, 1, 2
@@ -72,18 +80,25 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
 
     Broken markup is taken as browsers do, roughly: an end tag closes its nearest open
     element and all within, one without a start is ignored, open elements end with the page.
+
+    An unwanted class or id above an article or main region does not drop it (layouts are
+    named 'has-sidebar'), but of articles under several such names those under the fewest
+    count, so comments and teasers beside an article do not. Where all regions stand under
+    such names, they are open text like the rest of the page.
     """
     page = page or ""
     out, text = [], []
-    stack: list[tuple[str, bool, bool]] = []  # name, unwanted here or above, main here or above
+    # name, how unwanted here or above, main here or above, unwanted names so far, those above the region, article here or above
+    stack: list[tuple[str, int, bool, int, int, bool]] = []
+    outside = ("", 0, False, 0, 0, False)
     at, end = 0, len(page)
 
     def close() -> None:
         if text:
             joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                _, bad, main = stack[-1] if stack else ("", False, False)
-                out.append((DROPPED if bad else MAIN_TEXT if main else OPEN, joined))
+                _, bad, main, level, root, article = stack[-1] if stack else outside
+                out.append((DROPPED if bad else MAIN_TEXT if main else OPEN, joined, root, level, article))
             text.clear()
 
     while at < end:
@@ -99,37 +114,54 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
-                close() if name in BLOCKS or any(s[0] in BLOCKS for s in stack[depth:]) or stack[depth][1] != (depth > 0 and stack[depth - 1][1]) else None
+                close() if name in BLOCKS or any(s[0] in BLOCKS for s in stack[depth:]) or stack[depth][1] != (stack[depth - 1][1] if depth else 0) else None
                 del stack[depth:]
             continue
-        within = bool(stack) and stack[-1][2]
-        # the header of an article holds its title
-        bad = bool(stack) and stack[-1][1] or unwanted(name, m[3]) and not (name == "header" and within)
-        if bad and not (stack and stack[-1][1]):
+        _, above, within, level, root, article = stack[-1] if stack else outside
+        own = unwanted(name, m[3])
+        level += own == NAMED
+        root = root if within else level
+        if name in MAIN:
+            # what is named above does not count here, nor the own name of a main element
+            bad = max(above if above == SURE else 0, own if own == SURE or name == "article" else 0)
+        else:
+            # the header of an article holds its title
+            bad = max(above, 0 if name == "header" and within else own)
+        if bad and not above:
             close()
         if name in VOID or m[3].endswith("/"):
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        stack.append((name, bad, name in MAIN or within))
+        stack.append((name, bad, name in MAIN or within, level, root, name == "article" or article))
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
             stack.pop()
     close()
-    return out
+    root = min((r for kind, _, r, _, _ in out if kind == MAIN_TEXT), default=0)
+    least = min((level for kind, _, r, level, article in out if kind == MAIN_TEXT and r == root and article), default=len(page))
+    main = OPEN if root else MAIN_TEXT
+    return [(kind if kind != MAIN_TEXT else main if r == root and level <= least else DROPPED, t) for kind, t, r, level, _ in out]
 
 
-def page_parts(page: str | None) -> tuple[list[str], bool, str]:
-    """Blocks that may be main text, whether they stand in a main region, and all other text."""
+def page_parts(page: str | None) -> tuple[list[str], list[bool], bool]:
+    """All blocks, which of them may be main text, and whether those stand in a main region."""
     found = blocks(page)
-    main = [t for k, t in found if k == MAIN_TEXT]
-    rest = " ".join(t for k, t in found if k != MAIN_TEXT)
-    return main or [t for k, t in found if k == OPEN], bool(main), rest
+    safe = any(k == MAIN_TEXT for k, _ in found)
+    wanted = MAIN_TEXT if safe else OPEN
+    return [t for _, t in found], [k == wanted for k, _ in found], safe
+
 
+def streams_of(texts: list[str], wanted: list[bool], safe: bool) -> list[list[int]]:
+    """The blocks of each token stream of a page: a main region is one of its own, the last."""
+    if not safe:
+        return [list(range(len(texts)))]
+    return [[i for i, w in enumerate(wanted) if not w], [i for i, w in enumerate(wanted) if w]]
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling of the compared length."""
+
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffixes in order, by doubling of the compared length; in order of their first ``depth`` tokens at least."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     step = 1
@@ -144,6 +176,8 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
         if n == 0 or rank[order[-1]] == n - 1 or step >= n:
             return order
         step *= 2
+        if depth is not None and step >= depth:
+            return order
 
 
 def common(tokens: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -159,24 +193,28 @@ def common(tokens: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.nd
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Starts of windows of ``run`` tokens that stand on at least ``pages`` distinct pages.
+def page_counts(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """A start of every distinct window of ``run`` tokens, and on how many distinct pages it stands.
 
-    Pages are separated by tokens that occur once, so no window crosses them.
+    Streams are separated by tokens that occur once (page -1), and no window that holds one counts.
     """
     if len(tokens) < run:
-        return np.zeros(0, np.int64)
-    order = suffix_array(tokens)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = suffix_array(tokens, run)
     new = np.concatenate([[True], common(tokens, order[:-1], order[1:], run) < run])
     group = np.cumsum(new) - 1  # suffixes that share their first ``run`` tokens
-    seen = np.unique(group * (page.max() + 2) + page[order])
+    seen = np.unique(group * (page.max() + 2) + page[order] + 1)
     distinct = np.bincount(seen // (page.max() + 2), minlength=group[-1] + 1)
-    return order[distinct[group] >= pages]
+    start = order[new]
+    breaks = np.concatenate([[0], np.cumsum(page < 0)])
+    whole = start + run <= len(tokens)
+    whole[whole] = breaks[start[whole] + run] == breaks[start[whole]]
+    return start[whole], distinct[whole]
 
 
 def window_hashes(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
     h = np.zeros(max(len(tokens) - run + 1, 0), dtype=np.uint64)
-    for k in range(run):
+    for k in range(run if len(h) else 0):
         h = mix(h * np.uint64(3) + tokens[k : len(tokens) - run + 1 + k])
     return h
 
@@ -201,85 +239,150 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null or empty pages have the empty text. White space within a block becomes one
     space, blocks are joined by one space, character references are decoded. Where a page
-    has an article or main region, the text is what stands there, and is never taken for
-    boilerplate, however often it repeats; on other pages the runs that the host's other
-    pages do not repeat are kept. Rows that repeat are extracted one by one, and equal
-    streams of a host count as one page. Rows without a usable url share the empty host.
-    Other columns are neither read nor returned.
+    has an article or main region, the text is what stands there, elsewhere what is not
+    unwanted; runs that stand on ``least_pages`` distinct pages of the host are removed.
+    Pages of a host with equal blocks count as one page; equal main regions in different
+    frames count once, too, and a main region that repeats cover nearly whole is a copied
+    article and stays. Rows that repeat are extracted one by one. Rows without a usable
+    url share the empty host. Other columns are neither read nor returned.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             found = [page_parts(x) for x in batch.column("html").to_pylist()]
-            texts, safe, rest = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-            yield pa.record_batch([batch.column("id"), batch.column("url"), batch.column("host"), pa.array(texts, pa.list_(pa.string())), pa.array(safe, pa.bool_()), pa.array(rest, pa.string())],
-                                  ["id", "url", "host", "texts", "safe", "rest"])
+            texts, wanted, safe = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+            rows = row + np.arange(batch.num_rows)
+            row += batch.num_rows
+            tokens = [sum(t.count(" ") + 1 for t in x) for x in texts]
+            yield pa.record_batch(
+                [pa.array(rows, pa.int64()), batch.column("id"), batch.column("url"), batch.column("host"), pa.array(tokens, pa.int64()),
+                 pa.array(texts, pa.list_(pa.string())), pa.array(wanted, pa.list_(pa.bool_())), pa.array(safe, pa.bool_())],
+                ["row", "id", "url", "host", "tokens", "texts", "wanted", "safe"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     url_kind = pages.schema[url_col].dataType.simpleString()
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).alias("html"))
-    schema = f"id {kind}, url {url_kind}, host string, texts array<string>, safe boolean, rest string"
-    parsed = materialize(source.mapInArrow(parse, schema), "pages-blocks").withColumn("sid", F.xxhash64("host", "rest"))
-
-    # the token streams of a host, in lots of bounded size
-    streams = parsed.where("rest != ''").groupBy("sid").agg(F.first("host").alias("host"), F.first("rest").alias("rest"))
-    streams = materialize(streams, "pages-streams")
-    sizes = streams.groupBy("host").agg(F.ceil(F.count("*") / LOT).alias("lots"))
-    dealt = streams.join(sizes, "host").withColumn("lot", F.pmod("sid", F.col("lots")))
-
-    def repeats(key, table):
+    schema = f"row long, id {kind}, url {url_kind}, host string, tokens long, texts array<string>, wanted array<boolean>, safe boolean"
+    # the page's and the main region's own keys
+    region = F.expr("filter(texts, (x, i) -> wanted[i])")
+    parsed = source.mapInArrow(parse, schema).withColumn("sid", F.xxhash64("host", "texts", "wanted")).withColumn("mid", F.when(F.col("safe"), F.xxhash64("host", region)))
+    parsed = materialize(parsed, "pages-blocks")
+
+    # of equal pages one row gives streams, of equal main regions one row gives theirs
+    keys = parsed.where("tokens > 0").select("host", "row", "sid", "mid", "tokens")
+    twins = keys.groupBy("sid").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = keys.join(twins, "sid").where("row != first").select("row", F.lit(2).alias("less"))
+    copies = materialize(copies, "pages-copies")
+    single = keys.join(copies, "row", "left_anti")
+    shared_mains = single.where("mid IS NOT NULL").groupBy("mid").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    framed = single.join(shared_mains, "mid").where("row != first").select("row", F.lit(1).alias("less"))
+    less = materialize(copies.unionByName(framed), "pages-less")
+    lots = single.groupBy("host").agg(F.ceil(F.sum("tokens") / LOT).alias("lots")).where("lots > 1")
+    lots = materialize(lots, "pages-lots")
+    dealt = parsed.where("tokens > 0").join(less, "row", "left").where("less IS NULL OR less < 2").join(lots, "host", "left")
+    dealt = dealt.withColumn("lots", F.coalesce("lots", F.lit(1))).withColumn("lot", F.pmod("sid", F.col("lots")))
+
+    def counts(key, table):
         known: dict[str, int] = {}
         tokens, page = [], []
-        for i, stream in enumerate(table["rest"].to_pylist()):
-            own = [token_hash(w, known) for w in stream.split()]
-            tokens += [*own, token_hash(f"\0{i}", known)]  # a separator of this page's own
-            page += [i] * (len(own) + 1)
+        for i, (texts, wanted, safe, part) in enumerate(zip(*(table[c].to_pylist() for c in ("texts", "wanted", "safe", "less")), strict=True)):
+            streams = streams_of(texts, wanted, safe)
+            for k, stream in enumerate(streams[:1] if safe and part else streams):
+                for b in stream:
+                    own = [token_hash(w, known) for w in texts[b].split(" ")]
+                    tokens += own
+                    page += [i] * len(own)
+                tokens.append(token_hash(f"\0{i} {k}", known))  # a separator of this stream's own
+                page.append(-1)
         t, p = np.array(tokens, dtype=np.uint64), np.array(page, dtype=np.int64)
-        starts = repeated(t, p, run, least_pages)
-        hashes = np.unique(window_hashes(t, run)[starts[starts <= len(t) - run]])
-        return pa.table({"host": pa.array([key[0].as_py()] * len(hashes), pa.string()), "w": pa.array(hashes.view(np.int64))})
-
-    windows = dealt.select("host", "lot", "rest").groupBy("host", "lot").applyInArrow(repeats, "host string, w long").distinct()
-
-    # repeated windows that stand on the pages without a main region
+        starts, n = page_counts(t, p, run)
+        if table["lots"][0].as_py() == 1:
+            starts, n = starts[n >= least_pages], n[n >= least_pages]
+        w = of_host(window_hashes(t, run)[starts], key[0].as_py())
+        return pa.table({"w": pa.array(w.view(np.int64)), "n": pa.array(n.astype(np.int32))})
+
+    told = dealt.select("host", "lot", "lots", "less", "texts", "wanted", "safe").groupBy("host", "lot").applyInArrow(counts, "w long, n int")
+    windows = told.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages).select("w")
+    windows = materialize(windows, "pages-windows")
+    shared = pages.sparkSession.sparkContext.broadcast(bit_table(windows, "w", WINDOW_BITS))
+
+    # repeated windows of every row; the bits pass few others
     def own_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            for sid, host, texts in zip(*(batch.column(c).to_pylist() for c in ("sid", "host", "texts")), strict=True):
-                h = np.unique(np.concatenate([window_hashes(hashes_of(t, known), run) for t in texts])).view(np.int64)
-                yield pa.record_batch([pa.array([sid] * len(h), pa.int64()), pa.array([host] * len(h), pa.string()), pa.array(h)], ["sid", "host", "w"])
-
-    opens = parsed.where("NOT safe AND size(texts) > 0")
-    own = opens.select("sid", "host", "texts").mapInArrow(own_windows, "sid long, host string, w long").distinct()
-    hits = own.join(windows, ["host", "w"]).groupBy("sid").agg(F.collect_list("w").alias("ws"))
+            rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for row, host, texts, wanted, safe in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "texts", "wanted", "safe")), strict=True):
+                stream = streams_of(texts, wanted, safe)[-1]
+                h = np.unique(of_host(window_hashes(hashes_of(" ".join(texts[b] for b in stream), known), run), host))
+                found.append(h[bits_set(shared.value, h)])
+                rows.append(np.full(len(found[-1]), row))
+            yield pa.record_batch([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found).view(np.int64))], ["row", "w"])
+
+    some = parsed.where("exists(wanted, x -> x)")
+    own = some.select("row", "host", "texts", "wanted", "safe").mapInArrow(own_windows, "row long, w long")
+    hits = materialize(own.join(windows, "w").groupBy("row").agg(F.collect_list("w").alias("ws")), "pages-hits")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             out = []
-            for texts, ws in zip(batch.column("texts").to_pylist(), batch.column("ws").to_pylist(), strict=True):
-                out.append([x for x in (unique_runs(t, np.array(sorted(ws or []), dtype=np.int64).view(np.uint64), known, run) for t in texts) if x])
+            for host, texts, wanted, safe, ws in zip(*(batch.column(c).to_pylist() for c in ("host", "texts", "wanted", "safe", "ws")), strict=True):
+                stream = streams_of(texts, wanted, safe)[-1]
+                left = unique_runs([texts[b] for b in stream], np.array(sorted(ws or []), dtype=np.int64).view(np.uint64), host, known, run)
+                before = sum(texts[b].count(" ") + 1 for b in stream)
+                if safe and sum(len(x.split()) for x in left) < (1 - COPY) * before:
+                    left = [texts[b] for b in stream]
+                out.append([x for x, b in zip(left, stream, strict=True) if wanted[b] and x])
             yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(out, pa.list_(pa.string()))], ["id", "url", "texts"])
 
-    pruned = opens.join(hits, "sid", "left").select("id", "url", "texts", "ws").mapInArrow(prune, f"id {kind}, url {url_kind}, texts array<string>")
-    whole = parsed.where("safe OR size(texts) = 0").select("id", "url", "texts").unionByName(pruned)
+    with_hits = parsed.join(hits, "row", "left").select("id", "url", "host", "texts", "wanted", "safe", "ws")
+    pruned = with_hits.mapInArrow(prune, f"id {kind}, url {url_kind}, texts array<string>")
     text = F.array_join("texts", " ")
-    return whole.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    return pruned.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
+def of_host(windows: np.ndarray, host: str) -> np.ndarray:
+    """Window hashes that differ between hosts."""
+    import xxhash
+
+    return mix(windows ^ np.uint64(xxhash.xxh64_intdigest(host)))
 
 
 def hashes_of(text: str, known: dict[str, int]) -> np.ndarray:
     return np.array([token_hash(w, known) for w in text.split()], dtype=np.uint64)
 
 
-def unique_runs(text: str, repeats: np.ndarray, known: dict[str, int], run: int = RUN) -> str:
-    """The text without the tokens that repeated windows cover."""
+def unique_runs(texts: list[str], repeats: np.ndarray, host: str, known: dict[str, int], run: int = RUN) -> list[str]:
+    """The blocks of a stream without the tokens that repeated windows cover.
+
+    Windows may cross blocks: a block that they cover whole goes. Of a block they cover in
+    part, only windows within it are removed, since a block's first words often follow the
+    same menu by chance.
+    """
     if not len(repeats):
-        return text
-    words = text.split()
-    starts = np.flatnonzero(find(np.sort(repeats), window_hashes(hashes_of(text, known), run)) >= 0)
+        return texts
+    words = [t.split() for t in texts]
+    h = window_hashes(hashes_of(" ".join(texts), known), run)
+    starts = np.flatnonzero(find(np.sort(repeats), of_host(h, host)) >= 0)
     if not len(starts):
-        return text
-    change = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + run, -1)
-    return " ".join(w for w, c in zip(words, np.cumsum(change[:-1]), strict=True) if not c)
+        return texts
+    n = sum(map(len, words))
+    block = np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+    def covered(at: np.ndarray) -> np.ndarray:
+        change = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + run, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    whole = np.ones(len(words), dtype=bool)
+    np.logical_and.at(whole, block, covered(starts))
+    gone = covered(starts[block[starts] == block[starts + run - 1]]) | whole[block]
+    out, a = [], 0
+    for w in words:
+        out.append(" ".join(x for x, g in zip(w, gone[a : a + len(w)], strict=True) if not g))
+        a += len(w)
+    return out
