@@ -33,3 +33,14 @@ def test_a_name_above_an_article_does_not_drop_it():
     assert [t for t, w in zip(texts, wanted, strict=True) if w] == ["a"]
     texts, wanted, safe = boilerplate.page_parts("<main>a</main><div class='related'><article>b</article></div>")
     assert [t for t, w in zip(texts, wanted, strict=True) if w] == ["a"] and safe
+
+
+def test_runs_are_counted_over_all_lots_and_frames(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "LOT", 60)
+    pages = [f"<p>{story(i)}</p><div>{NOTICE}</div>" if i % 20 == 0 else f"<p>{story(i)}</p>" for i in range(60)]
+    assert texts(spark, pages) == [story(i) for i in range(60)]
+    # one frame around many articles, and the same notice on one open page
+    pages = [f"<article>{story(i)}</article><footer>{NOTICE}</footer>" for i in range(4)] + [f"<p>{story(9)}</p><div>{NOTICE}</div>"]
+    assert texts(spark, pages)[-1] == story(9)
+    # equal pages are one page
+    assert texts(spark, [f"<p>{story(1)}</p>"] * 4) == [story(1)] * 4
