@@ -44,3 +44,9 @@ def test_runs_are_counted_over_all_lots_and_frames(spark, monkeypatch):
     assert texts(spark, pages)[-1] == story(9)
     # equal pages are one page
     assert texts(spark, [f"<p>{story(1)}</p>"] * 4) == [story(1)] * 4
+
+
+def test_repeated_menus_of_short_blocks_go(spark):
+    menu = "".join(f"<li>item{k}</li>" for k in range(12))
+    pages = [f"<ul>{menu}</ul><p>{story(i)}</p><div>{NOTICE}</div><div>the end</div>" for i in range(4)]
+    assert texts(spark, pages) == [story(i) for i in range(4)]
