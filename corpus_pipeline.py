@@ -32,20 +32,31 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, keep=tuple(COLUMNS)).where("toxicity < 0.5").select(*COLUMNS)
 
 
+def with_rows(docs: DataFrame, label: str) -> DataFrame:
+    """The documents with a key of each row, written so that the keys stay; ids may be missing or repeat."""
+    return materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), f"{label}-rows")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of connected near-duplicates (five words, 0.8) the smallest id stays."""
+    """N-gram Jaccard join: of connected near-duplicates (five words, 0.8) the smallest id stays.
+
+    Of those without an id one stays as well. Texts that share an id are told apart.
+    """
     prepare(spark)
-    found = jaccard.jaccard_components(docs, 5, 80).select("doc_id", "component_id")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # the same row may occur twice; one stays. Rows without an id cannot be named as copies and stay
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    rows = with_rows(docs, "jaccard")
+    found = jaccard.jaccard_components(rows, 5, 80, id_col="_row").select("_row", "component_id")
+    nameless = F.col("doc_id").isNull()
+    least = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id", nameless).agg(F.min(F.struct("doc_id", "_row")).alias("l"))
+    kept = rows.join(least.select("l._row"), "_row", "left_semi").select(*COLUMNS)
+    # texts without words are no copies of each other, but the same row may occur twice; one stays
+    return kept.where(~nameless).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(nameless))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: rows that hold ten consecutive words of a benchmark item go."""
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), 10)
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = with_rows(docs, "contamination")
+    found = contamination.contamination(rows, table(spark, sf_dir, "benchmark"), 10, id_col="_row")
+    return rows.join(found.where("contaminated").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
