@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.llm.text import ALNUM, Words, find, runs, slices
+from strayrow.session import materialize
 
 WINDOWS_PER_PASS = 200_000  # items are searched in blocks of about this many windows
 CANDIDATES = 1 << 20  # (window, place) pairs looked at in one step
@@ -123,8 +124,15 @@ def near_matches(tokens: np.ndarray, text_of: np.ndarray, w: dict[str, np.ndarra
     return win[hit], place[hit]
 
 
+def blocks_of(benchmark: DataFrame, item_text: str = "text") -> int:
+    """In how many blocks the items are searched."""
+    # rough but sure: an item has fewer windows than bytes
+    size = benchmark.agg(F.sum(F.octet_length(item_text) / 4)).first()[0] or 0
+    return max(1, int(-(-size // WINDOWS_PER_PASS)))
+
+
 def search(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text",
-           item_col: str = "item_id", item_text: str = "text", slop: int | None = None) -> Iterator[DataFrame]:
+           item_col: str = "item_id", item_text: str = "text", slop: int | None = None, blocks: int | None = None) -> Iterator[DataFrame]:
     """One DataFrame for each block of items: rows (id, n_words, hit places, items, near items).
 
     The items are a query set that is searched against all documents, in blocks of about
@@ -132,9 +140,7 @@ def search(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("words"))
-    # rough but sure: an item has fewer windows than bytes
-    size = items.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
-    blocks = max(1, int(-(-size // WINDOWS_PER_PASS)))
+    blocks = blocks or blocks_of(benchmark, item_text)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).toArrow()
         w = windows(part, "item", "words", length)
@@ -182,14 +188,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_co
     """Per row of documents: n_words, n_hit, n_items, items_sha256 and contaminated.
 
     Null or empty texts have no words and no hits; items without words match nothing;
-    equal items are both named. Rows that repeat an id are returned one by one when one
-    block holds all items; with several blocks they are joined by id, and rows that share
-    an id share their hits. Other columns are neither read nor returned.
+    equal items are both named. Rows are returned one by one, whether their ids are null,
+    repeat or not: where several blocks hold the items, their results are joined by a
+    number of the row. Other columns are neither read nor returned.
     """
-    parts = list(search(docs, benchmark, length, id_col, text_col, item_col, item_text))
-    if len(parts) == 1:
-        found = parts[0]
+    blocks = blocks_of(benchmark, item_text)
+    if blocks == 1:
+        found = next(search(docs, benchmark, length, id_col, text_col, item_col, item_text, blocks=1))
     else:
+        rows = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("words"), F.monotonically_increasing_id().alias("row"))
+        rows = materialize(rows, "contamination-rows")
+        parts = list(search(rows, benchmark, length, "row", "words", item_col, item_text, blocks=blocks))
         union = parts[0]
         for x in parts[1:]:
             union = union.unionByName(x)
@@ -198,6 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_co
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.flatten(F.collect_list("items")).alias("items"),
         )
+        found = found.join(rows.select(F.col("row").alias("id"), "own"), "id").drop("id").withColumnRenamed("own", "id")
     items = F.array_sort(F.array_distinct("items"))
     return found.select(
         F.col("id").alias(id_col),
