@@ -1,7 +1,8 @@
-"""Benchmark decontamination over a distributed positional inverted index.
+"""Benchmark decontamination by positions of anchor terms, found in scans of the documents.
 
-A benchmark item becomes windows of consecutive words. The index is sharded by document:
-a task keeps, for its own documents, the postings (term, place) of the terms that anchor
+A benchmark item becomes windows of consecutive words. No index is stored: for each block
+of items all documents are scanned twice, for counts of terms and for matches, and a task
+lists, for each slice of its documents, the postings (term, place) of the terms that anchor
 windows. A window is anchored by its two rarest terms, by counts over all documents. The
 postings of the rarest, moved back by its offset, are candidate starts; those of the
 second must hold the same start; then the words of the whole window are compared.
