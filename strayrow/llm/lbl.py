@@ -4,7 +4,8 @@ Tokens are words and one end per text. Frequent words are classes of their own;
 others fall into classes by their last bytes, within which a word has its smoothed share
 of all training tokens of that class. The classes of the two preceding tokens, each with
 its own matrix, predict the vector of the next class. Training contrasts true classes
-with noise from their overall shares; scoring normalises: the model's partition function is
+with noise from their overall shares: in rounds, every task steps over its own rows and the
+tasks' weights are averaged by tokens, so all training rows are learned from; scoring normalises: the model's partition function is
 computed by matrix products for each pair of classes, once.
 """
 
@@ -18,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.llm.ranks import bounded_sample, one_per_key
 from strayrow.llm.text import SPACED, Words, find, signed, slices
 from strayrow.session import materialize
 
@@ -27,7 +27,8 @@ CLASSES = FREQUENT + TAILS + 1
 END = CLASSES - 1
 SUFFIX = 2  # bytes
 DIM, NOISE, BATCH, RATE = 24, 16, 2048, 0.02
-FIT_ROWS = 3000  # training documents the network is fitted on, at most
+ROUNDS = 4  # every training row takes part in one; weights are averaged after each
+LEAST_STEPS, MOST_PASSES = 200, 100  # small tables are passed over several times
 HELD_COUNTS = 1 << 19  # words whose counts go to every task; other counts are joined
 GATHERED = 4_000_000
 SMOOTH = 0.1
@@ -154,69 +155,152 @@ class LogBilinear:
         return out - self.log_z[pair]
 
 
-def train(texts: list[np.ndarray], epochs: float = 1.0, seed: int = 0) -> LogBilinear:
-    """Noise-contrastive estimation with Adam-like steps on the rows that a batch touches."""
+def start(share: np.ndarray, seed: int = 0) -> LogBilinear:
+    """The model before its first step."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    model = LogBilinear(normal(CLASSES, DIM), normal(CLASSES, DIM), np.zeros(CLASSES, np.float32), np.eye(DIM, dtype=np.float32), np.eye(DIM, dtype=np.float32))
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    begins = np.concatenate([[0], np.cumsum(lengths)])
+    return LogBilinear(normal(CLASSES, DIM), normal(CLASSES, DIM), np.log(share).astype(np.float32), np.eye(DIM, dtype=np.float32), np.eye(DIM, dtype=np.float32))
+
+
+def smoothed(n: np.ndarray) -> np.ndarray:
+    return (n + 0.5) / (n.sum() + 0.5 * CLASSES)
+
+
+def places_of(model: LogBilinear) -> list[np.ndarray]:
+    return [model.context, model.target, model.bias, model.one, model.two]
+
+
+def contrast(model: LogBilinear, squares: list[np.ndarray], share: np.ndarray, one: np.ndarray, two: np.ndarray, c: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+    """One noise-contrastive, Adam-like step on the rows that the batch touches."""
+    batch, log_noise = len(c), np.log(share * NOISE)
+    noise = np.minimum(np.searchsorted(np.cumsum(share), rng.random(NOISE * 8)), CLASSES - 1)  # shared by the batch
+    r1, r2, q_t = model.context[one], model.context[two], model.target[c]
+    q = r1 @ model.one + r2 @ model.two
+    s_true = np.einsum("ij,ij->i", q, q_t) + model.bias[c] - log_noise[c]
+    s_noise = q @ model.target[noise].T + model.bias[noise] - log_noise[noise]
+    g_true = (1 / (1 + np.exp(-s_true)) - 1).astype(np.float32) / batch
+    g_noise = (1 / (1 + np.exp(-s_noise))).astype(np.float32) / (batch * 8)
+    g_q = g_true[:, None] * q_t + g_noise @ model.target[noise]
+    places = places_of(model)
+    grads = [np.zeros_like(p) for p in places]
+    np.add.at(grads[0], one, g_q @ model.one.T)
+    np.add.at(grads[0], two, g_q @ model.two.T)
+    np.add.at(grads[1], c, g_true[:, None] * q)
+    np.add.at(grads[1], noise, g_noise.T @ q)
+    np.add.at(grads[2], c, g_true)
+    np.add.at(grads[2], noise, g_noise.sum(axis=0))
+    grads[3], grads[4] = r1.T @ g_q, r2.T @ g_q
+    for p, g, s in zip(places, grads, squares, strict=True):
+        s *= 0.99
+        s += 0.01 * (g * BATCH / 64) ** 2
+        p -= rate * (g * BATCH / 64) / (np.sqrt(s) + 1e-6)
+
+
+def fresh_squares(model: LogBilinear) -> list[np.ndarray]:
+    return [np.full_like(p, 1e-4) for p in places_of(model)]
+
+
+def train(texts: list[np.ndarray], epochs: float = 1.0, seed: int = 0) -> LogBilinear:
+    """Fit on texts held in memory."""
+    rng = np.random.default_rng(seed)
+    begins = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], dtype=np.int64))])
     c = np.concatenate(texts).astype(np.int64) if texts else np.zeros(0, np.int64)
-    share = (np.bincount(c, minlength=CLASSES) + 0.5) / (len(c) + 0.5 * CLASSES)
-    model.bias[:] = np.log(share)
-    if not len(c):
-        model.prepare()
-        return model
-    one, two = contexts(c, begins)
-    log_noise = np.log(share * NOISE)
-    cumulative = np.cumsum(share)
-    places = [model.context, model.target, model.bias, model.one, model.two]
-    squares = [np.full_like(p, 1e-4) for p in places]
-    steps = int(max(200, epochs * len(c) / BATCH))
-    for step in range(steps):
-        at = rng.integers(0, len(c), BATCH)
-        noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE * 8)), CLASSES - 1)  # shared by the batch
-        r1, r2, q_t = model.context[one[at]], model.context[two[at]], model.target[c[at]]
-        q = r1 @ model.one + r2 @ model.two
-        s_true = np.einsum("ij,ij->i", q, q_t) + model.bias[c[at]] - log_noise[c[at]]
-        s_noise = q @ model.target[noise].T + model.bias[noise] - log_noise[noise]
-        g_true = (1 / (1 + np.exp(-s_true)) - 1).astype(np.float32) / BATCH
-        g_noise = (1 / (1 + np.exp(-s_noise))).astype(np.float32) / (BATCH * 8)
-        g_q = g_true[:, None] * q_t + g_noise @ model.target[noise]
-        grads = [np.zeros_like(p) for p in places]
-        np.add.at(grads[0], one[at], g_q @ model.one.T)
-        np.add.at(grads[0], two[at], g_q @ model.two.T)
-        np.add.at(grads[1], c[at], g_true[:, None] * q)
-        np.add.at(grads[1], noise, g_noise.T @ q)
-        np.add.at(grads[2], c[at], g_true)
-        np.add.at(grads[2], noise, g_noise.sum(axis=0))
-        grads[3], grads[4] = r1.T @ g_q, r2.T @ g_q
-        rate = RATE * (1 - step / steps) + 1e-4
-        for p, g, s in zip(places, grads, squares, strict=True):
-            s *= 0.99
-            s += 0.01 * (g * BATCH / 64) ** 2
-            p -= rate * (g * BATCH / 64) / (np.sqrt(s) + 1e-6)
+    share = smoothed(np.bincount(c, minlength=CLASSES))
+    model = start(share, seed)
+    if len(c):
+        one, two = contexts(c, begins)
+        squares, steps = fresh_squares(model), int(max(LEAST_STEPS, epochs * len(c) / BATCH))
+        for step in range(steps):
+            at = rng.integers(0, len(c), BATCH)
+            contrast(model, squares, share, one[at], two[at], c[at], RATE * (1 - step / steps) + 1e-4, rng)
     model.prepare()
     return model
 
 
-def fit_lbl(train_docs: DataFrame, counts: Counts, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> LogBilinear:
-    """Fit the network on at most about ``fit_rows`` whole texts, drawn by a hash of the id."""
-    shared = train_docs.sparkSession.sparkContext.broadcast(counts)
+def packed(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in arrays]).astype(np.float64)
+
+
+def unpacked(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([x.size for x in like])[:-1]
+    return [x.astype(np.float32).reshape(y.shape) for x, y in zip(np.split(flat, cuts), like, strict=True)]
+
+
+def class_share(counts: Counts) -> np.ndarray:
+    """Smoothed shares of the classes among all training tokens."""
+    n = np.bincount(counts.classes, counts.n, CLASSES) if len(counts.classes) else np.zeros(CLASSES)
+    n[FREQUENT : FREQUENT + TAILS] = counts.tail_tokens
+    n[END] = counts.texts
+    return smoothed(n)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            w = Words(batch.column(text_col), SPACED, suffix=SUFFIX)
-            c, begins = with_ends(classes_of(w, shared.value)[0], w.offsets)
-            c = c.astype(np.int16)
-            yield pa.record_batch([batch.column(id_col).cast(pa.string()), pa.array([c[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary())], ["id", "c"])
 
-    sample = one_per_key(bounded_sample(train_docs.select(id_col, text_col), id_col, fit_rows, "lbl"), id_col, text_col)
-    got = sample.mapInArrow(read, "id string, c binary").toArrow().to_pandas().sort_values(["id", "c"])
-    return train([np.frombuffer(x, np.int16) for x in got["c"]])
+def fit_lbl(train_docs: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int = ROUNDS) -> LogBilinear:
+    """Fit the network on all training rows, each of which takes part in one of the rounds.
+
+    In a round every task starts from the common weights, steps over its own rows, and gives
+    back its weights times its tokens; these are summed in about the square root of the
+    number of tasks groups, and the groups' sums on the driver. What a task or the driver
+    holds does not depend on the rows. Small tables are passed over several times.
+    """
+    spark = train_docs.sparkSession
+    share = class_share(counts)
+    model = start(share)
+    squares = fresh_squares(model)
+    if not counts.tokens:
+        model.prepare()
+        return model
+    tasks = max(train_docs.rdd.getNumPartitions(), 1)
+    passes = int(min(MOST_PASSES, max(1, np.ceil(LEAST_STEPS * BATCH * min(tasks, counts.texts) / counts.tokens))))
+    groups = int(np.ceil(np.sqrt(tasks)))
+    parts = train_docs.select(text_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(rounds)).alias("round"))
+    shared_counts = spark.sparkContext.broadcast((counts, share))
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((places_of(model), squares))
+
+        def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+            rng = np.random.default_rng([turn, task])
+            counts, share = shared_counts.value
+            model, squares = LogBilinear(*[x.copy() for x in shared.value[0]]), [x.copy() for x in shared.value[1]]
+            seen = 0
+            for batch in slices(batches, text_col):
+                w = Words(batch.column(text_col), SPACED, suffix=SUFFIX)
+                c, begins = with_ends(classes_of(w, counts)[0], w.offsets)
+                one, two = contexts(c, begins)
+                order = np.concatenate([rng.permutation(len(c)) for _ in range(passes)])
+                for a in range(0, len(order), BATCH):
+                    at = order[a : a + BATCH]
+                    # a short batch takes a step as short
+                    rate = (RATE * (1 - turn / rounds) + 1e-4) * len(at) / BATCH if passes == 1 else RATE * (1 - turn / rounds) + 1e-4
+                    contrast(model, squares, share, one[at], two[at], c[at], rate, rng)
+                seen += len(c)
+            if seen:
+                flat = packed([*places_of(model), *squares]) * seen
+                yield pa.record_batch([pa.array([task % groups]), pa.array([seen]), pa.array([flat.tobytes()], pa.binary())], ["g", "n", "w"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(0)
+            for x in table["w"]:
+                flat = np.frombuffer(x.as_buffer(), np.float64)
+                total = flat + total if len(total) else flat.copy()
+            return pa.table({"n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
+
+        told = parts.where(F.col("round") == turn).select(text_col).mapInArrow(learn, "g long, n long, w binary")
+        got = told.groupBy("g").applyInArrow(add, "n long, w binary").toArrow()
+        if got.num_rows:
+            whole = add(got)
+            flat = np.frombuffer(whole["w"][0].as_buffer(), np.float64) / whole["n"][0].as_py()
+            like = [*places_of(model), *squares]
+            new = unpacked(flat, like)
+            model, squares = LogBilinear(*new[:5]), new[5:]
+        shared.unpersist()
+    model.prepare()
+    return model
 
 
-def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), fit_rows: int = FIT_ROWS) -> DataFrame:
+def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, kept columns, n_tokens, n_known, train_tokens, base_score and score.
 
     A null or empty text is one end. Every row is scored by itself, whatever repeats. Without
@@ -226,7 +310,7 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     table = materialize(count_words(train_docs, text_col), "lbl-counts")
     counts = summarise(table, train_docs.count())
-    model = fit_lbl(train_docs, counts, id_col, text_col, fit_rows)
+    model = fit_lbl(train_docs, counts, id_col, text_col)
     shared = spark.sparkContext.broadcast((counts, model))
     own = list(dict.fromkeys((id_col, *keep)))
 
