@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.llm import boilerplate, contamination, jaccard, langid, lbl, mih, packing, preference, sharding, toxicity
+from strayrow.llm import boilerplate, contamination, filter_audit, jaccard, langid, lbl, mih, packing, preference, sharding, toxicity
 from strayrow.llm.ranks import remainder
 from strayrow.session import ship_package
 
@@ -90,6 +90,10 @@ def conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lpt": shard_lpt,
     "op2_multi_index_hashing": multi_index_hashing,
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_log_bilinear": log_bilinear,
     "op9_positional_index": positional_index,
     "op10_conv_toxicity": conv_toxicity,
+    "op11_filter_diagrams": filter_diagrams,
 }
 
 # One turn as text, and the span of an answer with its end mark.
@@ -129,4 +134,5 @@ PREFERENCE_SQL = """
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference_format": PREFERENCE_SQL,
+    "op11_filter_diagrams": filter_audit.AUDIT_SQL,
 }
