@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.llm import boilerplate, contamination, filter_audit, jaccard, langid, lbl, mih, packing, preference, sharding, toxicity
+from strayrow.llm import boilerplate, contamination, filter_audit, hard_negatives, jaccard, langid, lbl, mih, minmax, packing, preference, sharding, toxicity
 from strayrow.llm.ranks import remainder
 from strayrow.session import ship_package
 
@@ -94,6 +94,16 @@ def filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), lambda c: c % 50 == 0)
+
+
+def minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), 5, 85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lpt": shard_lpt,
     "op2_multi_index_hashing": multi_index_hashing,
@@ -106,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_positional_index": positional_index,
     "op10_conv_toxicity": conv_toxicity,
     "op11_filter_diagrams": filter_diagrams,
+    "op12_lemp_negatives": lemp_negatives,
+    "op13_minmax_hashing": minmax_hashing,
 }
 
 # One turn as text, and the span of an answer with its end mark.
@@ -135,4 +147,5 @@ PREFERENCE_SQL = """
 ORACLE_SQL: dict[str, str] = {
     "op3_preference_format": PREFERENCE_SQL,
     "op11_filter_diagrams": filter_audit.AUDIT_SQL,
+    "op12_lemp_negatives": hard_negatives.MINING_SQL,
 }
