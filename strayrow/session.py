@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +55,51 @@ def release(spark: SparkSession) -> int:
     this comes last; a saved model keeps its own copy. Gives the number of tables.
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for text in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
-        path.getFileSystem(hadoop).delete(path, True)
+    for path in paths:
+        delete_folder(spark, path)
     return len(paths)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Spark's file systems; a missing one is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Derived tables of one job; see :func:`scratch`."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` as :func:`materialize` does and return the table, which lives as long as the block."""
+        path = new_path(self._spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the tables written so far."""
+        while self.paths:
+            delete_folder(self._spark, self.paths.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A block whose derived tables are deleted at its end, also after an error.
+
+    What the block returns must not read them any more: write it with
+    :func:`materialize` or to its own place inside the block.
+    """
+    tables = Scratch(spark)
+    try:
+        yield tables
+    finally:
+        tables.clear()
+
+
 # Tables up to this size are spread over all cores before heavy work per row.
 SMALL_ROWS = 1_000_000
 
