@@ -132,7 +132,7 @@ def _plain_search(queries, points, take, order, limit):
         yield rows + start, cols, distance
 
 
-def _closest(rows, pivots, order):
+def closest(rows, pivots, order):
     """Nearest pivot of every row, and the distance to it."""
     at, reach = np.empty(len(rows), dtype=np.int64), np.empty(len(rows))
     step = max(1, MATRIX_CELLS // len(pivots))
@@ -164,7 +164,7 @@ def _cell_search(queries, points, take, order, limit):
     as its bound.
     """
     pivots = points[:: max(1, round(np.sqrt(len(points))))]
-    cell, reach = _closest(points, pivots, order)
+    cell, reach = closest(points, pivots, order)
     members = np.argsort(cell, kind="stable")
     counts = np.bincount(cell, minlength=len(pivots))
     starts = np.r_[0, np.cumsum(counts)]
@@ -176,7 +176,7 @@ def _cell_search(queries, points, take, order, limit):
     def rows_of(cells):
         return np.concatenate([members[starts[j] : starts[j + 1]] for j in cells])
 
-    home, away = _closest(queries, pivots, order)
+    home, away = closest(queries, pivots, order)
     for c in np.unique(home):
         mine = np.flatnonzero(home == c)
         bound = limit[mine].copy()

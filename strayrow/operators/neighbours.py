@@ -8,15 +8,22 @@ closer point by the triangle inequality. Only those are asked in a second round.
 Cells and the rows that ask them are cut into blocks of bounded size, so one task
 never holds a whole crowded cell.
 
-The bounds are exact for every supported metric. In many dimensions they exclude
-little, and the join comes close to comparing all blocks with all.
+Pivots are bounded in number. Where that leaves cells crowded they are split around
+pivots of their own, level by level (``ball_tree``).
+
+Wide vectors are searched by short codes first (``leading_axes``): cells and bounds are
+those of the codes, codes alone visit the cells in reach, and a whole vector goes only
+to its own cell and to those where a code shows that a closer point is possible.
+
+The bounds are exact for every supported metric. Where many dimensions vary alike they
+exclude little, and the join comes close to comparing all blocks with all.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +40,12 @@ from strayrow.functions.distance import (
     pairwise,
     within_reach,
 )
+from strayrow.operators import ball_tree
 from strayrow.operators.frame import as_list
+from strayrow.operators.leading_axes import Axes, choose_axes, with_codes
 from strayrow.session import materialize
 
-METHODS = ("auto", "broadcast", "pivot")
+METHODS = ("auto", "broadcast", "pivot", "axes")
 # Largest point set that is sent to every task, in points and in bytes.
 BROADCAST_POINTS = 20_000
 BROADCAST_BYTES = 16 << 20
@@ -47,6 +56,10 @@ PIVOT_BYTES = 32 << 20
 # Bytes of feature values in one block of points or of asking rows.
 BLOCK_BYTES = 32 << 20
 BROADCAST_BLOCKS = 1_000_000
+# From this width on, points that are not sent to every task are searched by codes.
+WIDE = 24
+# Points that show the leading axes.
+AXES_SAMPLE = 4096
 
 
 @dataclass(frozen=True)
@@ -60,6 +73,7 @@ class PointIndex:
     order: float
     cell_points: int = CELL_POINTS
     block_rows: int | None = None
+    max_pivots: int | None = None
     cells: dict = field(default_factory=dict, compare=False)
 
     @property
@@ -97,7 +111,13 @@ def build_index(
     p: float = 2,
     cell_points: int = CELL_POINTS,
     block_rows: int | None = None,
+    max_pivots: int | None = None,
 ) -> PointIndex:
+    """Index of the distinct points; cells aim at ``cell_points`` of them.
+
+    ``max_pivots`` bounds the pivots that one task holds, ``block_rows`` the rows of a
+    block; both follow from the width if not given.
+    """
     order = metric_order(metric, p)
     points = (
         df.select(point_id(as_list(id_col)).alias("pid"), feature_array(features).alias("f"))
@@ -105,7 +125,8 @@ def build_index(
         .agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("w"))
         .select("pid", "f", "w")
     )
-    return index_of_points(materialize(points, "points"), features, order, cell_points, block_rows)
+    points = materialize(points, "points")
+    return index_of_points(points, features, order, cell_points, block_rows, max_pivots)
 
 
 def index_of_points(
@@ -114,12 +135,13 @@ def index_of_points(
     order: float,
     cell_points: int = CELL_POINTS,
     block_rows: int | None = None,
+    max_pivots: int | None = None,
 ) -> PointIndex:
     size = points.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("rows")).first()
     if not size["n"]:
         raise ValueError("cannot look for neighbours in an empty table")
     return PointIndex(
-        points, tuple(features), size["n"], size["rows"], order, cell_points, block_rows
+        points, tuple(features), size["n"], size["rows"], order, cell_points, block_rows, max_pivots
     )
 
 
@@ -144,13 +166,14 @@ def neighbours(
     check_k(k, index.n_rows)
     kept = [F.col(f"`{c}`") for c in [*ids, *carry]]
     rows = df.select(*kept, feature_array(index.features).alias("f"))
-    if chosen_method(index, method) == "broadcast":
+    method = chosen_method(index, method)
+    if method == "broadcast":
         return _ask_everywhere(rows, index, k, exclude_self=False)
     # Both sides of the join back must hold the same bits, also if a sum upstream would
     # come out differently when it is computed again.
     rows = materialize(rows, "rows")
     distinct = rows.groupBy("f").agg(F.min(point_id(ids)).alias("qid")).select("qid", "f")
-    found = _ask_cells(distinct, index, k, exclude_self=False)
+    found = _search(method)(distinct, index, k, exclude_self=False)
     back = found.join(distinct, "qid").select("f", "neighbours")
     return rows.join(back, "f").select(*kept, "neighbours")
 
@@ -190,10 +213,11 @@ def build_graph(
 def self_neighbours(index: PointIndex, k: int, method: str = "auto") -> DataFrame:
     """``pid``, ``w`` and ``neighbours`` of every training point, the row itself left out."""
     check_k(k, index.n_rows - 1)
-    if chosen_method(index, method) == "broadcast":
+    method = chosen_method(index, method)
+    if method == "broadcast":
         return _ask_everywhere(index.points.select("pid", "w", "f"), index, k, exclude_self=True)
     asking = index.points.select(F.col("pid").alias("qid"), "f")
-    found = _ask_cells(asking, index, k, exclude_self=True)
+    found = _search(method)(asking, index, k, exclude_self=True)
     return found.join(index.points.select(F.col("pid").alias("qid"), "w"), "qid").select(
         F.col("qid").alias("pid"), "w", "neighbours"
     )
@@ -223,6 +247,19 @@ def join_points(edges: DataFrame, points: DataFrame, on: str, index: PointIndex)
     return edges.join(side, on)
 
 
+def prepare(index: PointIndex, method: str = "auto") -> None:
+    """Derive the tables that every search of the index reads, where it needs any.
+
+    A search does so by itself the first time; done ahead, several searches share them
+    whose own tables are cleaned up one by one.
+    """
+    method = chosen_method(index, method)
+    if method == "axes":
+        _cell_table(_code_index(index)[0])
+    elif method == "pivot":
+        _cell_table(index)
+
+
 def distances(neighbour_column: str = "neighbours") -> Column:
     return F.transform(F.col(neighbour_column), lambda x: x["distance"])
 
@@ -238,10 +275,16 @@ def chosen_method(index: PointIndex, method: str) -> str:
     if method == "broadcast" and not index.fits_broadcast():
         raise ValueError("the training points are too many to send to every task")
     if method == "auto":
-        return "broadcast" if index.fits_broadcast() else "pivot"
+        if index.fits_broadcast():
+            return "broadcast"
+        return "axes" if index.width >= WIDE else "pivot"
     return method
 
 
+def _search(method: str):
+    return _ask_codes if method == "axes" else _ask_cells
+
+
 def _sorted_points(table: pa.Table, width: int):
     """Ids, matrix and copy counts of a block, in the order of the ids."""
     table = table.take(pc.sort_indices(table, sort_keys=[("pid", "ascending")]))
@@ -328,10 +371,12 @@ class _Cells:
         return cell, reach
 
 
-def _choose_cells(index: PointIndex) -> _Cells:
-    """Pivots are the points with the smallest feature hash: a sample fixed by the data."""
-    most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * index.width)))
-    wanted = min(most, math.ceil(index.n_points / index.cell_points))
+def _most_pivots(index: PointIndex) -> int:
+    return index.max_pivots or max(2, min(MAX_PIVOTS, PIVOT_BYTES // (8 * index.width)))
+
+
+def _by_hash(index: PointIndex, wanted: int) -> np.ndarray:
+    """Points with the smallest feature hash, a sample fixed by the data; at least one."""
     modulus = max(1, index.n_points // (2 * wanted))
     hashed = index.points.select("f", F.xxhash64("f").alias("h")).filter(
         F.pmod("h", F.lit(modulus)) == 0
@@ -339,7 +384,12 @@ def _choose_cells(index: PointIndex) -> _Cells:
     table = hashed.orderBy("h", "f").limit(wanted).select("f").toArrow()
     if table.num_rows == 0:
         table = index.points.select("f").limit(1).toArrow()
-    pivots = to_matrix(table["f"], index.width)
+    return to_matrix(table["f"], index.width)
+
+
+def _choose_cells(index: PointIndex) -> _Cells:
+    wanted = min(_most_pivots(index), math.ceil(index.n_points / index.cell_points))
+    pivots = _by_hash(index, wanted)
     coarse = pivots[: math.ceil(math.sqrt(len(pivots)))]
     group = np.concatenate(
         [
@@ -387,24 +437,44 @@ def _cell_table(index: PointIndex):
         weight = np.zeros(n_cells)
         # A cell without points can not be reached.
         low, high = np.full(n_cells, np.inf), np.full(n_cells, -np.inf)
+        crowded = np.zeros(n_cells, dtype=bool)
         for r in found:
             c = r["cell"]
             parts[c] = math.ceil(r["n"] / index.rows_per_block)
             weight[c], low[c], high[c] = r["w"], r["low"], r["high"]
-        first = np.r_[0, np.cumsum(parts)]
+            crowded[c] = r["n"] > 2 * index.cell_points
+        # Fewer pivots than the points ask for: crowded cells get pivots of their own.
+        fan = _most_pivots(index)
+        tree = None
+        if crowded.any() and math.ceil(index.n_points / index.cell_points) > fan:
+            rooted = placed.withColumn("node", (F.col("cell") + 1).cast("long"))
+            tree = ball_tree.grow(
+                rooted, index.width, index.order, index.cell_points, index.rows_per_block, fan
+            )
+            parts = np.minimum(parts, ball_tree.PARTS)
+            first = (np.arange(n_cells + 1) + 1) * ball_tree.PARTS
+            blocks = math.ceil(index.n_points / index.cell_points)
+            placed = _with_leaf_block(tree.placed, tree, "pid")
+        else:
+            crowded[:] = False
+            first = np.r_[0, np.cumsum(parts)]
+            blocks = int(first[-1])
         layout = index.points.sparkSession.createDataFrame(
             [(c, int(first[c]), int(parts[c])) for c in range(n_cells)],
-            "cell int, first int, parts int",
+            "cell int, first long, parts int",
         )
         index.cells.update(
             cells=cells,
-            placed=_with_block(placed, layout, "pid"),
+            placed=placed if tree else _with_block(placed, layout, "pid"),
             layout=layout,
             first=first,
             parts=parts,
             weight=weight,
             low=low,
             high=high,
+            blocks=blocks,
+            tree=tree,
+            split=crowded,
         )
     return index.cells
 
@@ -414,11 +484,29 @@ def _with_block(placed: DataFrame, layout: DataFrame, key: str) -> DataFrame:
     part = F.pmod(F.xxhash64(key), F.col("parts").cast("long"))
     return (
         placed.join(F.broadcast(layout), "cell")
-        .withColumn("block", (F.col("first") + part).cast("int"))
+        .withColumn("block", F.col("first") + part)
         .drop("first", "parts")
     )
 
 
+def _with_leaf_block(rows: DataFrame, tree: ball_tree.Tree, key: str) -> DataFrame:
+    """The block of rows whose leaf is known; their number of leaves grows with the points."""
+    sizes = ball_tree.leaf_sizes(tree)
+    block = ball_tree.block_number(F.col("node"), F.col("n"), F.col(key), tree.rows_per_block)
+    # new rows may be nearest to a pivot that holds no point
+    return rows.join(sizes, "node", "left").withColumn("block", block).drop("node", "n")
+
+
+def _located(asking: DataFrame, index: PointIndex) -> DataFrame:
+    """New rows (qid, f, ...) with the distance to their pivot and their home block."""
+    table = _cell_table(index)
+    placed = _with_cell(asking, table["cells"], index.width)
+    if table["tree"] is None:
+        return _with_block(placed, table["layout"], "qid")
+    rooted = materialize(placed.withColumn("node", (F.col("cell") + 1).cast("long")), "rooted")
+    return _with_leaf_block(ball_tree.locate(rooted, table["tree"], "qid"), table["tree"], "qid")
+
+
 def _ask_cells(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool) -> DataFrame:
     """``qid`` and ``neighbours`` of the asking points ``(qid, f)``, which are distinct."""
     table = _cell_table(index)
@@ -426,42 +514,126 @@ def _ask_cells(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool)
     if exclude_self:
         asking = table["placed"].withColumnRenamed("pid", "qid")
     else:
-        asking = _with_block(
-            _with_cell(asking, table["cells"], index.width), table["layout"], "qid"
-        )
-    home = asking.select(
-        "qid", "f", "reach", F.lit(float("inf")).alias("bound"), F.array("block").alias("blocks")
-    )
+        asking = _located(asking, index)
+    home = asking.select("qid", "f", "reach", F.lit(float("inf")).alias("bound"), "block")
     if not exclude_self:
         home = materialize(home, "asking")
     first = _ask_blocks(home, table["placed"], index, k, exclude_self)
-    if int(table["first"][-1]) == 1:
+    if table["blocks"] == 1:
         return first
     first = materialize(first, "first")
-    # Rows whose home block holds fewer than k points have no bound yet.
-    bound = F.when(F.size("neighbours") >= k, F.element_at("neighbours", k)["distance"])
-    known = home.join(first, "qid", "left").select(
-        "qid",
-        "f",
-        "reach",
-        F.coalesce(bound, F.lit(float("inf"))).alias("bound"),
-        F.get("blocks", 0).alias("home"),
+    known = home.drop("bound").join(first, "qid", "left").select(
+        "qid", "f", "reach", _bound(k).alias("bound"), F.col("block").alias("home")
     )
-    others = materialize(_reachable(known, index, k + int(exclude_self)), "asking-more")
+    others = _reachable(known, index, k + int(exclude_self))
     # A point is in its home block, so here nothing is left out.
     more = _ask_blocks(others, table["placed"], index, k, exclude_self=False)
+    return _merged(first, more, k)
+
+
+def _bound(k: int) -> Column:
+    """Distance to the k-th neighbour found; rows whose home block holds fewer have no bound yet."""
+    found = F.when(F.size("neighbours") >= k, F.element_at("neighbours", k)["distance"])
+    return F.coalesce(found, F.lit(float("inf")))
+
+
+def _merged(first: DataFrame, more: DataFrame, k: int) -> DataFrame:
     every = first.unionByName(more).groupBy("qid").agg(F.collect_list("neighbours").alias("lists"))
     return every.select(
         "qid", F.slice(F.sort_array(F.flatten("lists")), 1, k).alias("neighbours")
     )
 
 
-def _reachable(known: DataFrame, index: PointIndex, need: int) -> DataFrame:
-    """Blocks other than the home block that can hold a point within the bound of a row."""
+def _code_index(index: PointIndex) -> tuple[PointIndex, Axes]:
+    """Index of the codes of wide points, which keep their vectors as ``full``; once per index."""
+    if "codes" not in index.cells:
+        axes = choose_axes(_by_hash(index, min(index.n_points, AXES_SAMPLE)), index.order)
+        points = materialize(with_codes(index.points, axes), "codes")
+        codes = PointIndex(
+            points, tuple(f"c{i}" for i in range(axes.width)), index.n_points, index.n_rows, 2.0,
+            index.cell_points, index.rows_per_block, index.max_pivots,
+        )
+        index.cells.update(codes=codes, axes=axes)
+    return index.cells["codes"], index.cells["axes"]
+
+
+def _ask_codes(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool) -> DataFrame:
+    """As :func:`_ask_cells` for wide points: cells are those of their codes."""
+    codes, axes = _code_index(index)
+    table = _cell_table(codes)
+    if exclude_self:
+        home = table["placed"].withColumnRenamed("pid", "qid").select("qid", "f", "full", "reach", "block")
+    else:
+        home = materialize(_located(with_codes(asking, axes), codes).select("qid", "f", "full", "reach", "block"), "asking")
+    whole = home.select("qid", F.col("full").alias("f"), F.lit(float("inf")).alias("bound"), "block")
+    points = table["placed"].select("pid", F.col("full").alias("f"), "w", "block")
+    wide = replace(index, cells=table)
+    first = _ask_blocks(whole, points, wide, k, exclude_self)
+    if table["blocks"] == 1:
+        return first
+    first = materialize(first, "first")
+    bounds = home.join(first, "qid", "left").select("qid", "full", _bound(k).alias("bound"))
+    visits = _code_visits(home, first, index, k, exclude_self)
+    visits = visits.join(bounds, "qid").select("qid", F.col("full").alias("f"), "bound", "block")
+    more = _ask_blocks(visits, points, wide, k, exclude_self=False)
+    return _merged(first, more, k)
+
+
+def _code_visits(home: DataFrame, first: DataFrame, index: PointIndex, k: int, exclude_self: bool) -> DataFrame:
+    """(qid, block): where a code shows that a point may be closer than the neighbours found at home.
+
+    Only codes are moved to find that out.
+    """
+    codes, axes = _code_index(index)
+    table = _cell_table(codes)
+    known = home.select("qid", "f", "reach", "block").join(first, "qid", "left").select(
+        "qid", "f", "reach", (axes.code_bound(_bound(k))).alias("bound"), F.col("block").alias("home")
+    )
+    # Cells know how far their codes lie, and no rest is longer than the longest.
+    longest = table["placed"].agg(F.max(F.element_at("f", -1)).alias("r")).first()["r"]
+
+    def stretch(matrix: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        return axes.code_bound(axes.most(upper, matrix[:, -1:], longest))
+
+    visits = _reachable(known, codes, k + int(exclude_self), stretch)
+    tasks = _block_tasks(table, visits)
+    left = _with_shares(visits, table, codes.rows_per_block)
+    right = _copies(table["placed"].select("block", "f"), left[1])
+    width = axes.width
+    qid_type = home.schema["qid"].dataType.simpleString()
+
+    def survivors(rows: pa.Table, block: pa.Table) -> pa.Table:
+        queries, points = to_matrix(rows["f"], width), to_matrix(block["f"], width)
+        bound = rows["bound"].to_numpy()
+        found = np.zeros(len(queries), dtype=bool)
+        scale = np.sqrt((queries * queries).sum(axis=1)) + np.sqrt((points * points).sum(axis=1)).max(initial=0.0)
+        limit = bound * (1 + BOUND_SLACK) + 1e-12 * scale
+        step = max(1, MATRIX_CELLS // max(len(points), 1))
+        for start in range(0, len(queries) if len(points) else 0, step):
+            part = slice(start, start + step)
+            found[part] = pairwise(queries[part], points, 2.0).min(axis=1) <= limit[part]
+        return pa.table({"qid": rows["qid"], "block": rows["block"]}).filter(pa.array(found))
+
+    kept = (
+        left[0].select("block", "share", "qid", "f", "bound").repartition(tasks, "block", "share").groupBy("block", "share")
+        .cogroup(right.repartition(tasks, "block", "share").groupBy("block", "share"))
+        .applyInArrow(survivors, f"qid {qid_type}, block long")
+    )
+    return materialize(kept, "survivors")
+
+
+def _reachable(known: DataFrame, index: PointIndex, need: int, stretch=None) -> DataFrame:
+    """(qid, f, bound, block): blocks other than the home block that can hold a point within the bound.
+
+    A row without a bound gets one from the cells: so far at most lie enough points.
+    ``stretch`` turns such a distance into a bound, if the cells are not of the vectors
+    themselves.
+    """
     table = index.cells
     cells: _Cells = table["cells"]
     first, parts = table["first"], table["parts"]
     weight, low, high = table["weight"], table["low"], table["high"]
+    split, tree = table["split"], table["tree"]
     order, width = index.order, index.width
     coarse_high = np.array(
         [
@@ -477,6 +649,8 @@ def _reachable(known: DataFrame, index: PointIndex, need: int) -> DataFrame:
         step = max(1, MATRIX_CELLS // len(cells.pivots))
         for s in range(0, len(matrix), step):
             upper = pairwise(matrix[s : s + step], cells.pivots, order) + high
+            if stretch is not None:
+                upper = np.where(weight > 0, stretch(matrix[s : s + step], np.maximum(upper, 0.0)), -np.inf)
             by = np.argsort(upper, axis=1)
             enough = np.cumsum(weight[by], axis=1) >= need
             at = np.argmax(enough, axis=1)
@@ -508,11 +682,11 @@ def _reachable(known: DataFrame, index: PointIndex, need: int) -> DataFrame:
                     within_reach(d, own[at], low[members], high[members], bound[at])
                 )
                 cell = members[m]
-                copies = parts[cell]
+                copies = np.where(split[cell], 1, parts[cell])
                 q, cell = np.repeat(q, copies), np.repeat(cell, copies)
                 within = np.arange(len(cell)) - np.repeat(np.cumsum(copies) - copies, copies)
                 rows.append(at[q])
-                blocks.append(first[cell] + within)
+                blocks.append(np.where(split[cell], -(cell + 1), first[cell] + within))
             row = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
             block = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int64)
             away = block != home[row]
@@ -521,51 +695,66 @@ def _reachable(known: DataFrame, index: PointIndex, need: int) -> DataFrame:
             counts = np.bincount(row, minlength=len(matrix))
             offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
             lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(block[by].astype(np.int32))
+                pa.array(offsets, pa.int32()), pa.array(block[by].astype(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("qid"), batch.column("f"), pa.array(bound), lists],
-                names=["qid", "f", "bound", "blocks"],
+                [batch.column("qid"), batch.column("f"), pa.array(bound), batch.column("home"), lists],
+                names=["qid", "f", "bound", "home", "blocks"],
             )
 
-    return known.mapInArrow(
-        reach, f"qid {qid_type}, f array<double>, bound double, blocks array<int>"
+    found = known.mapInArrow(
+        reach, f"qid {qid_type}, f array<double>, bound double, home long, blocks array<long>"
+    )
+    found = materialize(found, "asking-more")
+    visits = found.select("qid", "f", "bound", "home", F.explode("blocks").alias("block"))
+    if tree is None:
+        return visits.drop("home")
+    # Nodes of the tree were given as negative numbers.
+    nodes = visits.where("block < 0").select("qid", "f", "bound", "home", (-F.col("block")).alias("node"))
+    below = ball_tree.descend(nodes, tree)
+    return visits.where("block >= 0").unionByName(below).drop("home")
+
+
+def _block_tasks(table: dict, asking: DataFrame) -> int:
+    tasks = max(1, min(table["blocks"], 20_000))
+    return max(tasks, asking.sparkSession.sparkContext.defaultParallelism)
+
+
+def _with_shares(visits: DataFrame, table: dict, rows_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """The visits with a ``share`` of their block, each of bounded size, and the shares by block."""
+    shares = visits.groupBy("block").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("shares")
     )
+    # One short row per block; with very many blocks the join is left to Spark.
+    if table["blocks"] <= BROADCAST_BLOCKS:
+        shares = F.broadcast(shares)
+    share = F.pmod(F.xxhash64("qid"), F.col("shares").cast("long")).cast("int")
+    return visits.join(shares, "block").withColumn("share", share), shares
+
+
+def _copies(placed: DataFrame, shares: DataFrame) -> DataFrame:
+    """The points of a block, once for each share of the rows that ask it."""
+    copies = placed.join(shares, "block").withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    ).drop("shares")
+    # Fresh column identities: in a self-join both sides read the same table.
+    return copies.select(*[F.col(c).alias(c) for c in copies.columns])
 
 
 def _ask_blocks(
-    asking: DataFrame, placed: DataFrame, index: PointIndex, k: int, exclude_self: bool
+    visits: DataFrame, placed: DataFrame, index: PointIndex, k: int, exclude_self: bool
 ) -> DataFrame:
-    """Best neighbours of every asking row in every block it names.
+    """Best neighbours of every visit ``(qid, f, bound, block)`` in its block.
 
     Rows that ask the same block are cut into parts of bounded size by their hash;
     the block, bounded too, is sent to each part.
     """
     width, order = index.width, index.order
-    qid_type = asking.schema["qid"].dataType.simpleString()
-    visits = asking.select("qid", "f", "bound", F.explode("blocks").alias("block"))
-    shares = visits.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / index.rows_per_block).cast("int").alias("shares")
-    )
-    blocks = int(index.cells["first"][-1])
-    # One short row per block; with very many blocks the join is left to Spark.
-    if blocks <= BROADCAST_BLOCKS:
-        shares = F.broadcast(shares)
-    tasks = max(1, min(blocks, 20_000))
-    tasks = max(tasks, asking.sparkSession.sparkContext.defaultParallelism)
-    left = (
-        visits.join(shares, "block")
-        .withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares").cast("long")).cast("int"))
-        .select("block", "share", "qid", "f", "bound")
-        .repartition(tasks, "block", "share")
-    )
-    right = (
-        placed.join(shares, "block")
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        # Fresh column identities: in a self-join both sides read the same table.
-        .select(*[F.col(c).alias(c) for c in ("block", "share", "pid", "f", "w")])
-        .repartition(tasks, "block", "share")
-    )
+    qid_type = visits.schema["qid"].dataType.simpleString()
+    tasks = _block_tasks(index.cells, visits)
+    rows, shares = _with_shares(visits.select("qid", "f", "bound", "block"), index.cells, index.rows_per_block)
+    left = rows.select("block", "share", "qid", "f", "bound").repartition(tasks, "block", "share")
+    right = _copies(placed.select("block", "pid", "f", "w"), shares).repartition(tasks, "block", "share")
 
     def ask(rows: pa.Table, block: pa.Table) -> pa.Table:
         qids = rows["qid"].combine_chunks()
