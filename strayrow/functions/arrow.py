@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -55,26 +56,40 @@ def row_array_function(kernel: Callable[[np.ndarray], np.ndarray], cols: list[Co
     return apply(*cols)
 
 
-# Up to this many vectors are added on the driver.
+# Up to this many vectors, and bytes of them, are added on the driver.
 FEW_VECTORS = 64
+FEW_BYTES = 16 << 20
+# Bytes of the vectors that one task adds up.
+GROUP_BYTES = 64 << 20
 
 
-def sum_vectors(partials: DataFrame, column: str, pieces: int | None = None) -> np.ndarray:
-    """Elementwise sum of an array column of equal lengths, a model's parameters.
+def sum_vectors(partials: DataFrame, count: int, length: int) -> np.ndarray:
+    """Sum of the vectors ``v`` of ``(unit, v)``, added in the order of the units.
 
-    ``pieces`` is the number of rows if the caller knows it. Few rows come to the
-    driver as they are; otherwise Spark adds them up position by position, and the
-    driver gets one vector whatever their number.
+    Units are numbers below ``count``, each at most once. Groups of units with
+    neighbouring numbers are added up in tasks, then the groups in the same way, until
+    few vectors are left for the driver. The order of the additions follows from
+    ``count`` and ``length`` alone, so the sum has the same bits for every partitioning,
+    and whole vectors move, never their single numbers.
     """
-    if pieces is not None and pieces <= FEW_VECTORS:
-        lists = partials.select(column).toArrow()[column].combine_chunks()
-        return lists.flatten().to_numpy().reshape(len(lists), -1).sum(axis=0)
-    sums = (
-        partials.select(F.posexplode(column).alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.sum("x").alias("x"))
-        .toArrow()
-    )
-    total = np.zeros(sums.num_rows)
-    total[sums["pos"].to_numpy()] = sums["x"].to_numpy()
+    most = max(4, min(FEW_VECTORS, FEW_BYTES // (8 * max(length, 1))))
+    while count > most:
+        size = max(2, min(math.ceil(math.sqrt(count)), GROUP_BYTES // (8 * max(length, 1))))
+
+        def add(key: tuple, table: pa.Table) -> pa.Table:
+            total = _in_order(table, length)
+            return pa.table([pa.array([key[0].as_py()], pa.int64()), to_lists(total[None, :])], names=["unit", "v"])
+
+        group = F.floor(F.col("unit") / size).cast("long").alias("group")
+        partials = partials.groupBy(group).applyInArrow(add, "unit long, v array<double>")
+        count = math.ceil(count / size)
+    return _in_order(partials.select("unit", "v").toArrow(), length)
+
+
+def _in_order(table: pa.Table, length: int) -> np.ndarray:
+    """The vectors of a table added one after another by unit."""
+    total = np.zeros(length)
+    if table.num_rows:
+        for row in to_matrix(table.sort_by("unit")["v"], length):
+            total += row
     return total

@@ -137,24 +137,32 @@ class Network:
             x = value(x @ w + b)
         return x @ last[0] + last[1]
 
-    def loss_of(self, flat: np.ndarray, x: np.ndarray) -> float:
-        """Sum over the rows of the mean loss of a row."""
+    def loss_of(self, flat: np.ndarray, x: np.ndarray, copies: np.ndarray | float = 1.0) -> float:
+        """Sum over the rows and their copies of the mean loss of a row."""
         diff = self.predict(flat, x) - x
         each = diff * diff if self.loss == "mse" else np.abs(diff)
-        return float(each.mean(axis=1).sum())
+        return float((each.mean(axis=1) * copies).sum())
 
     def gradient(
-        self, flat: np.ndarray, x: np.ndarray, rng: np.random.Generator | None = None
+        self,
+        flat: np.ndarray,
+        x: np.ndarray,
+        rng: np.random.Generator | None = None,
+        copies: np.ndarray | None = None,
     ) -> tuple[float, np.ndarray]:
-        """Mean loss with the activity penalty, and its gradient; dropout only with ``rng``."""
+        """Mean loss with the activity penalty, and its gradient; dropout only with ``rng``.
+
+        ``copies`` counts how often every row occurs.
+        """
         value, slope = ACTIVATIONS[self.activation]
         layers = self.layers(flat)
-        n = len(x)
+        c = np.ones((len(x), 1)) if copies is None else copies[:, None]
+        n = c.sum()
         inputs, seen, penalty = [x], [], 0.0
         for w, b in layers[:-1]:
             z = inputs[-1] @ w + b
             a = value(z)
-            penalty += (self.l1 * np.abs(a).sum() + self.l2 * (a * a).sum()) / n
+            penalty += (self.l1 * (c * np.abs(a)).sum() + self.l2 * (c * a * a).sum()) / n
             mask = None
             h = a
             if rng is not None and self.dropout > 0:
@@ -164,10 +172,11 @@ class Network:
             inputs.append(h)
         w, b = layers[-1]
         diff = inputs[-1] @ w + b - x
+        size = n * x.shape[1]
         if self.loss == "mse":
-            loss, back = (diff * diff).mean(), 2.0 * diff / diff.size
+            loss, back = (c * diff * diff).sum() / size, 2.0 * c * diff / size
         else:
-            loss, back = np.abs(diff).mean(), np.sign(diff) / diff.size
+            loss, back = (c * np.abs(diff)).sum() / size, c * np.sign(diff) / size
         parts = [back.sum(axis=0), np.ravel(inputs[-1].T @ back)]
         back = back @ w.T
         for (w, b), (z, a, mask), given in zip(
@@ -175,7 +184,7 @@ class Network:
         ):
             if mask is not None:
                 back = back * mask
-            back = back + (self.l1 * np.sign(a) + 2.0 * self.l2 * a) / n
+            back = back + c * (self.l1 * np.sign(a) + 2.0 * self.l2 * a) / n
             if slope is None:
                 back = a * (back - (back * a).sum(axis=1, keepdims=True))
             else:

@@ -1,33 +1,38 @@
 """Autoencoder detector: rows the network reconstructs badly are flagged.
 
-Training runs one Spark job per epoch. Every task starts from the same weights, runs
-mini-batches over its own rows and gives back its weights; their mean, weighted by
-rows, starts the next epoch (Zinkevich, Weimer, Smola and Li 2010).
+Training is synchronous and data-parallel. A hash deals the rows to the batches of an
+epoch; for every batch all tasks add up the gradients of their rows at the same weights,
+and one step follows from the sum. There are no replicas, so the losses and weights are
+those that one machine would come to, whatever the number of tasks.
+
+An epoch has at most MAX_STEPS batches. Where that makes them larger than ``batch_size``,
+steps are longer by the square root of the ratio, up to MAX_STRETCH.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strayrow.functions.arrow import row_array_function, row_function, sum_vectors, to_lists
+from strayrow.functions.arrow import row_array_function, row_function
 from strayrow.functions.network import Network, Optimizer, check_choices
 from strayrow.operators.base import RowModel, ThresholdRule
 from strayrow.operators.frame import as_list, feature_columns, fit_rows
 from strayrow.operators.threshold import contamination_threshold
+from strayrow.operators.units import Units, deal
 
 HIDDEN = (32, 16, 16, 32)
-# Rows one task trains on, until the number of tasks reaches its bound.
-ROWS_PER_TASK = 5_000
-MAX_TASKS = 16_384
+# Steps of an epoch, and how much longer than usual a step may be.
+MAX_STEPS = 8
+MAX_STRETCH = 8.0
+# Rows of a batch that make a work unit.
+BATCH_UNIT_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -85,47 +90,29 @@ class Autoencoder(ThresholdRule, RowModel):
         )
 
 
-def _epoch(
-    rows, names, tasks, network, optimizer_name, batch_size, weights, memory, counters, salt
-):
-    """One pass over the rows: mean weights, memory and counters, training and validation loss."""
-    size, slots = len(weights), len(memory)
-    start = (weights, memory, counters)
+def _batch_gradient(
+    units: Units, batch: int, network: Network, weights: np.ndarray, salt: tuple[int, ...]
+) -> tuple[float, float, np.ndarray]:
+    """Rows of a batch, the sum of their losses, and the mean gradient at the weights."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        optimizer = Optimizer(optimizer_name)
-        w, m, c = (a.copy() for a in start)
-        task = TaskContext.get().partitionId()
-        trained = loss = held = held_loss = 0.0
-        for number, batch in enumerate(batches):
-            x = np.column_stack([batch.column(f).to_numpy() for f in names])
-            aside = batch.column("_aside").to_numpy(zero_copy_only=False)
-            if aside.any():
-                held += aside.sum()
-                held_loss += network.loss_of(start[0], x[aside])
-                x = x[~aside]
-            rng = np.random.default_rng([*salt, task, number])
-            x = x[rng.permutation(len(x))]
-            for at in range(0, len(x), batch_size):
-                part = x[at : at + batch_size]
-                value, grad = network.gradient(w, part, rng)
-                optimizer.step(w, grad, m, c)
-                loss += value * len(part)
-            trained += len(x)
-        out = np.concatenate([trained * w, trained * m.ravel(), trained * c])
-        out = np.concatenate([out, [trained, loss, held, held_loss]])
-        yield pa.RecordBatch.from_arrays([to_lists(out[None, :])], names=["v"])
+    def add_up(x: np.ndarray, copies: np.ndarray, chunk: tuple[int, int]) -> np.ndarray:
+        rng = np.random.default_rng([*salt, batch, *chunk])
+        loss, grad = network.gradient(weights, x, rng, copies)
+        n = copies.sum()
+        return np.concatenate([[n, n * loss], n * grad])
 
-    total = sum_vectors(rows.mapInArrow(run, "v array<double>"), "v", tasks)
-    trained, loss, held, held_loss = total[-4:]
-    mean = total[:-4] / trained
-    return (
-        mean[:size],
-        mean[size : size * (1 + slots)].reshape(slots, size),
-        mean[size * (1 + slots) :],
-        float(loss / trained),
-        float(held_loss / held) if held else None,
-    )
+    total = units.add_up(add_up, len(weights) + 2, batch)
+    return total[0], total[1], total[2:] / max(total[0], 1.0)
+
+
+def _held_loss(units: Units, part: int, network: Network, weights: np.ndarray) -> float | None:
+    """Mean loss of the rows held out; None if there are none."""
+
+    def add_up(x: np.ndarray, copies: np.ndarray, _) -> np.ndarray:
+        return np.array([copies.sum(), network.loss_of(weights, x, copies)])
+
+    n, loss = units.add_up(add_up, 2, part)
+    return float(loss / n) if n else None
 
 
 def _place(df: DataFrame, order_col: str) -> Column:
@@ -193,39 +180,42 @@ def fit_network(
                 df.select(place.alias("o")), "o", validation_split, n
             )
             aside = place > cut
-    tasks = max(1, min(MAX_TASKS, math.ceil(n / ROWS_PER_TASK)))
-    # Rows stay with the same task in the same order, so a rerun gives the same weights.
-    rows = (
-        df.select(*ids, *[F.col(f"`{f}`") for f in features], aside.alias("_aside"))
-        .repartition(tasks, *[F.col(f"`{c}`") for c in ids])
-        .sortWithinPartitions(F.xxhash64(*ids, F.lit(seed)), *ids)
-        .select(*[F.col(f"`{f}`") for f in features], "_aside")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    steps = max(1, min(MAX_STEPS, math.ceil(n / batch_size)))
+    stretch = min(MAX_STRETCH, math.sqrt(max(1.0, n / steps / batch_size)))
+    cells = [F.col(f"`{f}`") for f in features]
+    named = [F.col(f"`{c}`") for c in ids]
+    # Rows held out are one more part after the batches.
+    batch = F.pmod(F.xxhash64(*named, *cells, F.lit(seed), F.lit("batch")), F.lit(steps))
+    part = F.when(aside, F.lit(steps)).otherwise(batch)
+    units = deal(df, features, n, part, steps + 1, named, BATCH_UNIT_ROWS)
     network = Network(
         (len(features), *hidden, len(features)), activation, dropout_rate, loss_function, l1, l2
     )
     weights = network.initial(kernel_initializer, seed)
-    memory, counters = Optimizer(optimizer).initial(len(weights))
+    rule = Optimizer(optimizer)
+    memory, counters = rule.initial(len(weights))
     losses: list[float] = []
     best, waited = math.inf, 0
     try:
         for epoch in range(epochs):
-            after = _epoch(
-                rows, features, tasks, network, optimizer, batch_size, weights, memory,
-                counters, (seed, epoch),
-            )
-            held = after[4]
-            # The held-out rows are scored with the weights an epoch starts from, which
-            # are those the epoch before it ended with.
-            if epoch and patience is not None and held is not None:
+            # The held-out rows are scored with the weights that the epoch before ended with.
+            held = _held_loss(units, steps, network, weights) if epoch and patience is not None else None
+            if held is not None:
                 best, waited = (held, 0) if held < best else (best, waited + 1)
                 if waited >= max(patience, 1):
                     break
-            weights, memory, counters = after[:3]
-            losses.append(after[3])
+            trained = loss = 0.0
+            for number in np.random.default_rng([seed, epoch]).permutation(steps).tolist():
+                rows, lost, grad = _batch_gradient(units, number, network, weights, (seed, epoch))
+                if not rows:
+                    continue
+                before = weights.copy()
+                rule.step(weights, grad, memory, counters)
+                weights = before + stretch * (weights - before)
+                trained, loss = trained + rows, loss + lost
+            losses.append(loss / max(trained, 1.0))
     finally:
-        rows.unpersist()
+        units.release()
     return Autoencoder(tuple(features), network, weights, losses=tuple(losses))
 
 

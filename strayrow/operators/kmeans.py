@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.functions import columns as fc
 from strayrow.functions.arrow import row_function
+from strayrow.functions.distance import MATRIX_CELLS
 from strayrow.operators.base import RowModel, ThresholdRule
 from strayrow.operators.frame import fit_rows
 from strayrow.operators.stats import collect_stats
+from strayrow.operators.svm import hashed_rows
 from strayrow.operators.threshold import contamination_threshold
+from strayrow.operators.units import Units, deal
 
 MAX_EXPRESSION_TERMS = 256
-# Elbow fits that run side by side on the persisted training table.
-PARALLEL_FITS = 4
 MAX_ITER = 300
+# Distance that a centroid may still move when a fit ends.
+TOLERANCE = 1e-4
+# Distinct rows that starts are drawn from, and rows of a work unit: a unit's sums hold all centroids.
+START_ROWS = 4096
+LLOYD_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -95,6 +100,121 @@ def _single_cluster(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray,
     return stats.mean, float(stats.n * stats.var.sum())
 
 
+def spread_out(rows: np.ndarray, copies: np.ndarray, most: int, seed: int) -> np.ndarray:
+    """Up to ``most`` of the rows, one after another, each drawn by its squared distance to those before.
+
+    The first k of them start a fit with k clusters (Arthur and Vassilvitskii 2007).
+    """
+    rng = np.random.default_rng(seed)
+    picked = [int(np.searchsorted(np.cumsum(copies), rng.random() * copies.sum(), side="right"))]
+    far = ((rows - rows[picked[0]]) ** 2).sum(axis=1)
+    while len(picked) < most and far.any():
+        weight = np.cumsum(far * copies)
+        at = min(int(np.searchsorted(weight, rng.random() * weight[-1], side="right")), len(rows) - 1)
+        picked.append(at)
+        np.minimum(far, ((rows - rows[at]) ** 2).sum(axis=1), out=far)
+    return rows[picked]
+
+
+@dataclass
+class Fit:
+    """One of several fits that step together."""
+
+    k: int
+    centroids: np.ndarray
+    inertia: float = float("inf")
+    counts: np.ndarray | None = None
+    iterations: int = 0
+    converged: bool = False
+
+
+def lloyd(units: Units, fits: Sequence[Fit], max_iter: int = MAX_ITER, tol: float = TOLERANCE) -> None:
+    """Move the centroids of all fits to the means of their rows until they rest, one scan a step.
+
+    A step is one aggregation by fit and cluster. Fits that rest take no part in later
+    steps. A cluster without rows keeps its centroid. ``tol`` is the distance that a
+    centroid may still move; with 0, centroids are exactly the means of their rows.
+    """
+    width = units.width
+    for _ in range(max_iter):
+        moving = [f for f in fits if not f.converged]
+        if not moving:
+            break
+        first = np.r_[0, np.cumsum([len(f.centroids) for f in moving])]
+        centroids = np.vstack([f.centroids for f in moving])
+        # About the middle of the centroids the product form loses few digits.
+        middle = centroids.mean(axis=0)
+        about = centroids - middle
+        square = (about * about).sum(axis=1)
+        step = max(1, MATRIX_CELLS // len(centroids))
+
+        def add_up(matrix: np.ndarray, copies: np.ndarray, _) -> np.ndarray:
+            total = np.zeros((len(centroids), width + 1))
+            inertia = np.zeros(len(first) - 1)
+            for start in range(0, len(matrix), step):
+                x, w = matrix[start : start + step], copies[start : start + step]
+                near = square - 2.0 * ((x - middle) @ about.T)
+                at = np.arange(len(x))
+                mine = np.zeros((len(centroids), len(x)))
+                for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                    best = a + near[:, a:b].argmin(axis=1)
+                    mine[best, at] = w
+                    inertia[i] += (w * ((x - centroids[best]) ** 2).sum(axis=1)).sum()
+                total += mine @ np.column_stack([np.ones(len(x)), x])
+            return np.concatenate([total.ravel(), inertia])
+
+        found = units.add_up(add_up, len(centroids) * (width + 1) + len(moving))
+        total = found[: -len(moving)].reshape(-1, width + 1)
+        for i, fit in enumerate(moving):
+            mine = total[first[i] : first[i + 1]]
+            counts = mine[:, 0]
+            means = np.where(counts[:, None] > 0, mine[:, 1:] / np.maximum(counts, 1)[:, None], fit.centroids)
+            moved = np.sqrt(((means - fit.centroids) ** 2).sum(axis=1)).max()
+            fit.centroids, fit.counts, fit.inertia = means, counts, float(found[len(found) - len(moving) + i])
+            fit.iterations += 1
+            fit.converged = bool(moved <= tol)
+
+
+def fit_every_k(
+    df: DataFrame,
+    features: Sequence[str],
+    ks: Sequence[int],
+    seed: int = 0,
+    max_iter: int = MAX_ITER,
+    n_init: int = 1,
+    tol: float = TOLERANCE,
+) -> dict[int, Fit]:
+    """The best of ``n_init`` fits for every k, all of them stepping together over one dealt table.
+
+    Starts are drawn from up to START_ROWS distinct rows. With fewer distinct rows than
+    clusters, every row has a centroid of its own.
+    """
+    n = df.count()
+    if not n:
+        raise ValueError("cannot fit on an empty table")
+    sample, copies = hashed_rows(df, features, n, START_ROWS, seed)
+    starts = [spread_out(sample, copies, max(ks), seed + i) for i in range(n_init)]
+    fits = [Fit(k, start[:k]) for start in starts for k in ks]
+    units = deal(df, features, n, rows_per_unit=LLOYD_ROWS)
+    try:
+        lloyd(units, fits, max_iter, tol)
+    finally:
+        units.release()
+    best: dict[int, Fit] = {}
+    for fit in fits:
+        if fit.k not in best or fit.inertia < best[fit.k].inertia:
+            best[fit.k] = fit
+    late = [k for k, fit in best.items() if not fit.converged]
+    if late:
+        warnings.warn(f"K-Means with k={late[0]} did not converge in {max_iter} iterations", stacklevel=3)
+    return best
+
+
+def curve_of(spark: SparkSession, fits: dict[int, Fit]) -> DataFrame:
+    """Table ``(k, score)`` with the negative inertia of every fit."""
+    return spark.createDataFrame([(k, -fit.inertia) for k, fit in sorted(fits.items())], "k int, score double")
+
+
 def elbow_curve(
     df: DataFrame,
     features: Sequence[str],
@@ -108,19 +228,7 @@ def elbow_curve(
     ks = list(k_values) if k_values is not None else list(range(1, max_clusters))
     if not ks:
         raise ValueError("the elbow needs at least one number of clusters")
-    vectors = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def cost(k: int) -> tuple[int, float]:
-        if k == 1:
-            return k, -_single_cluster(df, features)[1]
-        return k, -float(_fit(vectors, k, seed, max_iter, n_init)[0].summary.trainingCost)
-
-    try:
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            curve = list(pool.map(inheritable_thread_target(df.sparkSession)(cost), ks))
-    finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame(curve, "k int, score double")
+    return curve_of(df.sparkSession, fit_every_k(df, features, ks, seed, max_iter, n_init))
 
 
 def elbow_distances(curve: DataFrame) -> DataFrame:
@@ -167,8 +275,12 @@ def fit_centroids(
     if n_init < 1:
         raise ValueError("n_init must be at least 1")
     if n_clusters is None:
-        curve = elbow_curve(df, features, max_cluster_elbow, None, seed, max_iter, n_init)
-        n_clusters = elbow_pick(curve).first()["k"]
+        ks = list(range(1, max_cluster_elbow))
+        if not ks:
+            raise ValueError("the elbow needs at least one number of clusters")
+        fits = fit_every_k(df, features, ks, seed, max_iter, n_init)
+        best = fits[elbow_pick(curve_of(df.sparkSession, fits)).first()["k"]]
+        return KMeansModel(tuple(features), best.centroids, converged=best.converged)
     if n_clusters < 1:
         raise ValueError("n_clusters must be at least 1")
     if n_clusters == 1:

@@ -12,21 +12,21 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.functions.arrow import row_function, sum_vectors, to_lists
+from strayrow.functions.arrow import row_function
 from strayrow.operators.base import RowModel, ThresholdRule
 from strayrow.operators.frame import fit_rows
 from strayrow.operators.stats import FeatureStats, collect_stats
 from strayrow.operators.threshold import contamination_threshold
-from strayrow.session import spread, spread_pieces
+from strayrow.operators.units import Units, deal
+from strayrow.session import spread
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 LANDMARKS = 256
@@ -171,32 +171,25 @@ def _kernel_map(df, features, stats, kernel, gamma, coef0, degree, count, seed)
     return KernelMap(kernel, value, coef0, degree, landmarks, weights)
 
 
-def _band_sums(
-    rows: DataFrame, features, mapping: KernelMap, normal, edges: np.ndarray, pieces: int | None
-):
+def _band_sums(units: Units, mapping: KernelMap, normal, edges: np.ndarray):
     """Per band of projections up to each edge: number of rows and sum of their features."""
-    names, width = list(features), len(normal)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(edges), width + 1))
-        for batch in batches:
-            matrix = np.column_stack([batch.column(f).to_numpy() for f in names])
-            mapped = mapping(matrix)
-            band = np.searchsorted(edges, mapped @ normal, side="left")
-            # One row per band and a last one for what lies above all edges.
-            inside = np.zeros((len(edges) + 1, len(matrix)))
-            inside[band, np.arange(len(matrix))] = 1.0
-            total[:, 0] += inside[:-1].sum(axis=1)
-            total[:, 1:] += inside[:-1] @ mapped
-        yield pa.RecordBatch.from_arrays([to_lists(total.reshape(1, -1))], names=["v"])
-
-    partials = rows.select(*[F.col(f"`{f}`") for f in names]).mapInArrow(add_up, "v array<double>")
-    total = sum_vectors(partials, "v", pieces).reshape(len(edges), width + 1)
+    width = len(normal)
+
+    def add_up(matrix: np.ndarray, copies: np.ndarray, _) -> np.ndarray:
+        mapped = mapping(matrix)
+        band = np.searchsorted(edges, mapped @ normal, side="left")
+        # One row per band and a last one for what lies above all edges.
+        inside = np.zeros((len(edges) + 1, len(matrix)))
+        inside[band, np.arange(len(matrix))] = copies
+        return np.column_stack([inside[:-1].sum(axis=1), inside[:-1] @ mapped]).ravel()
+
+    length = len(edges) * (width + 1)
+    total = units.add_up(add_up, length).reshape(len(edges), width + 1)
     return total[:, 0], total[:, 1:]
 
 
 def _lowest_mean(
-    rows: DataFrame, features, mapping: KernelMap, normal, share: float, n: int, edges: np.ndarray
+    units: Units, mapping: KernelMap, normal, share: float, n: int, edges: np.ndarray
 ) -> tuple[np.ndarray, float] | None:
     """Mean of the mapped rows in the lowest ``share`` of projections on ``normal``.
 
@@ -205,7 +198,7 @@ def _lowest_mean(
     of the mean would be if that band were taken in order. None if no band reaches the
     share.
     """
-    counts, sums = _band_sums(rows, features, mapping, normal, edges, spread_pieces(rows, n))
+    counts, sums = _band_sums(units, mapping, normal, edges)
     wanted = share * n
     upto = np.cumsum(counts)
     reached = np.flatnonzero(upto >= wanted * (1 - 1e-12))
@@ -298,7 +291,7 @@ def fit_plane(
     max_iter: int = 100,
     seed: int = 0,
 ) -> OneClassSvm:
-    """The detector without its threshold; ``df`` has gone through ``spread``."""
+    """The detector without its threshold. It is the same for every partitioning of ``df``."""
     if not 0.0 < contamination <= 1.0:
         raise ValueError("the one-class machine needs a contamination above 0, up to 1")
     mapping = _kernel_map(df, features, stats, kernel, gamma, coef0, degree, n_landmarks, seed)
@@ -307,32 +300,36 @@ def fit_plane(
     # over all rows, and falls back to a quantile of all rows where they tell wrong.
     sample, copies = hashed_rows(df, features, stats.n, SAMPLE_ROWS, seed)
     sample = mapping(sample)
+    units = deal(df, features, stats.n)
 
     def find_corner(share: float) -> tuple[np.ndarray, float]:
         edges = _edges(sample @ normal, share, copies)
-        found = _lowest_mean(df, features, mapping, normal, share, stats.n, edges)
+        found = _lowest_mean(units, mapping, normal, share, stats.n, edges)
         if found is not None and found[1] <= 0.5 * tol * (normal @ normal):
             return found
         edges = _exact_edges(df, features, mapping, normal, share)
-        return _lowest_mean(df, features, mapping, normal, share, stats.n, edges)
-
-    normal = np.zeros(width)
-    every = np.array([np.inf])
-    normal, _ = _lowest_mean(df, features, mapping, normal, 1.0, stats.n, every)
-    corners = normal[None, :]
-    converged = False
-    for _ in range(max_iter):
-        corner, missed = find_corner(contamination)
-        gap = normal @ normal - normal @ corner
-        allowed = tol * max(normal @ normal, 1e-12)
-        if gap <= allowed - min(missed, 0.5 * allowed):
-            converged = True
-            break
-        corners = np.vstack([corners, corner])
-        weights = shortest_in_hull(corners)
-        normal = weights @ corners
-        # Corners without weight do not come back into the shortest vector's support.
-        corners = corners[weights > 0]
+        return _lowest_mean(units, mapping, normal, share, stats.n, edges)
+
+    try:
+        normal = np.zeros(width)
+        every = np.array([np.inf])
+        normal, _ = _lowest_mean(units, mapping, normal, 1.0, stats.n, every)
+        corners = normal[None, :]
+        converged = False
+        for _ in range(max_iter):
+            corner, missed = find_corner(contamination)
+            gap = normal @ normal - normal @ corner
+            allowed = tol * max(normal @ normal, 1e-12)
+            if gap <= allowed - min(missed, 0.5 * allowed):
+                converged = True
+                break
+            corners = np.vstack([corners, corner])
+            weights = shortest_in_hull(corners)
+            normal = weights @ corners
+            # Corners without weight do not come back into the shortest vector's support.
+            corners = corners[weights > 0]
+    finally:
+        units.release()
     if not converged:
         warnings.warn(f"the one-class fit did not reach tol={tol} in {max_iter} steps", stacklevel=2)
     return OneClassSvm(tuple(features), mapping, normal, converged=converged)

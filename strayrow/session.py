@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 # Tables written by materialize, per Spark application, until release.
 _written: dict[str, list[str]] = {}
+# Blocks of cleaned_up that are open in a thread.
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +46,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     nothing in executor memory and survives lost executors.
     """
     path = new_path(df.sparkSession, label)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    scopes = getattr(_open, "scopes", None)
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """A block after which the tables that :func:`materialize` wrote inside it are deleted.
+
+    For work that ends in the block, such as scoring a batch and storing its flags.
+    Blocks may be nested; each belongs to the thread that opened it.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            delete_folder(spark, path)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the derived tables this application wrote with :func:`materialize`.
 
@@ -114,11 +137,6 @@ def spread(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def spread_pieces(df: DataFrame, n: int) -> int | None:
-    """Number of partitions :func:`spread` left, if it moved the table."""
-    return None if n > SMALL_ROWS else df.sparkSession.sparkContext.defaultParallelism
-
-
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, for sessions started without it on their path.
 
