@@ -12,12 +12,14 @@ estimate varies less than that of as many minima, at half the hash evaluations.
    below RISK.
 2. Every class is compared with one leader, the first class of the buckets it shares with
    it most often. Pairs are verified on whole sets, links joined to components.
-3. Buckets that still hold several components are searched: members are compared with
-   those of other components only, by size and by the agreement of their signatures,
-   inside tasks that hold a bounded block of a bucket. What passes is verified too.
-
-So a large group of copies costs a comparison with its leader for each copy, no bucket is
-compared pair by pair where its members are connected, and no bucket is cut off.
+3. Buckets that still hold several components are searched in blocks of bounded size.
+   A task compares members of different components by size and signature, and tells
+   which members have a partner left; only their whole sets go to the block, once, and
+   are intersected there all together. A pair is looked at in the first band it shares.
+
+So a large group of copies costs one comparison with its leader for each copy. No bucket
+is compared where its members are connected, none is cut off, and neither pairs nor the
+sets of pairs are ever listed: what leaves a block are members, and a forest of links.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.llm.jaccard import components, digests, sets
+from strayrow.llm.jaccard import digests, sets
 from strayrow.llm.ranks import bit_table, bits_set
 from strayrow.llm.text import find, mix, runs, signed, slices
 from strayrow.session import Scratch, materialize, scratch
@@ -38,7 +40,9 @@ from strayrow.session import Scratch, materialize, scratch
 RISK = 1e-8  # chance that a pair at the threshold agrees in no band
 FAR = 1e-9  # chance that it agrees in too few values of the signature
 MOST_BANDS = 28
-BLOCK = 1000  # members of a bucket that one block holds
+BLOCK = 512  # members of a bucket that one part of a block holds
+CROWD = 4096  # strays beyond which a bucket is split by a second band
+SLAB = 4096  # elements of sets that are intersected at once
 ID_BITS = 24
 
 
@@ -120,16 +124,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int, b
 
 
 def postings(classes: DataFrame, bands: int) -> DataFrame:
-    """(key, band, cid) for every band of every class."""
+    """(key, b1, cid) for every band of every class."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = matrix_of(batch.column("bands"), np.int64, bands)
             at = pa.array(np.repeat(np.arange(len(keys)), bands))
             band = np.tile(np.arange(bands, dtype=np.int32), len(keys))
-            yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(band), batch.column("cid").take(at)], ["key", "band", "cid"])
+            yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(band), batch.column("cid").take(at)], ["key", "b1", "cid"])
 
-    return classes.select("cid", "bands").mapInArrow(explode, "key long, band int, cid long")
+    return classes.select("cid", "bands").mapInArrow(explode, "key long, b1 int, cid long")
 
 
 def rep_key(text_hash: Column, doc_id: Column) -> Column:
@@ -137,12 +141,8 @@ def rep_key(text_hash: Column, doc_id: Column) -> Column:
     return F.xxhash64(text_hash, doc_id)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, keep: Scratch) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold.
-
-    The sets are computed again from the texts that represent the classes of the pairs.
-    """
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+def whole_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, keep: Scratch) -> DataFrame:
+    """(cid, whole) for the classes named by ``cid``: their sets, computed again from the texts that represent them."""
     wanted = keep(ids.join(classes.select("cid", "n", "d1", "d2", "rep"), "cid"), "minmax-wanted")
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(rep_key(F.col("rep.k"), F.col("rep.id")).alias("r")), "r", ID_BITS))
 
@@ -161,10 +161,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
 
     texts = docs.select(F.col(text_col).alias("text"), rep_key(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.col(id_col)).alias("r"))
     got = texts.mapInArrow(fetch, "n long, d1 long, d2 long, whole binary")
-    # a text without an id may come from several tasks; pairs then repeat, links are made distinct
-    got = keep(got.join(wanted.select("cid", "n", "d1", "d2"), ["n", "d1", "d2"]).select("cid", "whole"), "minmax-sets")
-    leaders = got.join(pairs.select(F.col("b").alias("cid")).distinct(), "cid", "left_semi")
-    both = pairs.join(got.select(F.col("cid").alias("a"), F.col("whole").alias("x")), "a").join(
+    # a text without an id may come from several tasks; a set that comes twice adds no link
+    return keep(got.join(wanted.select("cid", "n", "d1", "d2"), ["n", "d1", "d2"]).select("cid", "whole"), "minmax-sets")
+
+
+def star_links(star: DataFrame, got: DataFrame, percent: int, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of a class and its leader whose whole sets reach the threshold."""
+    leaders = got.join(star.select(F.col("b").alias("cid")).distinct(), "cid", "left_semi")
+    both = star.join(got.select(F.col("cid").alias("a"), F.col("whole").alias("x")), "a").join(
         leaders.select(F.col("cid").alias("b"), F.col("whole").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +189,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
 def with_sides(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets with several components: component, and whether it is the bucket's largest (``home``)."""
     known = members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
-    known = known.select("key", "band", "cid", F.coalesce("label", "cid").alias("comp"))
+    known = known.select("key", "b1", "b2", "cid", F.coalesce("label", "cid").alias("comp"))
     sizes = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sizes = sizes.groupBy("key").agg(
         F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
@@ -195,23 +199,25 @@ def with_sides(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def by_two_bands(members: DataFrame, classes: DataFrame, bands: int) -> DataFrame:
     """Members of crowded buckets, dealt anew by their band and each later one."""
-    far = members.select("key", "band", "cid").join(classes.select("cid", "bands"), "cid")
+    far = members.select("key", "b1", "cid").join(classes.select("cid", "bands"), "cid")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = matrix_of(batch.column("bands"), np.uint64, bands)
-            first, own = batch.column("band").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
+            first, own = batch.column("b1").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
             more = bands - 1 - first
             row = np.repeat(np.arange(len(keys)), more)
             later = first[row] + 1 + runs(more)
             both = mix(own[row] * np.uint64(0xD6E8FEB86659FD93) + keys[row, later])
-            yield pa.record_batch([pa.array(signed(both)), pa.array(later.astype(np.int32)), batch.column("cid").take(pa.array(row))], ["key", "band", "cid"])
+            at = pa.array(row)
+            yield pa.record_batch(
+                [pa.array(signed(both)), batch.column("b1").take(at), pa.array(later.astype(np.int32)), batch.column("cid").take(at)], ["key", "b1", "b2", "cid"])
 
-    return far.mapInArrow(split, "key long, band int, cid long")
+    return far.mapInArrow(split, "key long, b1 int, b2 int, cid long")
 
 
 def dealt(members: DataFrame) -> DataFrame:
-    """(grp, cross, cid, comp): blocks of at most about 2 BLOCK members in which to compare.
+    """(grp, b1, b2, own, cross, cid, comp): blocks of at most about 2 BLOCK members in which to compare.
 
     A bucket of up to BLOCK members is one block. In a larger one the home component and
     the strays are cut into parts; each part of strays meets itself, the other parts and
@@ -224,55 +230,156 @@ def dealt(members: DataFrame) -> DataFrame:
     own = F.when(F.col("home"), p + F.pmod(F.xxhash64("cid"), q)).otherwise(F.pmod(F.xxhash64("cid"), p)).cast("int")
     others = F.when(small, F.array(own)).when(F.col("home"), F.sequence(F.lit(0), p - 1)).otherwise(F.sequence(F.lit(0), p + q - 1))
     parts = members.withColumn("own", F.when(small, 0).otherwise(own)).withColumn("other", F.explode(F.when(small, F.array(F.lit(0))).otherwise(others)))
-    return parts.select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "own", (F.col("own") != F.col("other")).alias("cross"), "cid", "comp")
-
-
-def near_pairs(members: DataFrame, classes: DataFrame, percent: int, values: int) -> DataFrame:
-    """(a, b): members of a block, of different components, that size and signature leave possible."""
+    grp = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return parts.select(grp.alias("grp"), "b1", "b2", "own", (F.col("own") != F.col("other")).alias("cross"), "cid", "comp")
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``grp``, in tables that hold whole blocks."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        grp = table.column("grp").to_numpy()
+        # the last block may go on in the next batch
+        begin = int(np.searchsorted(grp, grp[-1], "left"))
+        if begin:
+            yield table.slice(0, begin).combine_chunks()
+        rest = table.slice(begin)
+    if rest is not None:
+        yield rest.combine_chunks()
+
+
+def flat(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name).combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def with_partners(members: DataFrame, classes: DataFrame, percent: int, bands: int, values: int) -> DataFrame:
+    """(grp, own, cross, cid, comp, n): members of blocks that size and signature leave a partner in another component."""
     least = least_matches(values, percent / 100)
-    rows = dealt(members).join(classes.select("cid", "n", "sig"), "cid").repartition("grp").sortWithinPartitions("grp")
-
-    def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        grp, own, cid, comp, n = (table.column(c).to_numpy() for c in ("grp", "own", "cid", "comp", "n"))
-        cross = table.column("cross").to_numpy()
-        sig = matrix_of(table.column("sig").combine_chunks(), np.uint8, values)
-        last = np.searchsorted(grp, grp, "right")
-        found = []
-        count = last - np.arange(len(grp)) - 1
-        at = 0
-        while at < len(grp):
-            # rows whose pairs together are some 200,000, at least one row
-            to = max(at + 1, int(np.searchsorted(np.cumsum(count[at:]), 200_000, "right")) + at)
-            x = np.repeat(np.arange(at, to), count[at:to])
-            y = x + 1 + runs(count[at:to])
-            ok = (comp[x] != comp[y]) & (~cross[x] | (own[x] != own[y])) & (cid[x] != cid[y])
-            ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            x, y = x[ok], y[ok]
-            ok = (sig[x] == sig[y]).sum(axis=1) >= least
-            found.append(np.stack([np.minimum(cid[x], cid[y])[ok], np.maximum(cid[x], cid[y])[ok]], axis=1))
-            at = to
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.record_batch([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            grp = table.column("grp").to_numpy()
-            # the last block may go on in the next batch
-            begin = int(np.searchsorted(grp, grp[-1], "left"))
-            if begin:
-                yield pairs_of(table.slice(0, begin))
-            rest = table.slice(begin)
-        if rest is not None:
-            yield pairs_of(rest)
-
-    return rows.select("grp", "own", "cross", "cid", "comp", "n", "sig").mapInArrow(search, "a long, b long").distinct()
+    rows = dealt(members).join(classes.select("cid", "n", "sig", "bands"), "cid").repartition("grp").sortWithinPartitions("grp")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_block(batches):
+            grp, own, cid, comp, n, b1, b2 = (table.column(c).to_numpy() for c in ("grp", "own", "cid", "comp", "n", "b1", "b2"))
+            cross = table.column("cross").to_numpy()
+            sig, keys = matrix_of(flat(table, "sig"), np.uint8, values), matrix_of(flat(table, "bands"), np.int64, bands)
+            count = np.searchsorted(grp, grp, "right") - np.arange(len(grp)) - 1
+            upto = np.cumsum(count)
+            found = np.zeros(len(grp), dtype=bool)
+            at = 0
+            while at < len(grp):
+                # rows whose pairs together are some 100,000, at least one row
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] - count[at] + 100_000, "right")))
+                x = np.repeat(np.arange(at, to), count[at:to])
+                y = x + 1 + runs(count[at:to])
+                ok = (comp[x] != comp[y]) & (~cross[x] | (own[x] != own[y])) & ~(found[x] & found[y])
+                ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                x, y = x[ok], y[ok]
+                ok = (sig[x] == sig[y]).sum(axis=1) >= least
+                x, y = x[ok], y[ok]
+                # other blocks look at pairs that share an earlier band
+                same = keys[x] == keys[y]
+                place = np.arange(same.shape[1])
+                ok = same.argmax(axis=1) == b1[x]
+                same &= place > b1[x][:, None]
+                ok &= (b2[x] < 0) | (same.argmax(axis=1) == b2[x])
+                found[x[ok]] = found[y[ok]] = True
+                at = to
+            yield from table.select(["grp", "own", "cross", "cid", "comp", "n"]).filter(pa.array(found)).to_batches()
+
+    columns = ["grp", "own", "cross", "cid", "comp", "n", "b1", "b2", "sig", "bands"]
+    return rows.select(*columns).mapInArrow(look, "grp long, own int, cross boolean, cid long, comp long, n long")
+
+
+def shared_counts(sets_: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two of the sets share, by matrix products over slabs of elements."""
+    size = np.array([len(s) for s in sets_])
+    owner = np.repeat(np.arange(len(sets_)), size)
+    _, element, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    often = times > 1  # others are shared by no two
+    number = np.cumsum(often) - 1
+    ok = often[element]
+    element, owner = number[element[ok]], owner[ok]
+    total = np.zeros((len(sets_), len(sets_)), dtype=np.float32)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    for start in range(0, int(often.sum()), SLAB):
+        a, b = np.searchsorted(element, [start, start + SLAB])
+        rows, at = np.unique(owner[a:b], return_inverse=True)
+        held = np.zeros((len(rows), SLAB), dtype=np.float32)
+        held[at, element[a:b] - start] = 1.0
+        total[np.ix_(rows, rows)] += held @ held.T
+    return total
+
+
+def forest(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """The smallest place that links lead to, for each of ``size`` places."""
+    root = np.arange(size)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
+def block_links(members: DataFrame, got: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between members of different components of a block, as a forest."""
+    rows = members.join(got, "cid").repartition("grp").sortWithinPartitions("grp")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_block(batches):
+            grp, own, cid, comp, n = (table.column(c).to_numpy() for c in ("grp", "own", "cid", "comp", "n"))
+            cross, whole = table.column("cross").to_numpy(), flat(table, "whole")
+            cuts = np.flatnonzero(np.diff(grp)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(grp)], strict=True):
+                common = shared_counts([np.frombuffer(whole[i].as_buffer(), np.uint64) for i in range(a, b)])
+                both = n[a:b, None] + n[None, a:b] - common
+                near = (100 * common >= percent * both) & (comp[a:b, None] != comp[None, a:b])
+                if cross[a]:
+                    near &= own[a:b, None] != own[None, a:b]
+                root = forest(*np.nonzero(near), b - a)
+                moved = np.flatnonzero(root != np.arange(b - a))
+                ends = np.sort(np.stack([cid[a:b][moved], cid[a:b][root[moved]]], axis=1), axis=1)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(ends[:, k])) for k in (0, 1)], ["a", "b"])
+
+    return rows.select("grp", "own", "cross", "cid", "comp", "n", "whole").mapInArrow(link, "a long, b long").distinct()
+
+
+def components(links: DataFrame, keep: Scratch) -> DataFrame:
+    """(node, label) for every linked node: the smallest node that links lead to.
+
+    Each round points every node to its smallest neighbour, follows the pointers to their
+    roots, and puts the roots in place of the links' ends. At least half of the nodes go
+    in a round, and all links within what has been put together, so later rounds are small.
+    """
+    edges, labels = keep(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minmax-edges"), None
+    while True:
+        ends = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).union(edges.select("a", "b"))
+        roots = keep(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "minmax-roots")
+        while True:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            higher = keep(roots.join(above, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "minmax-roots")
+            roots = higher.drop("moved")
+            if higher.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            further = roots.select(F.col("node").alias("label"), F.col("root").alias("further"))
+            labels = keep(labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "minmax-labels")
+        for end in ("a", "b"):
+            edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}2")), end).drop(end).withColumnRenamed(f"{end}2", end)
+        edges = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = keep(edges, "minmax-edges")
+        if edges.isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +388,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Two rows link when 100 * shared >= percent * union over their whole sets of word
     n-grams (a text of fewer words has its whole sequence as the one element). A pair at
     the threshold is missed with a chance below RISK (below 3e-7 in buckets with more
-    than BLOCK strays, which are split by a second band), a closer one more rarely.
+    than CROWD strays, which are split by a second band), a closer one more rarely.
 
     A row is kept if it holds its component's id; rows that repeat that id are all kept.
     Rows without an id link like others and get the component's smallest id; a component
@@ -304,19 +411,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         star = members.where("cid != leader").groupBy("cid", "leader").agg(F.count("*").alias("c"))
         star = star.groupBy("cid").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("m"))
         star = keep(star.select(F.col("cid").alias("a"), (-F.col("m.l")).alias("b")), "minmax-star")
-        links = verified(star, docs, classes, id_col, text_col, n, percent, keep)
-        labels = components(links)
-
-        sides = keep(with_sides(members.select("key", "band", "cid"), labels), "minmax-open")
-        crowded = F.col("strays") > BLOCK
-        deeper = keep(by_two_bands(sides.where(crowded), classes, bands), "minmax-deeper")
-        more = near_pairs(sides.where(~crowded), classes, percent, values).union(
-            near_pairs(with_sides(deeper, labels), classes, percent, values)).distinct()
-        tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = keep(more.join(tried, ["a", "b"], "left_anti"), "minmax-rest")
-        if not more.isEmpty():
-            links = keep(links.union(verified(more, docs, classes, id_col, text_col, n, percent, keep)), "minmax-all-links")
-            labels = components(links)
+        ends = star.select(F.col("a").alias("cid")).union(star.select("b")).distinct()
+        links = star_links(star, whole_sets(ends, docs, classes, id_col, text_col, n, keep), percent, keep)
+        labels = components(links, keep)
+
+        sides = keep(with_sides(members.withColumn("b2", F.lit(-1)), labels), "minmax-open")
+        crowded = F.col("strays") > CROWD
+        deeper = keep(with_sides(by_two_bands(sides.where(crowded), classes, bands), labels), "minmax-deeper")
+        active = [with_partners(x, classes, percent, bands, values) for x in (sides.where(~crowded), deeper)]
+        active = keep(active[0].union(active[1]), "minmax-active")
+        if not active.isEmpty():
+            got = whole_sets(active.select("cid").distinct(), docs, classes, id_col, text_col, n, keep)
+            links = keep(links.union(block_links(active, got, percent)), "minmax-all-links")
+            labels = components(links, keep)
 
         least = labels.join(classes.select(F.col("cid").alias("node"), F.col("rep.id").alias("id")), "node")
         least = least.groupBy("label").agg(F.min("id").alias("component_id"))

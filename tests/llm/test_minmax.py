@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from strayrow.llm import jaccard, minmax
+from strayrow.session import scratch
 
 DOCS = "doc_id long, text string, n long, key string, sig string, component_id string"
 
@@ -64,6 +65,8 @@ def test_rows_without_an_id_carry_links(spark):
 def test_crowded_buckets_are_split_and_blocked(spark, monkeypatch):
     # few values a block, so that parts, strays and second bands are used
     monkeypatch.setattr(minmax, "BLOCK", 4)
+    monkeypatch.setattr(minmax, "CROWD", 12)
+    monkeypatch.setattr(minmax, "SLAB", 50)
     rng = np.random.default_rng(5)
     common = [f"c{k}" for k in range(80)]
     texts = copies(6, groups=3, each=25)
@@ -85,8 +88,8 @@ def test_no_rows(spark):
 
 def test_dealing_lets_every_pair_of_components_meet_once(spark, monkeypatch):
     monkeypatch.setattr(minmax, "BLOCK", 3)
-    rows = [(1, 0, cid, 100 if cid < 11 else cid, 17, 6, cid < 11) for cid in range(17)]
-    members = spark.createDataFrame(rows, "key long, band int, cid long, comp long, total long, strays long, home boolean")
+    rows = [(1, 0, -1, cid, 100 if cid < 11 else cid, 17, 6, cid < 11) for cid in range(17)]
+    members = spark.createDataFrame(rows, "key long, b1 int, b2 int, cid long, comp long, total long, strays long, home boolean")
     blocks = {}
     for r in minmax.dealt(members).collect():
         blocks.setdefault((r.grp, r.cross), []).append((r.cid, r.own))
@@ -128,3 +131,45 @@ def test_found_near_the_threshold(spark):
     assert 100 * shared >= 85 * (2 * size - shared)
     found = got(spark, rows)
     assert sum(r[3] for r in found) == 300
+
+
+def test_shared_elements_are_counted(monkeypatch):
+    monkeypatch.setattr(minmax, "SLAB", 7)
+    rng = np.random.default_rng(11)
+    some = [np.unique(rng.integers(0, 60, rng.integers(1, 30)).astype(np.uint64)) for _ in range(20)]
+    assert np.array_equal(minmax.shared_counts(some), [[len(np.intersect1d(a, b)) if i != j else len([e for e in a if sum(e in s for s in some) > 1])
+                                                       for j, b in enumerate(some)] for i, a in enumerate(some)])
+
+
+def test_many_near_copies_that_do_not_link(spark):
+    # every copy of a text has other words changed: alike, but below the threshold
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.choice(150, 2 if i % 10 else 1, replace=False):
+            copy[at] = f"z{i}_{at}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    assert got(spark, rows) == expected(rows)
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random", "none"])
+def test_components_are_those_of_the_links(spark, kind):
+    rng = np.random.default_rng(13)
+    n = 200
+    order = rng.permutation(n)
+    links = {
+        "path": [(int(a), int(b)) for a, b in zip(order, order[1:])],
+        "star": [(int(order[0]), int(b)) for b in order[1:]],
+        "random": [(int(a), int(b)) for a, b in rng.integers(0, n, (110, 2))],
+        "none": [],
+    }[kind]
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    with scratch(spark) as keep:
+        found = {r.node: r.label for r in minmax.components(spark.createDataFrame(links, "a long, b long"), keep).collect()}
+    assert found == {x: root[x] for a, b in links if a != b for x in (a, b)}
