@@ -9,7 +9,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.functions.arrow import row_function
@@ -110,31 +110,44 @@ def feature_count(max_features: int | float, width: int) -> int:
     return max(1, int(max_features * width))
 
 
-def _draw(df: DataFrame, ids: list[str], n: int, n_trees: int, size: int, seed: int) -> DataFrame:
-    """``tree`` and the feature columns of the rows each tree is built from.
+def _distinct_ids(df: DataFrame, ids: list[str], n: int) -> int:
+    """About how many ids the table has, rather too few; exactly ``n`` if they hardly repeat.
 
-    Hashes of the id decide, so the sample does not depend on partitions. The rows are
-    dealt in rounds: each deals disjoint shares of them to as many trees as there are
-    rows for, and every round has a hash of its own. A table with rows for all trees
-    needs one round, one with too few rows for two trees a round for each tree. Only
-    drawn rows are multiplied, and the rank among a tree's drawn rows trims them to the
-    sample size.
+    The estimate is the same for every partitioning.
+    """
+    about = df.agg(F.approx_count_distinct(F.xxhash64(*ids), 0.02).alias("d")).first()["d"]
+    return n if about >= 0.9 * n else max(1, int(0.95 * about))
+
+
+def _draw(df: DataFrame, ids: list[str], features: list[str], n: int, n_trees: int, size: int, seed: int) -> DataFrame:
+    """``tree``, ``_h`` and the feature columns of the rows each tree is built from, and some more.
+
+    Hashes of the id decide, so the sample does not depend on partitions: a tree takes
+    the ids of smallest ``_h``. Ids are dealt in rounds: each deals disjoint shares of
+    them to as many trees as there are ids for, and every round has a hash of its own. A
+    table with ids for all trees needs one round, one with too few ids for two trees a
+    round for each tree. Shares are a little larger than a sample, and only what is
+    inside them is multiplied. Rows of one id meet before the shuffle and leave one row,
+    the least, so an id that many rows hold takes one place and fills no task.
     """
     wanted = math.ceil(OVERDRAW * size + 64)
-    in_round = max(1, min(n_trees, n // wanted))
-    share = HASH_RANGE * min(n, wanted) // n
+    known = _distinct_ids(df, ids, n)
+    in_round = max(1, min(n_trees, known // wanted))
+    share = HASH_RANGE * min(known, wanted) // known
 
     def dealt(deal: Column) -> Column:
-        """The tree a row goes to in this round; numbers from ``n_trees`` on are none."""
+        """The tree an id goes to in this round; numbers from ``n_trees`` on are none."""
         at = F.floor(F.pmod(F.xxhash64(*ids, F.lit(seed), deal), F.lit(HASH_RANGE)) / share)
         tree = (deal * in_round + at).cast("int")
         return F.when(at < in_round, tree).otherwise(n_trees)
 
     rounds = F.sequence(F.lit(0), F.lit((n_trees - 1) // in_round))
     trees = F.filter(F.transform(rounds, dealt), lambda t: t < n_trees)
-    drawn = df.withColumn("tree", F.explode(trees))
-    rank = Window.partitionBy("tree").orderBy(F.xxhash64(*ids, F.lit(seed + 1), F.col("tree")), *ids)
-    return drawn.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= size)
+    cells = F.struct(*[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    drawn = df.select(*ids, cells.alias("cells"), F.explode(trees).alias("tree"))
+    h = F.xxhash64(*ids, F.lit(seed + 1), F.col("tree")).alias("_h")
+    one = drawn.select("tree", h, F.to_json(F.struct(*ids)).alias("_id"), "cells").groupBy("tree", "_h", "_id").agg(F.min("cells").alias("cells"))
+    return one.select("tree", "_h", "_id", *[F.col(f"cells.f{i}").alias(f) for i, f in enumerate(features)])
 
 
 def _with_replacement(matrix: np.ndarray, n: int, size: int, rng: np.random.Generator) -> np.ndarray:
@@ -192,7 +205,7 @@ def fit_trees(
 
     def build(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
-        group = group.sort_values("_rank")
+        group = group.sort_values(["_h", "_id"]).head(size)
         matrix = group[features].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
         if bootstrap:
@@ -204,8 +217,8 @@ def fit_trees(
         out.insert(0, "tree", tree)
         return out
 
-    drawn = _draw(df, ids, n, n_estimators, size, seed)
-    # One group holds the rows of one tree, at most SAMPLE_ROWS; all trees together
+    drawn = _draw(df, ids, features, n, n_estimators, size, seed)
+    # One group holds the rows of one tree, little more than SAMPLE_ROWS; all trees together
     # have fewer than 2 * SAMPLE_ROWS * n_estimators nodes.
     nodes = (
         drawn.groupBy("tree")

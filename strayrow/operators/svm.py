@@ -73,11 +73,25 @@ def kernel_values(a, b, kernel: str, gamma: float, coef0: float, degree: int) ->
     return product
 
 
-def gamma_value(gamma: str | float, stats: FeatureStats) -> float:
+def cell_variance(units: Units, stats: FeatureStats) -> float:
+    """Variance of all cells, about the features' minima; the same bits for every partitioning."""
+    width, low = units.width, stats.low
+
+    def add_up(matrix: np.ndarray, copies: np.ndarray, _) -> np.ndarray:
+        away = matrix - low
+        return np.concatenate([[copies.sum()], copies @ away, copies @ (away * away)])
+
+    total = units.add_up(add_up, 1 + 2 * width)
+    mean, square = total[1 : 1 + width] / total[0], total[1 + width :] / total[0]
+    var, mean = np.maximum(square - mean * mean, 0.0), mean + low
+    return float(var.mean() + ((mean - mean.mean()) ** 2).mean())
+
+
+def gamma_value(gamma: str | float, units: Units, stats: FeatureStats) -> float:
     """``scale``: one over features times the variance of all cells; ``auto``: one over features."""
     width = len(stats.mean)
     if gamma == "scale":
-        every = float((stats.var + stats.mean**2).mean() - stats.mean.mean() ** 2)
+        every = cell_variance(units, stats)
         return 1.0 / (width * every) if every > 0 else 1.0
     if gamma == "auto":
         return 1.0 / width
@@ -153,10 +167,8 @@ def hashed_rows(
         share = min(1.0, 64 * share)
 
 
-def _kernel_map(df, features, stats, kernel, gamma, coef0, degree, count, seed) -> KernelMap:
-    if kernel not in KERNELS:
-        raise ValueError(f"unknown kernel {kernel!r}, choose from {', '.join(KERNELS)}")
-    value = gamma_value(gamma, stats)
+def _kernel_map(df, units, features, stats, kernel, gamma, coef0, degree, count, seed) -> KernelMap:
+    value = gamma_value(gamma, units, stats)
     if kernel == "linear":
         none = np.zeros((0, 0))
         return KernelMap(kernel, value, coef0, degree, none, none)
@@ -294,13 +306,28 @@ def fit_plane(
     """The detector without its threshold. It is the same for every partitioning of ``df``."""
     if not 0.0 < contamination <= 1.0:
         raise ValueError("the one-class machine needs a contamination above 0, up to 1")
-    mapping = _kernel_map(df, features, stats, kernel, gamma, coef0, degree, n_landmarks, seed)
-    width = len(features) if kernel == "linear" else mapping.weights.shape[1]
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}, choose from {', '.join(KERNELS)}")
+    units = deal(df, features, stats.n)
+    try:
+        mapping = _kernel_map(df, units, features, stats, kernel, gamma, coef0, degree, n_landmarks, seed)
+        normal, converged = _shortest_normal(df, units, features, stats, mapping, contamination, tol, max_iter, seed)
+    finally:
+        units.release()
+    if not converged:
+        warnings.warn(f"the one-class fit did not reach tol={tol} in {max_iter} steps", stacklevel=2)
+    return OneClassSvm(tuple(features), mapping, normal, converged=converged)
+
+
+def _shortest_normal(
+    df: DataFrame, units: Units, features, stats: FeatureStats, mapping: KernelMap, contamination, tol, max_iter, seed
+) -> tuple[np.ndarray, bool]:
+    """The shortest vector in the set of all means over the share, and whether the gap closed."""
+    width = len(features) if mapping.kernel == "linear" else mapping.weights.shape[1]
     # A few rows tell where the bands of the next pass should lie; the pass itself sums
     # over all rows, and falls back to a quantile of all rows where they tell wrong.
     sample, copies = hashed_rows(df, features, stats.n, SAMPLE_ROWS, seed)
     sample = mapping(sample)
-    units = deal(df, features, stats.n)
 
     def find_corner(share: float) -> tuple[np.ndarray, float]:
         edges = _edges(sample @ normal, share, copies)
@@ -310,29 +337,22 @@ def fit_plane(
         edges = _exact_edges(df, features, mapping, normal, share)
         return _lowest_mean(units, mapping, normal, share, stats.n, edges)
 
-    try:
-        normal = np.zeros(width)
-        every = np.array([np.inf])
-        normal, _ = _lowest_mean(units, mapping, normal, 1.0, stats.n, every)
-        corners = normal[None, :]
-        converged = False
-        for _ in range(max_iter):
-            corner, missed = find_corner(contamination)
-            gap = normal @ normal - normal @ corner
-            allowed = tol * max(normal @ normal, 1e-12)
-            if gap <= allowed - min(missed, 0.5 * allowed):
-                converged = True
-                break
-            corners = np.vstack([corners, corner])
-            weights = shortest_in_hull(corners)
-            normal = weights @ corners
-            # Corners without weight do not come back into the shortest vector's support.
-            corners = corners[weights > 0]
-    finally:
-        units.release()
-    if not converged:
-        warnings.warn(f"the one-class fit did not reach tol={tol} in {max_iter} steps", stacklevel=2)
-    return OneClassSvm(tuple(features), mapping, normal, converged=converged)
+    normal = np.zeros(width)
+    every = np.array([np.inf])
+    normal, _ = _lowest_mean(units, mapping, normal, 1.0, stats.n, every)
+    corners = normal[None, :]
+    for _ in range(max_iter):
+        corner, missed = find_corner(contamination)
+        gap = normal @ normal - normal @ corner
+        allowed = tol * max(normal @ normal, 1e-12)
+        if gap <= allowed - min(missed, 0.5 * allowed):
+            return normal, True
+        corners = np.vstack([corners, corner])
+        weights = shortest_in_hull(corners)
+        normal = weights @ corners
+        # Corners without weight do not come back into the shortest vector's support.
+        corners = corners[weights > 0]
+    return normal, False
 
 
 def fit_one_class_svm(

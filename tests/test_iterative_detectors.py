@@ -6,7 +6,7 @@ from conftest import by_id, table
 from pyspark.sql import functions as F
 
 from strayrow.functions import network as net
-from strayrow.operators import autoencoder, forest, kmeans, svm
+from strayrow.operators import autoencoder, forest, kmeans, svm, units
 
 F4 = ["f0", "f1", "f2", "f3"]
 
@@ -36,16 +36,31 @@ def test_forest_does_not_depend_on_partitions(spark, planted):
 
 def test_large_tables_give_every_tree_its_own_rows(spark):
     df = spark.range(20_000).select("id", F.randn(1).alias("f0"), F.randn(2).alias("f1"))
-    drawn = forest._draw(df, ["id"], 20_000, 5, 256, 0)
+    drawn = forest._draw(df, ["id"], ["f0", "f1"], 20_000, 5, 256, 0)
     sizes = {r["tree"]: r["count"] for r in drawn.groupBy("tree").count().collect()}
-    assert sizes == {t: 256 for t in range(5)}
-    assert drawn.select("id").distinct().count() == 5 * 256
+    assert set(sizes) == set(range(5)) and all(256 <= n < 600 for n in sizes.values())
+    assert drawn.select("_id").distinct().count() == sum(sizes.values())
 
 
 def test_small_tables_are_drawn_anew_per_tree(spark, planted):
-    drawn = forest._draw(planted, ["id"], 612, 6, 256, 0)
+    drawn = forest._draw(planted, ["id"], F4, 612, 6, 256, 0)
     sizes = {r["tree"]: r["count"] for r in drawn.groupBy("tree").count().collect()}
-    assert sizes == {t: 256 for t in range(6)}
+    assert set(sizes) == set(range(6)) and all(256 <= n < 600 for n in sizes.values())
+
+
+def test_a_repeated_id_takes_one_place(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 2))
+    rows = table(spark, x).withColumn("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")))
+    drawn = forest._draw(rows, ["id"], ["f0", "f1"], 3000, 4, 256, 0)
+    counts = drawn.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("_id").alias("ids")).collect()
+    assert len(counts) == 4 and all(r["n"] == r["ids"] >= 256 for r in counts)
+    models = [forest.fit_isolation_forest(rows.repartition(p), ["f0", "f1"], "id", n_estimators=4) for p in (1, 7)]
+    for name in ("roots", "feature", "cut", "left", "right", "path"):
+        assert np.array_equal(*(getattr(m, name) for m in models))
+    # the least row of the id stands for it
+    cells = drawn.where("_id = '{\"id\":0}'").select("f0").distinct().collect()
+    assert {r["f0"] for r in cells} <= {min(map(tuple, x[::3]))[0]}
 
 
 def test_tree_is_a_partition_of_its_rows():
@@ -109,10 +124,11 @@ def test_exact_features_reproduce_the_kernel(spark):
 
     df = table(spark, x)
     names = ["f0", "f1", "f2"]
-    s = stats.collect_stats(df, names)
-    assert np.isclose(svm.gamma_value("scale", s), 1 / (3 * x.var()))
-    mapping = svm._kernel_map(df, names, s, "rbf", "scale", 0.0, 3, 256, 0)
-    k = svm.kernel_values(x, x, "rbf", svm.gamma_value("scale", s), 0.0, 3)
+    s, rows = stats.collect_stats(df, names), units.deal(df, names, 100)
+    gamma = svm.gamma_value("scale", rows, s)
+    assert np.isclose(gamma, 1 / (3 * x.var()))
+    mapping = svm._kernel_map(df, rows, names, s, "rbf", "scale", 0.0, 3, 256, 0)
+    k = svm.kernel_values(x, x, "rbf", gamma, 0.0, 3)
     assert np.allclose(mapping(x) @ mapping(x).T, k, atol=1e-6)
 
 
@@ -123,21 +139,21 @@ def test_copies_on_the_cut(spark):
     mapping = svm.KernelMap("linear", 1.0, 0.0, 3, np.zeros((0, 0)), np.zeros((0, 0)))
     normal = np.array([-1.0, -1.0])
     df, names = table(spark, x), ["f0", "f1"]
-    s = x @ normal
+    s, rows = x @ normal, units.deal(df, names, 300)
     want = np.sort(s)[:90].mean()
     for edges in (
         svm._exact_edges(df, names, mapping, normal, 0.3),
         svm._edges(s, 0.3),
         np.array([-6.5, -5.9, 10.0]),
     ):
-        got, missed = svm._lowest_mean(df, names, mapping, normal, 0.3, 300, edges)
+        got, missed = svm._lowest_mean(rows, mapping, normal, 0.3, 300, edges)
         assert want - 1e-9 <= got @ normal <= want + missed + 1e-9
-    assert svm._lowest_mean(df, names, mapping, normal, 0.3, 300, np.array([-9.0])) is None
+    assert svm._lowest_mean(rows, mapping, normal, 0.3, 300, np.array([-9.0])) is None
 
 
 def test_wrong_bands_fall_back_to_all_rows(spark, planted, monkeypatch):
     right = svm.fit_one_class_svm(planted, F4, 0.1)
-    monkeypatch.setattr(svm, "_edges", lambda scores, share: np.array([scores.min() - 1.0]))
+    monkeypatch.setattr(svm, "_edges", lambda scores, share, copies=None: np.array([scores.min() - 1.0]))
     other = svm.fit_one_class_svm(planted, F4, 0.1)
     a, b = (m.normal / np.linalg.norm(m.normal) for m in (right, other))
     assert a @ b > 0.999
@@ -232,7 +248,7 @@ def test_loss_falls_and_planted_rows_stand_out(spark, planted):
 
 
 def test_training_does_not_depend_on_partitions(spark, planted, monkeypatch):
-    monkeypatch.setattr(autoencoder, "ROWS_PER_TASK", 200)
+    monkeypatch.setattr(autoencoder, "BATCH_UNIT_ROWS", 8)
     settings = dict(hidden_neurons=[3, 2, 3], epochs=2)
     a = autoencoder.fit_network(planted.repartition(1), F4, "id", **settings)
     b = autoencoder.fit_network(planted.repartition(6, "f2"), F4, "id", **settings)
@@ -297,8 +313,8 @@ def test_unfinished_fits_are_reported(spark, planted):
 
 def test_bootstrap_draws_from_the_whole_table(spark):
     rows = spark.range(20_000)
-    drawn = forest._draw(rows, ["id"], 20_000, 20, 256, 0).groupBy("tree").count().collect()
-    assert len(drawn) == 20 and {r["count"] for r in drawn} == {256}
+    drawn = forest._draw(rows, ["id"], ["id"], 20_000, 20, 256, 0).groupBy("tree").count().collect()
+    assert len(drawn) == 20 and min(r["count"] for r in drawn) >= 256
     matrix, rng = np.arange(256.0)[:, None], np.random.default_rng(0)
     for n, distinct in ((256, 162), (20_000, 254), (10**9, 256)):
         found = [forest._with_replacement(matrix, n, 256, rng) for _ in range(50)]

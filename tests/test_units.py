@@ -73,7 +73,7 @@ def test_one_class_machine_has_the_same_bits_for_every_partitioning(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((700, 3))
     x[:200] = x[0]
-    fits = [svm.fit_one_class_svm(table(spark, x).repartition(p), ["f0", "f1", "f2"], 0.1, gamma=0.3) for p in (1, 9)]
+    fits = [svm.fit_one_class_svm(table(spark, x).repartition(p), ["f0", "f1", "f2"], 0.1) for p in (1, 9)]
     assert np.array_equal(fits[0].normal, fits[1].normal) and fits[0].threshold == fits[1].threshold
 
 
