@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strayrow.functions.arrow import to_lists, to_matrix
+
 # Above this many features the pairwise aggregates no longer fit one generated
-# method; the vector summaries of Spark ML take over.
+# method; blocks of moments merged in Arrow take over.
 MAX_PAIRWISE = 12
+# Merged blocks that reach the driver, in number and in bytes.
+MOST_BLOCKS = 64
+BLOCKS_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -39,16 +44,86 @@ class FeatureStats:
             cov,
         )
 
+    def merge(self, other: FeatureStats) -> FeatureStats:
+        """Statistics of two tables together, such as those known and a later batch.
+
+        The covariance is kept if both have one.
+        """
+        if not self.n or not other.n:
+            return self if self.n else other
+        both = _merged(_Moments.of(self), _Moments.of(other))
+        return both.stats(self.cov is not None and other.cov is not None)
+
+
+@dataclass(frozen=True)
+class _Moments:
+    """Number, range, mean and summed products of deviations of some rows.
+
+    ``spread`` is a matrix, or its diagonal where covariances aren't asked for.
+    """
+
+    n: float
+    low: np.ndarray
+    high: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+
+    @classmethod
+    def of(cls, stats: FeatureStats) -> _Moments:
+        spread = stats.var * stats.n if stats.cov is None else stats.cov * (stats.n - 1)
+        return cls(float(stats.n), stats.low, stats.high, stats.mean, spread)
+
+    @classmethod
+    def of_rows(cls, matrix: np.ndarray, with_cov: bool) -> _Moments:
+        mean = matrix.mean(axis=0)
+        away = matrix - mean
+        # What rounding of the mean leaves is taken out of the spread.
+        rest = away.sum(axis=0) / len(matrix)
+        mean, away = mean + rest, away - rest
+        spread = away.T @ away if with_cov else (away * away).sum(axis=0)
+        return cls(float(len(matrix)), matrix.min(axis=0), matrix.max(axis=0), mean, spread)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[self.n], self.low, self.high, self.mean, self.spread.ravel()])
+
+    @classmethod
+    def of_flat(cls, flat: np.ndarray, width: int) -> _Moments:
+        low, high, mean = flat[1 : 1 + 3 * width].reshape(3, width)
+        rest = flat[1 + 3 * width :]
+        return cls(float(flat[0]), low, high, mean, rest.reshape(width, width) if len(rest) != width else rest)
+
+    def stats(self, with_cov: bool) -> FeatureStats:
+        square = self.spread.ndim == 2
+        var = (np.diag(self.spread) if square else self.spread) / self.n
+        cov = self.spread / max(self.n - 1, 1) if with_cov and square else None
+        return FeatureStats(int(self.n), self.low, self.high, self.mean, var, cov)
+
+
+def _merged(a: _Moments, b: _Moments) -> _Moments:
+    """Moments of two sets of rows together (Chan, Golub and LeVeque 1979)."""
+    n = a.n + b.n
+    apart = b.mean - a.mean
+    if a.spread.ndim != b.spread.ndim:
+        a, b = (_Moments(m.n, m.low, m.high, m.mean, np.diag(m.spread) if m.spread.ndim == 2 else m.spread) for m in (a, b))
+    both = np.outer(apart, apart) if a.spread.ndim == 2 else apart * apart
+    return _Moments(
+        n,
+        np.minimum(a.low, b.low),
+        np.maximum(a.high, b.high),
+        a.mean + apart * (b.n / n),
+        a.spread + b.spread + both * (a.n * b.n / n),
+    )
+
 
 def collect_stats(df: DataFrame, features: Sequence[str], with_cov: bool = False) -> FeatureStats:
-    """One aggregation over the table for up to ``MAX_PAIRWISE`` features, two beyond.
+    """One aggregation over the table, whatever the number of features.
 
     Rows with a null or NaN in any of the features take no part, whatever their number.
     """
     features = list(features)
-    stats = _by_columns if len(features) <= MAX_PAIRWISE else _by_vectors
+    stats = _by_columns if len(features) <= MAX_PAIRWISE else _by_blocks
     cells = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    result = stats(cells.dropna(), features, with_cov)
+    result = stats(cells, features, with_cov)
     if result.n == 0:
         raise ValueError("cannot fit on an empty table")
     return result
@@ -56,6 +131,7 @@ def collect_stats(df: DataFrame, features: Sequence[str], with_cov: bool = False
 
 def _by_columns(df: DataFrame, features: list[str], with_cov: bool) -> FeatureStats:
     d = len(features)
+    df = df.dropna()
     cells = [F.col(f"`{f}`") for f in features]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cells):
@@ -85,26 +161,47 @@ def _by_columns(df: DataFrame, features: list[str], with_cov: bool) -> FeatureSt
     return FeatureStats(n, get("lo"), get("hi"), get("mu"), var, cov)
 
 
-def _by_vectors(df: DataFrame, features: list[str], with_cov: bool) -> FeatureStats:
-    assembler = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="error")
-    vectors = assembler.transform(df).select("_v")
-    measure = Summarizer.metrics("count", "min", "max", "mean", "variance")
-    row = vectors.select(measure.summary(F.col("_v")).alias("s")).first()
-    s = row["s"]
-    if s is None or s["count"] == 0:
-        none = np.zeros(len(features))
+def _by_blocks(df: DataFrame, features: list[str], with_cov: bool) -> FeatureStats:
+    """Every task merges the moments of its batches; few merged blocks reach the driver.
+
+    Blocks are merged in the order of their tasks, so a rerun gives the same bits. Rows
+    with a missing cell are left out there: a condition on every one of many columns
+    would keep the optimizer busy for longer than the work takes.
+    """
+    width = len(features)
+    length = 1 + 3 * width + (width * width if with_cov else width)
+
+    def one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            matrix = to_matrix(batch.column("f"), width)
+            matrix = matrix[~np.isnan(matrix).any(axis=1)]
+            if len(matrix):
+                more = _Moments.of_rows(matrix, with_cov)
+                known = more if known is None else _merged(known, more)
+        if known is not None:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), to_lists(known.flat()[None, :])], names=["task", "v"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, task = None, None
+        for batch in batches:
+            for at, flat in zip(batch.column("task").to_pylist(), to_matrix(batch.column("v"), length)):
+                more = _Moments.of_flat(flat, width)
+                known, task = (more, at) if known is None else (_merged(known, more), task)
+        if known is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), to_lists(known.flat()[None, :])], names=["task", "v"])
+
+    schema = "task long, v array<double>"
+    cells = F.array(*[F.col(f"`{f}`") for f in features])
+    blocks = df.select(cells.alias("f")).mapInArrow(one_block, schema)
+    few = max(4, min(MOST_BLOCKS, BLOCKS_BYTES // (8 * length)))
+    blocks = blocks.repartition(few, "task").sortWithinPartitions("task").mapInArrow(put_together, schema)
+    rows = blocks.toArrow().sort_by("task")
+    if not rows.num_rows:
+        none = np.zeros(width)
         return FeatureStats(0, none, none, none, none)
-    n = s["count"]
-    sample_var = s["variance"].toArray()
-    var = sample_var * (n - 1) / n
-    cov = None
-    if with_cov:
-        if n > 1:
-            corr = Correlation.corr(vectors, "_v").first()[0].toArray()
-            corr[~np.isfinite(corr)] = 0.0
-            np.fill_diagonal(corr, 1.0)
-        else:
-            corr = np.eye(len(features))
-        deviation = np.sqrt(sample_var)
-        cov = corr * np.outer(deviation, deviation)
-    return FeatureStats(n, s["min"].toArray(), s["max"].toArray(), s["mean"].toArray(), var, cov)
+    first, *others = (_Moments.of_flat(v, width) for v in to_matrix(rows["v"], length))
+    for more in others:
+        first = _merged(first, more)
+    return first.stats(with_cov)

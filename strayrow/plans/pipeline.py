@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,16 @@ LOF = lof.LocalOutlierFactor.key
 FROM_STATISTICS = {pca.PcaMahalanobis.key, gaussian.Gaussian.key}
 
 
+@dataclass(frozen=True)
+class Progress:
+    """A detector that has been fitted, the how many-th of how many, and how long it took."""
+
+    detector: str
+    done: int
+    total: int
+    seconds: float
+
+
 class Pipeline:
     """Detectors to be fitted together, in the order they were added."""
 
@@ -59,13 +72,24 @@ class Pipeline:
         id_col: str | Sequence[str],
         label_col: str | None = None,
         on_null: str = "error",
+        parallel: int = 1,
+        progress: Callable[[Progress], None] | None = None,
     ) -> FittedPipeline:
         """Every fit starts anew: statistics, scaler and detectors come from ``df`` alone.
 
         One pass takes the statistics of the raw features. The scaler, the principal
         axes and the densities follow from them. Detectors that look at single rows
         share one scoring pass for their cuts.
+
+        Up to ``parallel`` detectors are fitted at once over the same persisted table.
+        Each fit is a job group, in a scheduler pool of its own name, which shares the
+        executors fairly if the session runs with ``spark.scheduler.mode=FAIR``. After
+        each fit ``progress`` is called, in the caller's thread, once for every detector.
+        The result does not depend on ``parallel``. If a fit fails, jobs of the others
+        are cancelled and its error is raised.
         """
+        if parallel < 1:
+            raise ValueError("parallel must be at least 1")
         if not self.specs:
             raise ValueError("add a detector before fitting")
         ids, features = as_list(id_col), list(features)
@@ -79,10 +103,7 @@ class Pipeline:
             scaled = spread(scaled, stats.n).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             graph = self._shared_graph(scaled, features, ids)
-            models = {
-                key: self._shape(key, spec, scaled, features, ids, stats, graph)
-                for key, spec in self.specs.items()
-            }
+            models = self._shapes(scaled, features, ids, stats, graph, parallel, progress)
             if graph is not None:
                 # The table of the one has all columns the other needs.
                 models[KNN] = replace(models[KNN], index=models[LOF].index)
@@ -108,6 +129,49 @@ class Pipeline:
             raise NotTrainedError("the pipeline has not been fitted")
         return self.fitted.flag(df, output, on_null)
 
+    def _shapes(
+        self, scaled: DataFrame, features, ids, stats: FeatureStats, graph, parallel: int, progress
+    ) -> dict[str, Fitted]:
+        """All detectors, those that score single rows still without their cut."""
+        spark = scaled.sparkSession
+        context = spark.sparkContext
+        run = uuid.uuid4().hex[:8]
+        done: dict[str, Fitted] = {}
+
+        def shape(key: str) -> tuple[Fitted, float]:
+            start = time.monotonic()
+            model = self._shape(key, self.specs[key], scaled, features, ids, stats, graph)
+            return model, time.monotonic() - start
+
+        def report(key: str, seconds: float) -> None:
+            if progress is not None:
+                progress(Progress(key, len(done), len(self.specs), seconds))
+
+        if parallel == 1:
+            for key in self.specs:
+                done[key], seconds = shape(key)
+                report(key, seconds)
+            return done
+
+        def fit(key: str) -> tuple[Fitted, float]:
+            context.setLocalProperty("spark.scheduler.pool", key)
+            context.setJobGroup(f"fit-{run}-{key}", f"fit {key}", interruptOnCancel=True)
+            return shape(key)
+
+        with ThreadPoolExecutor(parallel) as pool:
+            running = {pool.submit(inheritable_thread_target(spark)(fit), key): key for key in self.specs}
+            try:
+                for future in as_completed(running):
+                    key = running[future]
+                    done[key], seconds = future.result()
+                    report(key, seconds)
+            except BaseException:
+                for future, key in running.items():
+                    future.cancel()
+                    context.cancelJobGroup(f"fit-{run}-{key}")
+                raise
+        return {key: done[key] for key in self.specs}
+
     def _shape(
         self, key, spec, scaled: DataFrame, features, ids, stats: FeatureStats, graph
     ) -> Fitted:
@@ -223,9 +287,17 @@ class FittedPipeline:
         ]
         return scored.select(*ids, F.explode(F.array(*items)).alias("_r")).select(*ids, "_r.*")
 
-    def save(self, spark: SparkSession, path: str, model_id: str) -> None:
-        """Store the scaler and all detectors under a new folder."""
-        created = datetime.now(timezone.utc)
+    def save(
+        self,
+        spark: SparkSession,
+        path: str,
+        model_id: str,
+        created: datetime | None = None,
+        updated: datetime | None = None,
+    ) -> None:
+        """Store the scaler and all detectors under a new folder; dates are now if not given."""
+        updated = updated or datetime.now(timezone.utc)
+        created = created or updated
         arrays = {"shift": self.scaler.shift, "scale": self.scaler.scale}
         state.write_arrays(spark, arrays, f"{path}/scaler")
         shared = self._share_points()
@@ -240,7 +312,7 @@ class FittedPipeline:
             "shared_points": shared,
         }
         state.write_metadata(
-            spark, path, model_id, created, created, self.models, self.features, settings
+            spark, path, model_id, created, updated, self.models, self.features, settings
         )
 
     @classmethod

@@ -7,7 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from strayrow.plans.pipeline import FittedPipeline, Pipeline
+from strayrow.plans import versions
+from strayrow.plans.pipeline import Pipeline
 from strayrow.sources import predictions, split_json
 
 ROW_IDS = ("request_id", "pos")
@@ -21,10 +22,13 @@ def train_on_requests(
     model_id: str,
     column: str = "value",
 ) -> DataFrame:
-    """Fit on the rows of all sound requests and save to ``path``; gives the rejected requests."""
+    """Fit on the rows of all sound requests and save to ``path``; gives the rejected requests.
+
+    Training again puts a new version of the model in place, which keeps its creation date.
+    """
     rows, rejected = split_json.sort_out(split_json.parse(texts, column), features)
     fitted = pipeline.fit(rows, features, list(ROW_IDS))
-    fitted.save(texts.sparkSession, path, model_id)
+    versions.save_version(texts.sparkSession, fitted, path, model_id)
     return rejected
 
 
@@ -42,7 +46,7 @@ def predict_requests(
     Stored rows carry ``request_id`` and ``pos``, the row's place in its request. Gives
     the rejected requests with their errors; each request is in one of the two.
     """
-    fitted = FittedPipeline.load(texts.sparkSession, model_path)
+    fitted = versions.load_newest(texts.sparkSession, model_path)
     rows, rejected = split_json.sort_out(split_json.parse(texts, column), fitted.features)
     predictions.write(fitted.flag(rows, "long"), prediction_path, model_id, prediction_id, prediction_date)
     return rejected

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strayrow.session import delete_folder
+
 
 def write(
     flags: DataFrame,
@@ -49,3 +51,29 @@ def read(
     if prediction_id is not None:
         table = table.filter(F.col("prediction_id") == prediction_id)
     return table
+
+
+def names(spark: SparkSession, path: str, model_id: str) -> list[str]:
+    """The predictions stored for a model."""
+    rows = read(spark, path, model_id).select("prediction_id").distinct().collect()
+    return sorted(r["prediction_id"] for r in rows)
+
+
+def merge(spark: SparkSession, path: str, model_id: str, parts: list[str], name: str, files: int = 1) -> None:
+    """Store the rows of several predictions as the one prediction ``name``, then delete the several.
+
+    The merged folder appears in one piece when its rows are written. If it is there
+    already, an earlier run was stopped after that, and only the deletions are left.
+    """
+    if name not in names(spark, path, model_id):
+        rows = read(spark, path, model_id).filter(F.col("prediction_id").isin(parts))
+        (
+            rows.withColumn("prediction_id", F.lit(name))
+            .repartition(files)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("model_id", "prediction_id")
+            .parquet(path)
+        )
+    for part in parts:
+        delete_folder(spark, f"{path}/model_id={model_id}/prediction_id={part}")
