@@ -10,7 +10,6 @@ import sys
 from collections.abc import Callable
 from datetime import datetime
 from functools import wraps
-from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,21 +29,23 @@ from strayrow.operators import (
     neighbours,
     pca,
     scale,
+    score_sketch,
     stats,
     svm,
     threshold,
 )
 from strayrow.plans import requests as request_jobs
+from strayrow.plans import versions
 from strayrow.plans.pipeline import FittedPipeline, Pipeline, load_detector, save_detector
-from strayrow.session import new_path, ship_package
+from strayrow.session import cleaned_up, new_path, ship_package
 from strayrow.sources import csv, predictions, split_json
 from strayrow.streaming import scoring
 
 # the training-data operators may be absent
-if find_spec("strayrow.llm") and find_spec("strayrow.llm.queries") and find_spec("corpus_pipeline"):
+try:
     import corpus_pipeline
     from strayrow.llm import queries as llm
-else:
+except ImportError:
     corpus_pipeline = llm = None
 
 PART = ["p_size", "p_retailprice"]
@@ -591,6 +592,136 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("event_id", "detector", r("score", "score"), "flag")
 
 
+def knn_self_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the embeddings, searched by short codes."""
+    rows = embeddings(spark, sf_dir)
+    index = neighbours.build_index(rows, EMBEDDING, "vec_id", cell_points=128)
+    found = neighbours.self_neighbours(index, 5, method="axes")
+    return distance_columns(neighbours.per_row(rows, "vec_id", index, found), "vec_id", 5)
+
+
+def knn_self_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the parts in a tree whose nodes have eight pivots."""
+    rows = part(spark, sf_dir)
+    scaled = scale.fit_scaler(rows, PART).transform(rows)
+    index = neighbours.build_index(scaled, PART, "p_partkey", cell_points=16, max_pivots=8)
+    found = neighbours.self_neighbours(index, 5, method="pivot")
+    return distance_columns(neighbours.per_row(scaled, "p_partkey", index, found), "p_partkey", 5)
+
+
+def kmeans_elbow_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 99 fits of the elbow: their rows, and what the sums of squares within and between make together.
+
+    That is the sum of squares of the table if, and only if, centroids are the means of their rows.
+    """
+    rows = part(spark, sf_dir)
+    scaled = scale.fit_scaler(rows, PART).transform(rows)
+    fits = kmeans.fit_every_k(scaled, PART, range(1, 100), tol=0.0)
+    found = [
+        (k, int(f.counts.sum()), float(f.inertia + (f.counts @ (f.centroids**2)).sum()), f.converged)
+        for k, f in fits.items()
+    ]
+    table = spark.createDataFrame(found, "k int, rows long, squares double, rests boolean")
+    return table.select("k", "rows", r("squares", "squares", 4), "rests")
+
+
+def flag_summary(flags: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """Rows, flagged ones, whether those score highest, and whether a fit of the table cut otherwise flags the same."""
+    both = flags.join(again.select(key, F.col("score").alias("score2"), F.col("flag").alias("flag2")), key)
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if("flag").alias("flagged"),
+        (F.min(F.when(F.col("flag"), F.col("score"))) > F.max(F.when(~F.col("flag"), F.col("score")))).alias("highest"),
+        F.every((F.col("score") == F.col("score2")) & (F.col("flag") == F.col("flag2"))).alias("same_again"),
+    )
+
+
+def fit_invariants(source, features: list[str], key: str, fit):
+    """A detector fitted on its table and on the same rows in other partitions, as one row of invariants."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = source(spark, sf_dir)
+        scaled = scale.fit_scaler(rows, features).transform(rows)
+        one, other = (fit(scaled.repartition(n), features, key) for n in (1, 13))
+        return flag_summary(one.flag(scaled, key), other.flag(scaled, key), key)
+
+    return query
+
+
+def threshold_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cut from sketches of the lines' prices by line number, and whether its rank is within the bound."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_extendedprice")
+    sketches = rows.groupBy("l_linenumber").agg(score_sketch.sketch_column(F.col("l_extendedprice")).alias("s"))
+    sketch = score_sketch.merged_column(sketches, "s")
+    cut = score_sketch.cut(spark, sketch, 0.1)
+    off = F.abs(F.count_if(F.col("l_extendedprice") > cut) - 0.1 * F.count("*"))
+    return rows.agg(F.lit(sketch.n).alias("n_rows"), (off <= 2 * sketch.rank_error).alias("within"))
+
+
+def pca_share_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The axes that explain more than half of the variance of two features: the first one."""
+    rows = part(spark, sf_dir)
+    scaled = scale.fit_scaler(rows, PART).transform(rows)
+    model = pca.fit_pca_mahalanobis(scaled, PART, n_components=0.5)
+    return score_and_flag(model.flag(scaled, "p_partkey"), "p_partkey")
+
+
+def merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of all embeddings, merged from those of the even and of the odd labels."""
+    rows = table(spark, sf_dir, "embeddings")
+    halves = [rows.where(F.col("label") % 2 == k).select("vec_id", "embedding") for k in range(2)]
+    found = [stats.collect_stats(frame.spread_array(h, "embedding", WIDTH), EMBEDDING, with_cov=True) for h in halves]
+    both = found[0].merge(found[1])
+    cells = [(f"f{i}", f"f{j}", float(both.cov[i, j]), both.n) for i in range(WIDTH) for j in range(i, WIDTH)]
+    merged = spark.createDataFrame(cells, "a string, b string, c double, n_rows long")
+    return merged.select("a", "b", r("c", "cov", 9), "n_rows")
+
+
+def stream_score_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers flagged as they arrive, against the neighbours among all of them."""
+    path, log = new_path(spark, "stream"), new_path(spark, "stream-log")
+    with cleaned_up(spark):
+        rows = customers(spark, sf_dir)
+        model = Pipeline().add("knearest_neighbors", method="pivot").add("local_outlier_factor", method="pivot")
+        fitted = model.fit(rows, CUSTOMER, "id")
+        arriving = (
+            spark.readStream.schema(table(spark, sf_dir, "customer").schema)
+            .option("pathGlobFilter", "customer.parquet")
+            .parquet(sf_dir)
+            .select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("acctbal"), F.col("c_nationkey").alias("nation"))
+        )
+        scoring.write_stream(arriving, fitted, path, "customers", log).awaitTermination()
+    name = scoring.compact_stream(spark, path, "customers", 0)
+    stored = predictions.read(spark, path, "customers", name)
+    return stored.select("id", "detector", r("score", "score"), "flag")
+
+
+def state_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts scored by a reader of a model's first version and by one of the version that replaced it."""
+    rows = part(spark, sf_dir)
+    path = new_path(spark, "versions")
+    first = versions.save_version(spark, Pipeline("standard").add("kmeans", n_clusters=1).fit(rows, PART, "p_partkey"), path, "parts")
+    old = versions.load_newest(spark, path)
+    second = versions.save_version(spark, Pipeline("minmax").add("kmeans", n_clusters=1).fit(rows, PART, "p_partkey"), path, "parts")
+    new = versions.load_newest(spark, path)
+    kept = versions.metadata(spark, path)["created"] == versions.versions(spark, path)[0]["created"]
+    scored = [m.score(rows).select("p_partkey", r("kmeans_score", s), F.col("kmeans").alias(f)) for m, s, f in ((old, "old", "old_flag"), (new, "new", "new_flag"))]
+    number = F.lit(second["number"] - first["number"]).cast("int")
+    return scored[0].join(scored[1], "p_partkey").withColumn("created_kept", F.lit(kept)).withColumn("later", number)
+
+
+def fit_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of detectors that were fitted at once, and whether their cuts are those of a fit one by one."""
+    rows = part(spark, sf_dir)
+    model = Pipeline().add("pca_mahalanobis").add("kmeans", n_clusters=2).add("isolation_forest").add("one_class_svm")
+    seen: list = []
+    many = model.fit(rows, PART, "p_partkey", parallel=4, progress=seen.append)
+    one = model.fit(rows, PART, "p_partkey")
+    found = [(p.detector, p.total, one.models[p.detector].threshold == many.models[p.detector].threshold) for p in seen]
+    done = spark.createDataFrame(found, "detector string, total int, same boolean")
+    return done.crossJoin(F.broadcast(many.flag(rows).agg(F.count("*").alias("n_rows"))))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Parts flagged by several detectors after min-max scaling."""
     ship_package(spark)
@@ -661,6 +792,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline_round_trip": pipeline_round_trip,
         "flag_eight": flag_eight,
         "stream_score": stream_score,
+        "knn_self_wide": knn_self_wide,
+        "knn_self_deep": knn_self_deep,
+        "kmeans_elbow_all": kmeans_elbow_all,
+        "kmeans_default": fit_invariants(customers, CUSTOMER, "id", lambda df, f, key: kmeans.fit_kmeans(df, f)),
+        "svm_invariants": fit_invariants(events, EVENTS, "event_id", lambda df, f, key: svm.fit_one_class_svm(df, f)),
+        "forest_invariants": fit_invariants(events, EVENTS, "event_id", forest.fit_isolation_forest),
+        "autoencoder_invariants": fit_invariants(
+            embeddings, EMBEDDING, "vec_id",
+            lambda df, f, key: autoencoder.fit_autoencoder(df, f, key, hidden_neurons=[16, 8, 16], epochs=5),
+        ),
+        "threshold_merged": threshold_merged,
+        "pca_share_two": pca_share_two,
+        "merged_statistics": merged_statistics,
+        "stream_score_joins": stream_score_joins,
+        "state_replaced": state_replaced,
+        "fit_side_by_side": fit_side_by_side,
     }
     more = llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}
     return {name: shipped(query) for name, query in every.items()} | more
@@ -833,6 +980,12 @@ def epsilon_sql(candidates: int) -> str:
     """
 
 
+def invariants_sql(name: str) -> str:
+    """A tenth of the rows lies above the interpolated percentile, if their scores differ."""
+    return f"""SELECT count(*) AS n_rows, count(*) - 1 - CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) AS flagged,
+                      true AS highest, true AS same_again FROM {name}"""
+
+
 def oracle_sql() -> dict[str, str]:
     split_cells = ", ".join(
         f"round(CAST(embedding[pos * 4 + CASE WHEN vec_id % 2 = 0 THEN {i} ELSE {5 - i} END] AS DOUBLE), 6)"
@@ -1014,4 +1167,44 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, 'gaussian_distribution' AS detector, round(score, 6) AS score,
                    score < eps AS flag FROM g, s
             UNION ALL SELECT event_id, 'pca_mahalanobis', score, flag FROM ({flagged("maha", "event_id")})""",
+        "knn_self_wide": f"WITH {EMB}, {emb_pairs()} {wide_distances('nn', 'vec_id')}",
+        "knn_self_deep": f"""WITH {PART_SCALED}, p AS (SELECT p_partkey AS id, x, y FROM x),
+            {xy_pairs('p', 'p', 'nn', True)} {wide_distances('nn', 'p_partkey')}""",
+        "kmeans_elbow_all": f"""WITH {PART_SCALED}
+            SELECT CAST(k AS INTEGER) AS k, count(*) AS rows, round(sum(x * x + y * y), 4) AS squares, true AS rests
+            FROM x, range(1, 100) t(k) GROUP BY k""",
+        "kmeans_default": invariants_sql("customer"),
+        "svm_invariants": invariants_sql("events"),
+        "forest_invariants": invariants_sql("events"),
+        "autoencoder_invariants": invariants_sql("embeddings"),
+        "threshold_merged": "SELECT count(*) AS n_rows, true AS within FROM lineitem",
+        "pca_share_two": f"""WITH {PART_SCALED},
+            q AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c,
+                         0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) AS t FROM x),
+            f AS (SELECT p_partkey, abs((x - mx) * cos(t) + (y - my) * sin(t))
+                         / sqrt((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c)) AS score FROM x, q)
+            {flagged("f", "p_partkey")}""",
+        "merged_statistics": """
+            WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS e,
+                              generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)
+            SELECT 'f' || x.j AS a, 'f' || y.j AS b, round(covar_samp(x.e, y.e), 9) AS cov, count(*) AS n_rows
+            FROM u x JOIN u y ON x.vec_id = y.vec_id AND x.j <= y.j GROUP BY x.j, y.j""",
+        "stream_score_joins": f"""WITH {CUSTOMER_SCALED}, {xy_pairs("c", "c", "tr", True)}, {xy_pairs("c", "c", "nw")},
+            kt AS (SELECT id, d AS score FROM tr WHERE k = 5), kn AS (SELECT id, d AS score FROM nw WHERE k = 5),
+            {lof_ctes("tr", "nw")}
+            SELECT id, 'knearest_neighbors' AS detector, round(score, 6) AS score,
+                   score > (SELECT quantile_cont(score, 0.9) FROM kt) AS flag FROM kn
+            UNION ALL SELECT id, 'local_outlier_factor', round(score, 6),
+                   score > (SELECT quantile_cont(score, 0.9) FROM lof) FROM lofn""",
+        "state_replaced": f"""WITH {PART_SCALED}, {centre_cte("x", "p_partkey")},
+            z AS (SELECT p_partkey, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x,
+                         (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM raw),
+            o AS (SELECT p_partkey, sqrt(x * x + y * y) AS score FROM z)
+            SELECT p_partkey, round(o.score, 6) AS old, o.score > (SELECT quantile_cont(score, 0.9) FROM o) AS old_flag,
+                   round(km.score, 6) AS new, km.score > (SELECT quantile_cont(score, 0.9) FROM km) AS new_flag,
+                   true AS created_kept, 1 AS later
+            FROM o JOIN km USING (p_partkey)""",
+        "fit_side_by_side": """
+            SELECT detector, 4 AS total, true AS same, (SELECT count(*) FROM part) AS n_rows
+            FROM (VALUES ('pca_mahalanobis'), ('kmeans'), ('isolation_forest'), ('one_class_svm')) t(detector)""",
     }
