@@ -29,7 +29,7 @@ from strayrow.operators.units import Units, deal
 
 HIDDEN = (32, 16, 16, 32)
 # Steps of an epoch, and how much longer than usual a step may be.
-MAX_STEPS = 8
+MAX_STEPS = 4
 MAX_STRETCH = 8.0
 # Rows of a batch that make a work unit.
 BATCH_UNIT_ROWS = 64

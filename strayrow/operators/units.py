@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.functions.arrow import sum_vectors, to_lists, to_matrix
+from strayrow.session import Scratch
 
 # Rows aimed at per unit; beyond the largest number of units they grow.
 UNIT_ROWS = 512
@@ -40,11 +41,12 @@ def number_of_units(n: int, rows_per_unit: int = UNIT_ROWS) -> int:
 
 @dataclass(frozen=True)
 class Units:
-    """Rows ``(part, unit, w, f)``: part of the table, unit, copies and features, persisted."""
+    """Rows ``(part, unit, w, f)``: part of the table, unit, copies and features; written and persisted until release."""
 
     rows: DataFrame
     width: int
     count: int
+    tables: Scratch
 
     def add_up(self, kernel: Kernel, length: int, part: int | None = None) -> np.ndarray:
         """Sum of ``kernel``, a vector of ``length``, over all rows, or over one part of them."""
@@ -67,6 +69,7 @@ class Units:
 
     def release(self) -> None:
         self.rows.unpersist()
+        self.tables.clear()
 
 
 def _partial(unit: int, total: np.ndarray) -> pa.RecordBatch:
@@ -128,6 +131,9 @@ def deal(
     )
     rows = rows.groupBy("part", "f", *keys).agg(F.count(F.lit(1)).alias("w"))
     rows = rows.withColumn("unit", F.pmod(F.xxhash64("f", *keys), F.lit(count)))
+    # Written once: a fit asks for many passes, and each would plan all that lies before.
+    tables = Scratch(df.sparkSession)
+    rows = tables(rows, "units")
     # Sorted by part, so that a pass over one of them skips the stored batches of the others.
     rows = rows.repartition(count, "unit").sortWithinPartitions("part", "unit", "f", *keys)
-    return Units(rows.select("part", "unit", "w", "f").persist(StorageLevel.MEMORY_AND_DISK), len(features), count)
+    return Units(rows.select("part", "unit", "w", "f").persist(StorageLevel.MEMORY_AND_DISK), len(features), count, tables)
