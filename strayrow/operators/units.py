@@ -26,8 +26,10 @@ from strayrow.functions.arrow import sum_vectors, to_lists, to_matrix
 from strayrow.session import Scratch
 
 # Rows aimed at per unit; beyond the largest number of units they grow.
-UNIT_ROWS = 512
+UNIT_ROWS = 2048
 MAX_UNITS = 4096
+# Rows aimed at per task, unless all cores need more tasks; a task takes several units.
+TASK_ROWS = 100_000
 # Rows that a kernel gets at once.
 CHUNK_ROWS = 4096
 
@@ -135,5 +137,7 @@ def deal(
     tables = Scratch(df.sparkSession)
     rows = tables(rows, "units")
     # Sorted by part, so that a pass over one of them skips the stored batches of the others.
-    rows = rows.repartition(count, "unit").sortWithinPartitions("part", "unit", "f", *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(count, max(cores, math.ceil(n / TASK_ROWS)))
+    rows = rows.repartition(tasks, "unit").sortWithinPartitions("part", "unit", "f", *keys)
     return Units(rows.select("part", "unit", "w", "f").persist(StorageLevel.MEMORY_AND_DISK), len(features), count, tables)
