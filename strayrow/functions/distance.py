@@ -13,6 +13,14 @@ PRODUCT_WIDTH = 16
 CELL_SEARCH_POINTS = 1024
 # Relative allowance for rounding when a bound decides that a cell is skipped.
 BOUND_SLACK = 1e-9
+# Points a screened search compares in full before it knows a bound, and rows and points of its tiles.
+FIRST_POINTS = 512
+TILE_ROWS, TILE_POINTS = 1024, 1024
+# Features added up between two looks at what is still within the bound, and the share of a tile
+# below which its pairs are taken out and measured.
+STEP_FEATURES, FEW = 8, 0.02
+# Pairs measured at once.
+PAIRS = 1 << 16
 
 
 def metric_order(metric: str = "minkowski", p: float = 2) -> float:
@@ -88,21 +96,34 @@ def nearest(
     order: float,
     exclude_self: bool = False,
     limit: np.ndarray | None = None,
+    codes: tuple[np.ndarray, np.ndarray, float] | None = None,
+    apart: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` nearest points of every query, in order, as flat (row, point, distance).
 
     ``weights`` counts the copies of a point; each copy is a neighbour of its own.
     Equal distances follow the order of ``points``. ``exclude_self`` leaves out one
     copy at distance zero, the query itself. Points beyond ``limit`` are not given.
+    ``codes`` are short codes of queries and points and a factor: factor times the Euclidean
+    distance of codes is no larger than the distance. ``apart`` numbers queries and points;
+    pairs of one number are left out, the query itself is among them.
     """
     if limit is None:
         limit = np.full(len(queries), np.inf)
     # A query can lose one copy to itself, so one more point is looked at.
-    take = min(k + int(exclude_self), len(points))
-    cut_up = len(points) >= CELL_SEARCH_POINTS and points.shape[1] < PRODUCT_WIDTH
-    search = _cell_search if cut_up else _plain_search
+    take = min(k + int(exclude_self or apart is not None), len(points))
+    many = len(points) >= CELL_SEARCH_POINTS
+    if many and points.shape[1] < PRODUCT_WIDTH:
+        found = _cell_search(queries, points, take, order, limit)
+    elif many and np.isfinite(points).all() and np.isfinite(queries).all():
+        found = _screened_search(queries, points, take, order, limit, codes)
+    else:
+        found = _plain_search(queries, points, take, order, limit)
     out = []
-    for rows, cols, distance in search(queries, points, take, order, limit):
+    for rows, cols, distance in found:
+        if apart is not None:
+            other = apart[0][rows] != apart[1][cols]
+            rows, cols, distance = rows[other], cols[other], distance[other]
         by = np.lexsort((cols, distance, rows))
         rows, cols, distance = rows[by], cols[by], distance[by]
         copies = np.minimum(weights[cols], k + 1)
@@ -132,6 +153,159 @@ def _plain_search(queries, points, take, order, limit):
         yield rows + start, cols, distance
 
 
+class _Screen:
+    """Pairs that may lie within a bound, from distances in the precision ``kind``.
+
+    What rounding can make of a distance is allowed for, so no pair within the bound is lost.
+    """
+
+    def __init__(self, points: np.ndarray, order: float, kind) -> None:
+        self.order, self.kind, self.eps = order, kind, float(np.finfo(kind).eps)
+        self.middle = points.mean(axis=0)
+        moved = points - self.middle
+        self.far = np.abs(moved).max(initial=0.0)
+        if order == 2.0:
+            square = (moved * moved).sum(axis=1)
+            self.longest = np.sqrt(square.max(initial=0.0))
+            moved = np.column_stack([moved, square])
+        self.points = np.ascontiguousarray(moved.T, dtype=kind)
+
+    @staticmethod
+    def error(points: np.ndarray, queries: np.ndarray, order: float, kind) -> float:
+        """Distance that rounding can add or take away."""
+        middle = points.mean(axis=0)
+        far = max(np.abs(points - middle).max(initial=0.0), np.abs(queries - middle).max(initial=0.0))
+        return far * float(np.finfo(kind).eps) * points.shape[1]
+
+    def ask(self, queries: np.ndarray):
+        """A function (first point, end, bounds) -> the mask of pairs that may lie within the bounds."""
+        moved = queries - self.middle
+        width, eps = moved.shape[1], self.eps
+        if self.order == 2.0:
+            square = (moved * moved).sum(axis=1)
+            table = np.column_stack([-2.0 * moved, np.ones(len(moved))]).astype(self.kind)
+            slack = 4 * (width + 8) * eps * (np.sqrt(square) + self.longest) ** 2
+
+            def within(a: int, b: int, bound: np.ndarray) -> np.ndarray:
+                cut = (bound * bound * (1 + 1e-12) - square + slack).astype(self.kind)
+                return table @ self.points[:, a:b] <= cut[:, None]
+
+            return within
+        columns = np.ascontiguousarray(moved.T, dtype=self.kind)
+        off = 4 * eps * max(self.far, np.abs(moved).max(initial=0.0)) * width ** (1.0 / self.order)
+
+        def within(a: int, b: int, bound: np.ndarray) -> np.ndarray:
+            power = 1.0 if self.order in (1.0, float("inf")) else self.order
+            cut = ((bound + off) * (1 + 8 * (width + 8) * eps)) ** power
+            cut = np.nextafter(cut.astype(self.kind), self.kind(np.inf))[:, None]
+            total = np.zeros((len(bound), b - a), dtype=self.kind)
+            part = np.empty_like(total)
+            mask = None
+            for j in range(width):
+                np.subtract(columns[j, :, None], self.points[j, None, a:b], out=part)
+                np.abs(part, out=part)
+                if self.order == float("inf"):
+                    np.maximum(total, part, out=total)
+                else:
+                    if self.order == 3.0:
+                        np.multiply(part * part, part, out=part)
+                    elif self.order != 1.0:
+                        np.power(part, self.kind(self.order), out=part)
+                    np.add(total, part, out=total)
+                if j % STEP_FEATURES == STEP_FEATURES - 1 or j == width - 1:
+                    mask = total <= cut
+                    if np.count_nonzero(mask) < FEW * mask.size:
+                        break
+            return mask
+
+        return within
+
+
+def _set_pairs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the set cells of a sparse mask, eight cells looked at together."""
+    if mask.size % 8 or not mask.flags.c_contiguous:
+        return np.nonzero(mask)
+    eights = mask.reshape(-1, 8)
+    some = np.flatnonzero(eights.view(np.uint64).ravel())
+    at, within = np.nonzero(eights[some])
+    return np.divmod(some[at] * 8 + within, mask.shape[1])
+
+
+def _first_of_rows(rows, cols, distance, take, n_rows):
+    """The ``take`` closest pairs of every row, and the distance of its last one if it has so many."""
+    by = np.lexsort((cols, distance, rows))
+    rows, cols, distance = rows[by], cols[by], distance[by]
+    position = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    keep = position < take
+    last = np.full(n_rows, np.inf)
+    full = position == take - 1
+    last[rows[full]] = distance[full]
+    return rows[keep], cols[keep], distance[keep], last
+
+
+def _screened_search(queries, points, take, order, limit, codes=None):
+    """Candidates of wide points: the bound a query has from the points seen so far screens the next ones.
+
+    Spans of points double, so a bound is renewed seldom and few pairs are measured in full.
+    """
+    first = min(len(points), max(FIRST_POINTS, 4 * take))
+    screens: dict = {}
+    rows_at_once = TILE_ROWS if order == 2.0 else TILE_ROWS // 4
+
+    def screen(kind) -> _Screen:
+        if kind not in screens:
+            screens[kind] = _Screen(points, order, kind)
+        return screens[kind]
+
+    code_screen = None if codes is None else _Screen(codes[1], 2.0, np.float64)
+    error = _Screen.error(points, queries, order, np.float32)
+    for start in range(0, len(queries), rows_at_once):
+        part = slice(start, start + rows_at_once)
+        asking, n = queries[part], len(queries[part])
+        found = _candidates(asking, points[:first], take, order, limit[part])
+        *found, last = _first_of_rows(*found, take, n)
+        bound = np.minimum(limit[part], last)
+        # Single precision where its rounding is small beside the distances looked for.
+        known = bound[np.isfinite(bound)]
+        size = np.median(known) if len(known) else np.inf
+        single = 1e-9 < size < 1e9 and error < 0.01 * size
+        ask = screen(np.float32 if single else np.float64).ask(asking)
+        at = first
+        while at < len(points):
+            end = min(len(points), 2 * at)
+            code_ask = None if codes is None else code_screen.ask(codes[0][part])
+            for a in range(at, end, TILE_POINTS):
+                b = min(end, a + TILE_POINTS)
+                mask = None
+                if code_ask is not None:
+                    scale = np.abs(codes[0][part]).max(initial=0.0) + np.abs(code_screen.far)
+                    mask = code_ask(a, b, (bound * (1 + BOUND_SLACK)) / codes[2] + 1e-12 * scale)
+                    share = np.count_nonzero(mask) / mask.size
+                    if share > 0.5:  # the codes exclude little here
+                        code_ask = None
+                    if share >= FEW:
+                        mask = None
+                if mask is None:
+                    mask = ask(a, b, bound)
+                rows, cols = _set_pairs(mask)
+                cols = cols + a
+                near = [found]
+                for s in range(0, len(rows), PAIRS):
+                    r, c = rows[s : s + PAIRS], cols[s : s + PAIRS]
+                    d = row_by_row(asking[r], points[c], order)
+                    keep = d <= bound[r]
+                    near.append((r[keep], c[keep], d[keep]))
+                found = [np.concatenate(x) for x in zip(*near)]
+                if len(found[0]) > 4 * n * take + PAIRS:
+                    *found, last = _first_of_rows(*found, take, n)
+                    bound = np.minimum(bound, last)
+            *found, last = _first_of_rows(*found, take, n)
+            bound = np.minimum(bound, last)
+            at = end
+        rows, cols, distance = found
+        yield rows + start, cols, distance
+
+
 def closest(rows, pivots, order):
     """Nearest pivot of every row, and the distance to it."""
     at, reach = np.empty(len(rows), dtype=np.int64), np.empty(len(rows))

@@ -60,6 +60,8 @@ BROADCAST_BLOCKS = 1_000_000
 WIDE = 24
 # Points that show the leading axes.
 AXES_SAMPLE = 4096
+# Least rows in a share of those that ask a group of blocks.
+SHARE_ROWS = 2048
 
 
 @dataclass(frozen=True)
@@ -434,14 +436,14 @@ def _cell_table(index: PointIndex):
         )
         n_cells = len(cells.pivots)
         parts = np.ones(n_cells, dtype=np.int64)
-        weight = np.zeros(n_cells)
+        weight, size = np.zeros(n_cells), np.zeros(n_cells, dtype=np.int64)
         # A cell without points can not be reached.
         low, high = np.full(n_cells, np.inf), np.full(n_cells, -np.inf)
         crowded = np.zeros(n_cells, dtype=bool)
         for r in found:
             c = r["cell"]
             parts[c] = math.ceil(r["n"] / index.rows_per_block)
-            weight[c], low[c], high[c] = r["w"], r["low"], r["high"]
+            size[c], weight[c], low[c], high[c] = r["n"], r["w"], r["low"], r["high"]
             crowded[c] = r["n"] > 2 * index.cell_points
         # Fewer pivots than the points ask for: crowded cells get pivots of their own.
         fan = _most_pivots(index)
@@ -470,6 +472,7 @@ def _cell_table(index: PointIndex):
             first=first,
             parts=parts,
             weight=weight,
+            size=size,
             low=low,
             high=high,
             blocks=blocks,
@@ -572,6 +575,8 @@ def _ask_codes(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool)
     if table["blocks"] == 1:
         return first
     first = materialize(first, "first")
+    if table["tree"] is None:
+        return _merged(first, _ask_groups(home, first, index, k, exclude_self), k)
     bounds = home.join(first, "qid", "left").select("qid", "full", _bound(k).alias("bound"))
     visits = _code_visits(home, first, index, k, exclude_self)
     visits = visits.join(bounds, "qid").select("qid", F.col("full").alias("f"), "bound", "block")
@@ -579,6 +584,75 @@ def _ask_codes(asking: DataFrame, index: PointIndex, k: int, exclude_self: bool)
     return _merged(first, more, k)
 
 
+def _stretch(table: dict, axes: Axes):
+    """Turns distances of codes into bounds; no rest is longer than the longest."""
+    longest = table["placed"].agg(F.max(F.element_at("f", -1)).alias("r")).first()["r"]
+
+    def stretch(matrix: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        return axes.code_bound(axes.most(upper, matrix[:, -1:], longest))
+
+    return stretch
+
+
+def _groups(table: dict, rows_per_group: int) -> np.ndarray:
+    """The group of every block: blocks of cells that lie near each other, about ``rows_per_group`` points."""
+    order = np.concatenate(table["cells"].members)
+    parts = table["parts"][order]
+    start = np.cumsum(parts) - parts
+    block = np.repeat(table["first"][:-1][order] - start, parts) + np.arange(parts.sum())
+    size = np.repeat(np.ceil(table["size"][order] / parts), parts)
+    group = np.empty(len(block), dtype=np.int64)
+    group[block] = np.unique((np.cumsum(size) - size) // rows_per_group, return_inverse=True)[1]
+    return group
+
+
+def _ask_groups(home: DataFrame, first: DataFrame, index: PointIndex, k: int, exclude_self: bool) -> DataFrame:
+    """Neighbours outside the home block, closer than those found there.
+
+    A row visits groups of blocks, so it moves once for some ten thousand points and not once
+    for every small cell. In a group codes are compared first, whole vectors where that shows
+    that a point may be closer.
+    """
+    codes, axes = _code_index(index)
+    table = _cell_table(codes)
+    group = _groups(table, codes.rows_per_block)
+    n_groups = int(group.max()) + 1
+    known = home.select("qid", "f", "full", "reach", "block").join(first, "qid", "left").select(
+        "qid", "f", "full", "reach", _bound(k).alias("limit"), axes.code_bound(_bound(k)).alias("bound"),
+        F.col("block").alias("home"),
+    )
+    visits = _reachable(known, codes, k + int(exclude_self), _stretch(table, axes), group).drop("bound")
+    spark = home.sparkSession
+    # Every share of the rows that ask a group gets a copy of its points: few shares beyond what keeps cores busy.
+    busy = math.ceil(index.n_points * n_groups / (2 * spark.sparkContext.defaultParallelism))
+    share_rows = min(codes.rows_per_block, max(SHARE_ROWS, busy))
+    rows, shares = _with_shares(visits, table, share_rows)
+    numbers = spark.createDataFrame([(b, int(g)) for b, g in enumerate(group)], "home long, block long")
+    points = table["placed"].withColumnRenamed("block", "home").join(F.broadcast(numbers), "home")
+    tasks = max(n_groups * math.ceil(index.n_points / share_rows), spark.sparkContext.defaultParallelism)
+    left = rows.select("block", "share", "qid", "f", "full", "limit", "home").repartition(tasks, "block", "share")
+    right = _copies(points.select("block", "pid", "f", "full", "w", "home"), shares).repartition(tasks, "block", "share")
+    width, code_width, order, factor = index.width, axes.width, index.order, axes.factors[0]
+    qid_type = home.schema["qid"].dataType.simpleString()
+
+    def ask(rows: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.take(pc.sort_indices(block, sort_keys=[("pid", "ascending")]))
+        r, c, d = nearest(
+            to_matrix(rows["full"], width), to_matrix(block["full"], width), block["w"].to_numpy().astype(np.int64),
+            k, order, limit=rows["limit"].to_numpy(),
+            codes=(to_matrix(rows["f"], code_width), to_matrix(block["f"], code_width), factor),
+            apart=(rows["home"].to_numpy(), block["home"].to_numpy()),
+        )
+        lists = _neighbour_lists(r, c, d, rows.num_rows, block["pid"].combine_chunks())
+        return pa.table({"qid": rows["qid"].combine_chunks(), "neighbours": lists})
+
+    return (
+        left.groupBy("block", "share")
+        .cogroup(right.groupBy("block", "share"))
+        .applyInArrow(ask, f"qid {qid_type}, neighbours {neighbour_type(index)}")
+    )
+
+
 def _code_visits(home: DataFrame, first: DataFrame, index: PointIndex, k: int, exclude_self: bool) -> DataFrame:
     """(qid, block): where a code shows that a point may be closer than the neighbours found at home.
 
@@ -589,13 +663,7 @@ def _code_visits(home: DataFrame, first: DataFrame, index: PointIndex, k: int, e
     known = home.select("qid", "f", "reach", "block").join(first, "qid", "left").select(
         "qid", "f", "reach", (axes.code_bound(_bound(k))).alias("bound"), F.col("block").alias("home")
     )
-    # Cells know how far their codes lie, and no rest is longer than the longest.
-    longest = table["placed"].agg(F.max(F.element_at("f", -1)).alias("r")).first()["r"]
-
-    def stretch(matrix: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        return axes.code_bound(axes.most(upper, matrix[:, -1:], longest))
-
-    visits = _reachable(known, codes, k + int(exclude_self), stretch)
+    visits = _reachable(known, codes, k + int(exclude_self), _stretch(table, axes))
     tasks = _block_tasks(table, visits)
     left = _with_shares(visits, table, codes.rows_per_block)
     right = _copies(table["placed"].select("block", "f"), left[1])
@@ -622,12 +690,13 @@ def _code_visits(home: DataFrame, first: DataFrame, index: PointIndex, k: int, e
     return materialize(kept, "survivors")
 
 
-def _reachable(known: DataFrame, index: PointIndex, need: int, stretch=None) -> DataFrame:
+def _reachable(known: DataFrame, index: PointIndex, need: int, stretch=None, group: np.ndarray | None = None) -> DataFrame:
     """(qid, f, bound, block): blocks other than the home block that can hold a point within the bound.
 
     A row without a bound gets one from the cells: so far at most lie enough points.
     ``stretch`` turns such a distance into a bound, if the cells are not of the vectors
-    themselves.
+    themselves. With ``group``, the number of a group for every block, a row gets each group
+    of such blocks once as its ``block``, and keeps its other columns.
     """
     table = index.cells
     cells: _Cells = table["cells"]
@@ -641,72 +710,75 @@ def _reachable(known: DataFrame, index: PointIndex, need: int, stretch=None) ->
             for c, m in enumerate(cells.members)
         ]
     )
-    qid_type = known.schema["qid"].dataType.simpleString()
+    kept = [c for c in known.columns if c != "reach"]
+    fields = ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in kept)
+    # Rows looked at once: each may reach all cells.
+    rows_at_once = max(1, MATRIX_CELLS // len(cells.pivots))
 
     def bound_from_cells(matrix: np.ndarray) -> np.ndarray:
         """A distance within which enough points must lie, from the cells alone."""
-        out = np.empty(len(matrix))
-        step = max(1, MATRIX_CELLS // len(cells.pivots))
-        for s in range(0, len(matrix), step):
-            upper = pairwise(matrix[s : s + step], cells.pivots, order) + high
-            if stretch is not None:
-                upper = np.where(weight > 0, stretch(matrix[s : s + step], np.maximum(upper, 0.0)), -np.inf)
-            by = np.argsort(upper, axis=1)
-            enough = np.cumsum(weight[by], axis=1) >= need
-            at = np.argmax(enough, axis=1)
-            rows = np.arange(len(upper))
-            out[s : s + step] = np.where(enough[rows, at], upper[rows, by[rows, at]], np.inf)
-        return out
+        upper = pairwise(matrix, cells.pivots, order) + high
+        if stretch is not None:
+            upper = np.where(weight > 0, stretch(matrix, np.maximum(upper, 0.0)), -np.inf)
+        by = np.argsort(upper, axis=1)
+        enough = np.cumsum(weight[by], axis=1) >= need
+        at = np.argmax(enough, axis=1)
+        rows = np.arange(len(upper))
+        return np.where(enough[rows, at], upper[rows, by[rows, at]], np.inf)
+
+    def blocks_of(matrix: np.ndarray, own: np.ndarray, home: np.ndarray, bound: np.ndarray):
+        """Row and block of all visits, by row; fills in the bounds that are missing."""
+        open_rows = np.flatnonzero(np.isinf(bound))
+        if len(open_rows):
+            bound[open_rows] = bound_from_cells(matrix[open_rows])
+        loose = bound * (1 + BOUND_SLACK)
+        rows, blocks = [], []
+        top = pairwise(matrix, cells.coarse, order)
+        for c, members in enumerate(cells.members):
+            span = coarse_high[c]
+            at = np.flatnonzero(top[:, c] - span <= loose + BOUND_SLACK * (top[:, c] + abs(span)))
+            if not len(at):
+                continue
+            d = pairwise(matrix[at], cells.pivots[members], order)
+            q, m = np.nonzero(within_reach(d, own[at], low[members], high[members], bound[at]))
+            cell = members[m]
+            copies = np.where(split[cell], 1, parts[cell])
+            q, cell = np.repeat(q, copies), np.repeat(cell, copies)
+            within = np.arange(len(cell)) - np.repeat(np.cumsum(copies) - copies, copies)
+            rows.append(at[q])
+            blocks.append(np.where(split[cell], -(cell + 1), first[cell] + within))
+        row = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        block = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int64)
+        away = block != home[row]
+        row, block = row[away], block[away]
+        if group is not None:
+            some = np.zeros((len(matrix), int(group.max()) + 1), dtype=bool)
+            some[row, group[block]] = True
+            return np.nonzero(some)
+        by = np.argsort(row, kind="stable")
+        return row[by], block[by]
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            matrix = to_matrix(batch.column("f"), width)
-            bound = batch.column("bound").to_numpy(zero_copy_only=False).copy()
-            home = batch.column("home").to_numpy(zero_copy_only=False)
-            own = batch.column("reach").to_numpy(zero_copy_only=False)
-            open_rows = np.flatnonzero(np.isinf(bound))
-            if len(open_rows):
-                bound[open_rows] = bound_from_cells(matrix[open_rows])
-            loose = bound * (1 + BOUND_SLACK)
-            rows, blocks = [], []
-            top = pairwise(matrix, cells.coarse, order)
-            for c, members in enumerate(cells.members):
-                span = coarse_high[c]
-                at = np.flatnonzero(top[:, c] - span <= loose + BOUND_SLACK * (top[:, c] + abs(span)))
-                if not len(at):
-                    continue
-                d = pairwise(matrix[at], cells.pivots[members], order)
-                q, m = np.nonzero(
-                    within_reach(d, own[at], low[members], high[members], bound[at])
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(start, rows_at_once)
+                matrix = to_matrix(batch.column("f"), width)
+                bound = batch.column("bound").to_numpy(zero_copy_only=False).copy()
+                home = batch.column("home").to_numpy(zero_copy_only=False)
+                own = batch.column("reach").to_numpy(zero_copy_only=False)
+                row, block = blocks_of(matrix, own, home, bound)
+                counts = np.bincount(row, minlength=len(matrix))
+                offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(offsets, pa.int32()), pa.array(block.astype(np.int64))
                 )
-                cell = members[m]
-                copies = np.where(split[cell], 1, parts[cell])
-                q, cell = np.repeat(q, copies), np.repeat(cell, copies)
-                within = np.arange(len(cell)) - np.repeat(np.cumsum(copies) - copies, copies)
-                rows.append(at[q])
-                blocks.append(np.where(split[cell], -(cell + 1), first[cell] + within))
-            row = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-            block = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int64)
-            away = block != home[row]
-            row, block = row[away], block[away]
-            by = np.argsort(row, kind="stable")
-            counts = np.bincount(row, minlength=len(matrix))
-            offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(block[by].astype(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("qid"), batch.column("f"), pa.array(bound), batch.column("home"), lists],
-                names=["qid", "f", "bound", "home", "blocks"],
-            )
+                values = [pa.array(bound) if c == "bound" else batch.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*values, lists], names=[*kept, "blocks"])
 
-    found = known.mapInArrow(
-        reach, f"qid {qid_type}, f array<double>, bound double, home long, blocks array<long>"
-    )
-    found = materialize(found, "asking-more")
-    visits = found.select("qid", "f", "bound", "home", F.explode("blocks").alias("block"))
+    found = materialize(known.mapInArrow(reach, f"{fields}, blocks array<long>"), "asking-more")
+    visits = found.select(*kept, F.explode("blocks").alias("block"))
+    if group is not None:
+        return visits
     if tree is None:
         return visits.drop("home")
     # Nodes of the tree were given as negative numbers.

@@ -8,6 +8,7 @@ from conftest import table
 from pyspark.sql import functions as F
 from test_neighbours import ORDERS, brute, crowded, lists
 
+from strayrow.functions import distance
 from strayrow.functions.distance import pairwise
 from strayrow.operators import ball_tree, leading_axes
 from strayrow.operators import neighbours as nn
@@ -148,3 +149,36 @@ def test_codes_and_tree_together(spark, monkeypatch):
     assert np.allclose(lists(own), brute(x, x, 2.0, 6, True), atol=1e-9)
     other = nn.neighbours(table(spark, new), "id", index, 6, "axes")
     assert np.allclose(lists(other), brute(new, x, 2.0, 6), atol=1e-9)
+
+
+def test_rows_move_once_for_a_group_of_cells(spark, monkeypatch):
+    # nothing can be excluded here; with 100 cells a row was sent to each of them
+    x = np.random.default_rng(8).standard_normal((400, 26))
+    kept = {}
+    store = nn.materialize
+    monkeypatch.setattr(nn, "materialize", lambda df, label: kept.setdefault(label, store(df, label)))
+    index = nn.build_index(table(spark, x), names(26), "id", cell_points=4)
+    own = nn.per_row(table(spark, x), "id", index, nn.self_neighbours(index, 5, "axes"))
+    assert np.allclose(lists(own), brute(x, x, 2.0, 5, True))
+    assert kept["asking-more"].agg(F.max(F.size("blocks"))).first()[0] == 1
+
+
+@pytest.mark.parametrize("order", [1.0, 2.0, 2.5, 3.0, float("inf")])
+def test_screened_search_is_the_plain_one(order, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, copies = rng.standard_normal((2600, 24)), rng.integers(1, 4, 2600)
+    x[100:200], x[300:500] = x[0], np.round(x[300:500])
+    measured = []
+    exact = distance.row_by_row
+    monkeypatch.setattr(distance, "row_by_row", lambda a, b, order: measured.append(len(a)) or exact(a, b, order))
+    cases = [(x, np.inf), (x + 1e6, np.inf), (x * 1e-8 + 5, np.inf), (x * 1e20, np.inf), (np.round(x), 4.0)]
+    for y, limit in cases:
+        asked = (y[:300], y, copies, 7, order, True, np.full(300, limit))
+        measured.clear()
+        found = distance.nearest(*asked)
+        if y is x:  # few pairs of the 780,000 are measured in full
+            assert 0 < sum(measured) < 100_000
+        with monkeypatch.context() as m:
+            m.setattr(distance, "CELL_SEARCH_POINTS", 10**9)
+            plain = distance.nearest(*asked)
+        assert all(np.array_equal(a, b) for a, b in zip(found, plain))
