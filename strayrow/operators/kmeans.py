@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from strayrow.functions import columns as fc
 from strayrow.functions.arrow import row_function
-from strayrow.functions.distance import MATRIX_CELLS
 from strayrow.operators.base import RowModel, ThresholdRule
 from strayrow.operators.frame import fit_rows
 from strayrow.operators.stats import collect_stats
@@ -30,6 +29,8 @@ TOLERANCE = 1e-4
 # Distinct rows that starts are drawn from, and rows of a work unit: a unit's sums hold all centroids.
 START_ROWS = 4096
 LLOYD_ROWS = 4096
+# Distances of rows to the centroids of one fit held at a time.
+STEP_CELLS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -145,22 +146,24 @@ def lloyd(units: Units, fits: Sequence[Fit], max_iter: int = MAX_ITER, tol: floa
         # About the middle of the centroids the product form loses few digits.
         middle = centroids.mean(axis=0)
         about = centroids - middle
-        square = (about * about).sum(axis=1)
-        step = max(1, MATRIX_CELLS // len(centroids))
+        table = np.vstack([-2.0 * about.T, (about * about).sum(axis=1)])
 
         def add_up(matrix: np.ndarray, copies: np.ndarray, _) -> np.ndarray:
             total = np.zeros((len(centroids), width + 1))
             inertia = np.zeros(len(first) - 1)
-            for start in range(0, len(matrix), step):
-                x, w = matrix[start : start + step], copies[start : start + step]
-                near = square - 2.0 * ((x - middle) @ about.T)
-                at = np.arange(len(x))
-                mine = np.zeros((len(centroids), len(x)))
-                for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                    best = a + near[:, a:b].argmin(axis=1)
-                    mine[best, at] = w
-                    inertia[i] += (w * ((x - centroids[best]) ** 2).sum(axis=1)).sum()
-                total += mine @ np.column_stack([np.ones(len(x)), x])
+            moved = np.column_stack([matrix - middle, np.ones(len(matrix))])
+            sums = [copies, *(copies * matrix[:, j] for j in range(width))]
+            best = np.empty(len(matrix), dtype=np.int64)
+            for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                mine = np.ascontiguousarray(table[:, a:b])
+                # few rows at once, whose distances stay in the cache
+                step = max(1, STEP_CELLS // (b - a))
+                for start in range(0, len(matrix), step):
+                    part = slice(start, start + step)
+                    best[part] = (moved[part] @ mine).argmin(axis=1)
+                for j, values in enumerate(sums):
+                    total[a:b, j] = np.bincount(best, values, b - a)
+                inertia[i] = (copies * ((matrix - centroids[a + best]) ** 2).sum(axis=1)).sum()
             return np.concatenate([total.ravel(), inertia])
 
         found = units.add_up(add_up, len(centroids) * (width + 1) + len(moving))

@@ -155,3 +155,14 @@ def test_copies_weigh_as_repeated_rows():
         one, many = n.gradient(w, x, None, copies), n.gradient(w, np.repeat(x, copies.astype(int), axis=0))
         assert one[0] == pytest.approx(many[0]) and np.allclose(one[1], many[1])
         assert n.loss_of(w, x, copies) == pytest.approx(n.loss_of(w, np.repeat(x, copies.astype(int), axis=0)))
+
+
+def test_elbow_step_holds_few_distances(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((300, 3))
+    whole = kmeans.fit_every_k(table(spark, x), ["f0", "f1", "f2"], range(1, 7))
+    monkeypatch.setattr(kmeans, "STEP_CELLS", 16)
+    parts = kmeans.fit_every_k(table(spark, x), ["f0", "f1", "f2"], range(1, 7))
+    for k, fit in whole.items():
+        near = ((x[:, None] - fit.centroids) ** 2).sum(axis=2).argmin(axis=1)
+        assert np.array_equal(np.bincount(near, minlength=k), fit.counts)
+        assert np.allclose(parts[k].centroids, fit.centroids) and np.isclose(parts[k].inertia, fit.inertia)
