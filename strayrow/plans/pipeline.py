@@ -257,11 +257,15 @@ class FittedPipeline:
             by_join = [pair for pair in by_join if pair not in group]
             ahead = [*done, *(self.features if by_join else ())]
             most = max(m.n_neighbors for _, m in group)
-            out = nn.neighbours(out, self.ids, first.index, most, first.method, carry=ahead)
+
             # The factor gathers the edges of a row again, so it comes last.
-            for key, model in sorted(group, key=lambda pair: pair[0] == LOF):
-                out = model.add_score(out, self.ids, f"{key}_score")
-                done.append(f"{key}_score")
+            def finish(found: DataFrame, keys: Sequence[str], group=group) -> DataFrame:
+                for key, model in sorted(group, key=lambda pair: pair[0] == LOF):
+                    found = model.add_score(found, keys, f"{key}_score")
+                return found.drop("neighbours")
+
+            out = nn.neighbours(out, self.ids, first.index, most, first.method, carry=ahead, finish=finish)
+            done += [f"{k}_score" for k, _ in group]
         out = with_missing(out.select(*ids, *done), missing)
         return out.select(
             *ids,

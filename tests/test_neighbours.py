@@ -216,3 +216,33 @@ def test_rows_that_share_an_id_keep_their_own_factor(spark):
     got = sorted(r["score"] for r in model.flag(new, "id").collect())
     assert np.allclose(got, sorted(by_id(model.flag(alone, "id"), "score")), rtol=1e-12)
     assert [r["id"] for r in model.flag(new, "id").orderBy("id").collect()] == [7, 7, 7, 8]
+
+
+def test_a_large_block_is_not_compared_whole(monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((16_384, 4))
+    x[:4000] = np.round(x[:4000], 1)
+    x = np.unique(x, axis=0)
+    asked = rng.permutation(len(x))[:4000]
+    compared = []
+    exact = distance.pairwise
+    monkeypatch.setattr(distance, "pairwise", lambda a, b, order: compared.append(len(a) * len(b)) or exact(a, b, order))
+    rows, cols, d = distance.nearest(x[asked], x, np.ones(len(x), dtype=np.int64), 20, 2.0, True)
+    assert sum(compared) < 8000 * len(asked)
+    some = np.arange(0, len(asked), 40)
+    assert np.allclose(d.reshape(-1, 20)[some], brute(x[asked[some]], x, 2.0, 21)[:, 1:], atol=1e-12)
+
+
+def test_copies_of_a_row_are_scored_once(spark, monkeypatch):
+    x = np.random.default_rng(22).standard_normal((60, 2))
+    df = table(spark, np.repeat(x, 10, axis=0))
+    model = lof.fit_lof(df, ["f0", "f1"], "id", 20, method="pivot")
+    given = []
+    score = lof.LocalOutlierFactor.add_score
+    monkeypatch.setattr(
+        lof.LocalOutlierFactor, "add_score", lambda self, found, *names: given.append(found.count()) or score(self, found, *names)
+    )
+    scores = by_id(model.score(df, "id"), "score").reshape(60, 10)
+    assert given == [60]
+    everywhere = by_id(lof.fit_lof(df, ["f0", "f1"], "id", 20).score(df, "id"), "score").reshape(60, 10)
+    assert np.allclose(scores, everywhere)
