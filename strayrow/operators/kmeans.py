@@ -21,6 +21,7 @@ from strayrow.operators.stats import collect_stats
 from strayrow.operators.svm import hashed_rows
 from strayrow.operators.threshold import contamination_threshold
 from strayrow.operators.units import Units, deal
+from strayrow.session import SMALL_ROWS, spread
 
 MAX_EXPRESSION_TERMS = 256
 MAX_ITER = 300
@@ -304,7 +305,11 @@ def fit_kmeans(
     n_init: int = 1,
     on_null: str = "error",
 ) -> KMeansModel:
-    rows = fit_rows(df, [], features, on_null).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = fit_rows(df, [], features, on_null)
+    n = rows.count()
+    if n > SMALL_ROWS:
+        rows = spread(rows, n)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = fit_centroids(rows, features, n_clusters, max_cluster_elbow, seed, max_iter, n_init)
         scores = rows.select(

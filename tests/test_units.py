@@ -166,3 +166,26 @@ def test_elbow_step_holds_few_distances(spark, monkeypatch):
         near = ((x[:, None] - fit.centroids) ** 2).sum(axis=2).argmin(axis=1)
         assert np.array_equal(np.bincount(near, minlength=k), fit.counts)
         assert np.allclose(parts[k].centroids, fit.centroids) and np.isclose(parts[k].inertia, fit.inertia)
+
+
+def test_few_files_are_cut_into_bounded_partitions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strayrow import session
+    from strayrow.operators import kmeans
+
+    monkeypatch.setattr(session, "SMALL_ROWS", 1000)
+    monkeypatch.setattr(session, "PARTITION_ROWS", 500)
+    monkeypatch.setattr(kmeans, "SMALL_ROWS", 1000)
+    rows = spark.range(10_000, numPartitions=1).select("id", (F.col("id") % 7).cast("double").alias("f0"))
+    assert session.spread(rows, 10_000).rdd.getNumPartitions() == 20
+    sizes = []
+    fit = kmeans.fit_centroids
+
+    def seen(df, *more):
+        sizes.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        return fit(df, *more)
+
+    monkeypatch.setattr(kmeans, "fit_centroids", seen)
+    kmeans.fit_kmeans(rows, ["f0"], 2)
+    assert sum(sizes) == 10_000 and max(sizes) <= 600
