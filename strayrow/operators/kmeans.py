@@ -305,12 +305,11 @@ def fit_kmeans(
     n_init: int = 1,
     on_null: str = "error",
 ) -> KMeansModel:
-    rows = fit_rows(df, [], features, on_null)
-    n = rows.count()
-    if n > SMALL_ROWS:
-        rows = spread(rows, n)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = source = fit_rows(df, [], features, on_null).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        n = source.count()
+        if n > SMALL_ROWS:
+            rows = spread(source, n).persist(StorageLevel.MEMORY_AND_DISK)
         model = fit_centroids(rows, features, n_clusters, max_cluster_elbow, seed, max_iter, n_init)
         scores = rows.select(
             model.score_column([F.col(f"`{f}`") for f in features]).alias("score")
@@ -318,4 +317,5 @@ def fit_kmeans(
         cut = contamination_threshold(scores, "score", contamination)
     finally:
         rows.unpersist()
+        source.unpersist()
     return replace(model, threshold=cut)
