@@ -170,30 +170,46 @@ def places_of(model: LogBilinear) -> list[np.ndarray]:
     return [model.context, model.target, model.bias, model.one, model.two]
 
 
+def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``np.add.at`` by rows, those of one place added up first."""
+    order = np.argsort(at.astype(np.int16), kind="stable")  # classes fit 16 bits, which are sorted by radix
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    total[at[first]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+
+
 def contrast(model: LogBilinear, squares: list[np.ndarray], share: np.ndarray, one: np.ndarray, two: np.ndarray, c: np.ndarray, rate: float, rng: np.random.Generator) -> None:
-    """One noise-contrastive, Adam-like step on the rows that the batch touches."""
-    batch, log_noise = len(c), np.log(share * NOISE)
+    """One noise-contrastive, Adam-like step on the rows that the batch touches, in single precision."""
+    batch = len(c)
+    level = model.bias - np.log(share * NOISE).astype(np.float32)
     noise = np.minimum(np.searchsorted(np.cumsum(share), rng.random(NOISE * 8)), CLASSES - 1)  # shared by the batch
-    r1, r2, q_t = model.context[one], model.context[two], model.target[c]
-    q = r1 @ model.one + r2 @ model.two
-    s_true = np.einsum("ij,ij->i", q, q_t) + model.bias[c] - log_noise[c]
-    s_noise = q @ model.target[noise].T + model.bias[noise] - log_noise[noise]
-    g_true = (1 / (1 + np.exp(-s_true)) - 1).astype(np.float32) / batch
-    g_noise = (1 / (1 + np.exp(-s_noise))).astype(np.float32) / (batch * 8)
-    g_q = g_true[:, None] * q_t + g_noise @ model.target[noise]
+    r1, r2, q_t, noise_t = model.context.take(one, axis=0), model.context.take(two, axis=0), model.target.take(c, axis=0), model.target.take(noise, axis=0)
+    q = r1 @ model.one
+    q += r2 @ model.two
+    g_true = (1 / (1 + np.exp(-np.einsum("ij,ij->i", q, q_t) - level[c])) - 1) / np.float32(batch)
+    # 1 / (1 + exp(-s)) in place: this array is the largest
+    g_noise = q @ -noise_t.T
+    g_noise -= level[noise]
+    np.minimum(g_noise, 80, out=g_noise)
+    np.exp(g_noise, out=g_noise)
+    g_noise += 1
+    np.divide(np.float32(1 / (batch * 8)), g_noise, out=g_noise)
+    g_q = g_noise @ noise_t
+    g_q += g_true[:, None] * q_t
     places = places_of(model)
     grads = [np.zeros_like(p) for p in places]
-    np.add.at(grads[0], one, g_q @ model.one.T)
-    np.add.at(grads[0], two, g_q @ model.two.T)
-    np.add.at(grads[1], c, g_true[:, None] * q)
-    np.add.at(grads[1], noise, g_noise.T @ q)
+    add_rows(grads[0], one, g_q @ model.one.T)
+    add_rows(grads[0], two, g_q @ model.two.T)
+    add_rows(grads[1], c, g_true[:, None] * q)
+    add_rows(grads[1], noise, g_noise.T @ q)
     np.add.at(grads[2], c, g_true)
     np.add.at(grads[2], noise, g_noise.sum(axis=0))
     grads[3], grads[4] = r1.T @ g_q, r2.T @ g_q
     for p, g, s in zip(places, grads, squares, strict=True):
+        g *= np.float32(BATCH / 64)
         s *= 0.99
-        s += 0.01 * (g * BATCH / 64) ** 2
-        p -= rate * (g * BATCH / 64) / (np.sqrt(s) + 1e-6)
+        s += np.float32(0.01) * (g * g)
+        p -= np.float32(rate) * g / (np.sqrt(s) + np.float32(1e-6))
 
 
 def fresh_squares(model: LogBilinear) -> list[np.ndarray]:

@@ -24,3 +24,18 @@ def test_shares_count_all_tokens():
     share = lbl.class_share(counts)
     assert abs(share.sum() - 1) < 1e-12
     assert np.allclose(share[[0, lbl.FREQUENT, lbl.END]] * (10 + 0.5 * lbl.CLASSES) - 0.5, [5, 3, 2])
+
+
+def test_rows_of_one_place_are_added_up():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 3000):
+        at, rows = rng.integers(0, 40, n), rng.normal(size=(n, 5)).astype(np.float32)
+        got, expected = np.ones((64, 5), np.float32), np.ones((64, 5))
+        lbl.add_rows(got, at, rows)
+        np.add.at(expected, at, rows)
+        assert np.allclose(got, expected, atol=1e-4)
+    # all work on the batch's largest array is in single precision
+    share = lbl.smoothed(np.ones(lbl.CLASSES))
+    model = lbl.start(share)
+    lbl.contrast(model, lbl.fresh_squares(model), share, *rng.integers(0, lbl.CLASSES, (3, 64)), 0.01, rng)
+    assert all(p.dtype == np.float32 and np.isfinite(p).all() for p in lbl.places_of(model))
