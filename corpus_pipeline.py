@@ -44,12 +44,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     rows = with_rows(docs, "jaccard")
-    found = jaccard.jaccard_components(rows, 5, 80, id_col="_row").select("_row", "component_id")
-    nameless = F.col("doc_id").isNull()
-    least = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id", nameless).agg(F.min(F.struct("doc_id", "_row")).alias("l"))
-    kept = rows.join(least.select("l._row"), "_row", "left_semi").select(*COLUMNS)
-    # texts without words are no copies of each other, but the same row may occur twice; one stays
-    return kept.where(~nameless).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(nameless))
+    found = jaccard.jaccard_components(rows, 5, 80, id_col="_row")
+    found = found.join(rows.select("_row", F.col("doc_id").alias("id")), "_row")
+    least = found.groupBy("component_id", F.col("id").isNull().alias("nameless")).agg(F.min(F.struct("id", "_row")).alias("l"), F.max("n_shingles").alias("n"))
+    least = materialize(least.select("l._row", "nameless", "n"), "jaccard-kept")
+    # texts without words are no copies of each other, but the same row may occur twice; one stays.
+    # Equal texts with words are linked, so only those without are compared here, and no other text is shuffled
+    bare = rows.where(F.col("text").isNull() | F.col("text").rlike(r"\A[\x09-\x0D\x20]*\z")).join(least.where("n = 0 AND NOT nameless"), "_row", "left_semi")
+    once = bare.groupBy("doc_id", "text").agg(F.min("_row").alias("_row"))
+    chosen = least.where("n > 0 OR nameless").select("_row").union(once.select("_row"))
+    return rows.join(chosen, "_row", "left_semi").select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

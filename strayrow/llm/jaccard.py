@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strayrow.llm.ranks import bit_table, bits_set
 from strayrow.llm.text import SPACED, Words, mix, runs, signed, slices
-from strayrow.session import materialize
+from strayrow.session import Scratch, materialize, scratch
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
 HELD = 2_500_000  # elements a task gathers before it counts them
@@ -149,7 +149,7 @@ def postings(classes: DataFrame, seen_twice: np.ndarray) -> DataFrame:
     return classes.select("cid", "n", "prefix").mapInArrow(explode, f"t long, cid {kind}, n long, pos long")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame, late: np.ndarray, percent: int, tables: Scratch) -> DataFrame:
     """The pairs whose prefixes leave it possible that the whole sets reach the threshold.
 
     Up to the smaller of the two last elements both sets are known in full, so the shared
@@ -164,7 +164,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, late: np.ndarray, percent: i
 
     kind = classes.schema["cid"].dataType.simpleString()
     few = classes.select("cid", "n", "prefix", F.xxhash64("cid").alias("k")).mapInArrow(wanted, f"cid {kind}, n long, prefix array<long>")
-    few = materialize(few, "jaccard-prefixes")
+    few = tables(few, "jaccard-prefixes")
     both = pairs.join(few.toDF("a", "nx", "px"), "a").join(few.toDF("b", "ny", "py"), "b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +186,13 @@ def plausible(pairs: DataFrame, classes: DataFrame, late: np.ndarray, percent: i
                 keep[i] = (100 + percent) * most >= percent * (n[0][i] + n[1][i])
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return materialize(both.select("a", "b", "nx", "ny", "px", "py").mapInArrow(bound, f"a {kind}, b {kind}"), "jaccard-plausible")
+    return tables(both.select("a", "b", "nx", "ny", "px", "py").mapInArrow(bound, f"a {kind}, b {kind}"), "jaccard-plausible")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, tables: Scratch) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = materialize(ids.join(classes.select("cid", "n", "d1", "d2"), "cid"), "jaccard-wanted")
+    wanted = tables(ids.join(classes.select("cid", "n", "d1", "d2"), "cid"), "jaccard-wanted")
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("cid").alias("k")), "k", ID_BITS))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("k"))
     got = texts.mapInArrow(fetch, f"id {kind}, d1 long, d2 long, whole binary")
     got = got.join(wanted.withColumnRenamed("cid", "id"), ["id", "d1", "d2"]).select(F.col("id").alias("cid"), "whole")
-    got = materialize(got, "jaccard-sets")
+    got = tables(got, "jaccard-sets")
     both = pairs.join(got.select(F.col("cid").alias("a"), F.col("whole").alias("x")), "a").join(
         got.select(F.col("cid").alias("b"), F.col("whole").alias("y")), "b")
 
@@ -258,10 +258,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     empty table gives no rows. Other columns are neither read nor returned.
     """
     late = bit_table(frequent(docs, text_col, n), "k", ORDER_BITS)
-    rows = materialize(prefixes(docs, id_col, text_col, n, percent, late), "jaccard-rows")
     key = ["n", "d1", "d2"]
-    classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.withColumn("front", F.xxhash64("prefix")), "jaccard-classes")
+    with scratch(docs.sparkSession) as tables:
+        rows = tables(prefixes(docs, id_col, text_col, n, percent, late), "jaccard-rows")
+        classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix"))
+        classes = materialize(classes.withColumn("front", F.xxhash64("prefix")), "jaccard-classes")
+        # only the classes keep prefixes
+        rows = materialize(rows.select("id", *key), "jaccard-rows")
     # the prefixes stay where they are: a group is known by its size and its prefix's hash
     groups = materialize(classes.groupBy("n", "front").agg(F.min("cid").alias("gid")), "jaccard-groups")
     members = classes.select("cid", "n", "front").join(groups, ["n", "front"]).select("cid", "gid")
@@ -277,7 +280,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     inner = members.where("cid != gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first_pairs = materialize(ordered(led.union(inner)), "jaccard-pairs")
-    links = materialize(verified(plausible(first_pairs, classes, late, percent), docs, classes, id_col, text_col, n, percent), "jaccard-links")
+    with scratch(docs.sparkSession) as tables:
+        links = verified(plausible(first_pairs, classes, late, percent, tables), docs, classes, id_col, text_col, n, percent, tables)
+        links = materialize(links, "jaccard-links")
     labels = components(links)
 
     known = posts.join(members, "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
@@ -288,10 +293,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rest = x.join(y, F.col("x.t") == F.col("y.t")).where("x.cid < y.cid AND x.comp != y.comp").where(
         possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    rest = plausible(materialize(rest, "jaccard-rest"), classes, late, percent)
-    if not rest.isEmpty():
-        more = verified(rest, docs, classes, id_col, text_col, n, percent)
-        links = materialize(links.union(more), "jaccard-links")
+    with scratch(docs.sparkSession) as tables:
+        rest = plausible(tables(rest, "jaccard-rest"), classes, late, percent, tables)
+        found_more = not rest.isEmpty()
+        if found_more:
+            links = materialize(links.union(verified(rest, docs, classes, id_col, text_col, n, percent, tables)), "jaccard-links")
+    if found_more:
         labels = components(links)
     found = classes.select(*key, "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     found = found.select(*key, F.coalesce("label", "cid").alias("component_id"))

@@ -91,3 +91,22 @@ def test_samples_hold_one_row_of_each_id(spark):
 
     df = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (None, None), (2, "d")], "id long, t string")
     assert sorted(one_per_key(df, "id", "t").collect(), key=str) == sorted([(1, "a"), (2, "d"), (None, None)], key=str)
+
+
+def test_join_stage_shuffles_no_texts_with_words_twice(spark):
+    """Copies without words are found among rows without words alone; every other row stays as before."""
+    from pathlib import Path
+
+    from strayrow.session import shared_dir
+
+    text = "some words that stand here only once and link with nothing else at all"
+    rows = [(1, text), (1, text), (None, text), (2, " \t"), (2, " \t"), (2, ""), (3, None), (3, None), (None, None), (None, None), (4, "\x0b"), (5, " "), (5, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    folder = Path(shared_dir(spark)) / "strayrow"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()]
+    expected = [(1, text), (None, text), (2, " \t"), (2, ""), (3, None), (None, None), (None, None), (4, "\x0b"), (5, " ")]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    # tables that served one check of pairs are gone
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert "jaccard-kept" in left and not left & {"jaccard-sets", "jaccard-prefixes", "jaccard-plausible", "jaccard-wanted", "jaccard-rest"}
