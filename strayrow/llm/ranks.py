@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strayrow.llm.text import find
+
 CHUNK = 400
 
 
@@ -79,3 +81,19 @@ def bits_set(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     bits = int(np.log2(len(table))) + 6
     place = keys >> np.uint64(64 - bits)
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def row_set(rows: DataFrame, row: str = "row") -> tuple[np.ndarray, np.ndarray]:
+    """A set of row numbers as sorted words of 64 bits: at most one for 64 rows of the partitions that gave the numbers."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(row).bitwiseAND(63).cast("int"))
+    words = rows.groupBy(F.shiftright(row, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow().sort_by("w")
+    return words["w"].to_numpy(), words["b"].to_numpy().view(np.uint64)
+
+
+def in_rows(known: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Whether each row number is in a :func:`row_set`."""
+    words, bits = known
+    at = find(words, rows >> 6)
+    found = at >= 0
+    found[found] = (bits[at[found]] >> (rows[found] & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found

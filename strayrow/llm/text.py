@@ -69,13 +69,14 @@ class Words:
 
     ``starts`` and ``ends`` are byte places in the batch. With ``prefixes``, ``heads``
     holds for each length the hash of the first bytes of every word (0: shorter word).
+    ``lower`` takes A-Z as a-z.
     """
 
-    def __init__(self, texts, kind: np.ndarray, prefixes: tuple[int, ...] = (), suffix: int = 0):
+    def __init__(self, texts, kind: np.ndarray, prefixes: tuple[int, ...] = (), suffix: int = 0, lower: bool = True):
         data, ends_of_texts = buffers(texts)
         pieces, heads, tails, starts, ends = [], [[] for _ in prefixes], [], [], []
         for a, b in segments(data, ends_of_texts, kind):
-            part = LOWER[data[a:b]]
+            part = LOWER[data[a:b]] if lower else data[a:b]
             inside = kind[part]
             cuts = ends_of_texts[np.searchsorted(ends_of_texts, a, "right") : np.searchsorted(ends_of_texts, b)] - a
             before = np.empty_like(inside)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from strayrow.llm import boilerplate
 
 NOTICE = "please read our terms before you copy any of this text"
@@ -50,3 +52,23 @@ def test_repeated_menus_of_short_blocks_go(spark):
     menu = "".join(f"<li>item{k}</li>" for k in range(12))
     pages = [f"<ul>{menu}</ul><p>{story(i)}</p><div>{NOTICE}</div><div>the end</div>" for i in range(4)]
     assert texts(spark, pages) == [story(i) for i in range(4)]
+
+
+def test_a_fingerprint_takes_less_than_two_bytes_and_a_half():
+    rng = np.random.default_rng(3)
+    prints = np.sort(rng.integers(0, 64 * 20_000_000, 300_000).astype(np.uint64))
+    packed = boilerplate.packed_numbers(prints)
+    assert len(packed) < 2.5 * len(prints)
+    for numbers in (prints, prints[:1], np.array([0, 0, 5, 5, 1 << 62], np.uint64)):
+        assert (boilerplate.unpacked_numbers(boilerplate.packed_numbers(numbers)) == numbers).all()
+
+
+def test_lots_are_cut_from_partitions_and_windows_that_only_share_bits_stay(spark, monkeypatch):
+    pages = [f"<p>{story(i)}</p><div>{NOTICE}</div>" if i % 20 == 0 else f"<p>{story(i)}</p>" for i in range(60)]
+    monkeypatch.setattr(boilerplate, "LOT", 60)
+    # so few values and bits that many windows look repeated
+    monkeypatch.setattr(boilerplate, "FINGERPRINTS", 1)
+    monkeypatch.setattr(boilerplate, "MOST_BITS", 6)
+    assert texts(spark, pages) == [story(i) for i in range(60)]
+    monkeypatch.setattr(boilerplate, "OTHERS", -1)
+    assert texts(spark, pages) == [story(i) for i in range(60)]
