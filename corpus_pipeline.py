@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.llm import contamination, jaccard, langid, packing, toxicity
-from strayrow.llm.queries import prepare, public_tokenizer, table
+from strayrow.llm.queries import BATCH_BYTES, prepare, public_tokenizer, table
 from strayrow.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.5
+JACCARD_BATCH = 1 << 20  # bytes of an Arrow batch there
 
 
 def only_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +44,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of those without an id one stays as well. Texts that share an id are told apart.
     """
     prepare(spark)
+    # this stage sorts and joins in a heap that the stages before it have filled: less beside it
+    spark.conf.set(BATCH_BYTES, str(JACCARD_BATCH))
     rows = with_rows(docs, "jaccard")
     found = jaccard.jaccard_components(rows, 5, 80, id_col="_row")
     found = found.join(rows.select("_row", F.col("doc_id").alias("id")), "_row")

@@ -87,10 +87,13 @@ def frequent(docs: DataFrame, text_col: str, n: int) -> DataFrame:
         held, known, total = [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            k, c = np.unique(np.concatenate(held), return_counts=True)
+            k = np.concatenate(held)
             held.clear()
             known.clear()
-            return pa.record_batch([pa.array(signed(k[c > 1])), pa.array(c[c > 1])], ["k", "n"])
+            k.sort()
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            c = np.diff(starts, append=len(k))
+            return pa.record_batch([pa.array(signed(k[starts[c > 1]])), pa.array(c[c > 1])], ["k", "n"])
 
         for batch in slices(batches, text_col):
             h, ends = sets(batch.column(text_col), n)
