@@ -19,8 +19,8 @@ def _sigmoid(z):
 
 
 def _softmax(z):
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
 def _negative(z):
@@ -154,15 +154,33 @@ class Network:
 
         ``copies`` counts how often every row occurs.
         """
+        loss, grad = self.gradients(flat[None], x[None], rng, None if copies is None else copies[None])
+        return float(loss[0]), grad[0]
+
+    def gradients(
+        self,
+        flats: np.ndarray,
+        x: np.ndarray,
+        rng: np.random.Generator | None = None,
+        copies: np.ndarray | None = None,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`gradient` of several networks at once: weights (networks, parameters), rows
+        (networks, rows, features) and copies (networks, rows). Rows with 0 copies are filling."""
         value, slope = ACTIVATIONS[self.activation]
-        layers = self.layers(flat)
-        c = np.ones((len(x), 1)) if copies is None else copies[:, None]
-        n = c.sum()
+        many, layers, at = len(flats), [], 0
+        for a, b in zip(self.sizes, self.sizes[1:]):
+            layers.append((flats[:, at : at + a * b].reshape(many, a, b), flats[:, None, at + a * b : at + (a + 1) * b]))
+            at += (a + 1) * b
+        c = np.ones((many, x.shape[1], 1)) if copies is None else copies[:, :, None]
+        n = c.sum(axis=1, keepdims=True)
+        n[n == 0] = 1.0
+        penalised = self.l1 != 0 or self.l2 != 0
         inputs, seen, penalty = [x], [], 0.0
         for w, b in layers[:-1]:
             z = inputs[-1] @ w + b
             a = value(z)
-            penalty += (self.l1 * (c * np.abs(a)).sum() + self.l2 * (c * a * a).sum()) / n
+            if penalised:
+                penalty = penalty + (c * (self.l1 * np.abs(a) + self.l2 * a * a)).sum(axis=(1, 2)) / n[:, 0, 0]
             mask = None
             h = a
             if rng is not None and self.dropout > 0:
@@ -172,26 +190,27 @@ class Network:
             inputs.append(h)
         w, b = layers[-1]
         diff = inputs[-1] @ w + b - x
-        size = n * x.shape[1]
+        size = n * x.shape[2]
         if self.loss == "mse":
-            loss, back = (c * diff * diff).sum() / size, 2.0 * c * diff / size
+            loss, back = (c * diff * diff).sum(axis=(1, 2)) / size[:, 0, 0], 2.0 * c * diff / size
         else:
-            loss, back = (c * np.abs(diff)).sum() / size, c * np.sign(diff) / size
-        parts = [back.sum(axis=0), np.ravel(inputs[-1].T @ back)]
-        back = back @ w.T
+            loss, back = (c * np.abs(diff)).sum(axis=(1, 2)) / size[:, 0, 0], c * np.sign(diff) / size
+        parts = [back.sum(axis=1), (inputs[-1].swapaxes(1, 2) @ back).reshape(many, -1)]
+        back = back @ w.swapaxes(1, 2)
         for (w, b), (z, a, mask), given in zip(
             reversed(layers[:-1]), reversed(seen), reversed(inputs[:-1])
         ):
             if mask is not None:
                 back = back * mask
-            back = back + c * (self.l1 * np.sign(a) + 2.0 * self.l2 * a) / n
+            if penalised:
+                back = back + c * (self.l1 * np.sign(a) + 2.0 * self.l2 * a) / n
             if slope is None:
-                back = a * (back - (back * a).sum(axis=1, keepdims=True))
+                back = a * (back - (back * a).sum(axis=2, keepdims=True))
             else:
                 back = back * slope(z, a)
-            parts += [back.sum(axis=0), np.ravel(given.T @ back)]
-            back = back @ w.T
-        return float(loss + penalty), np.concatenate(parts[::-1])
+            parts += [back.sum(axis=1), (given.swapaxes(1, 2) @ back).reshape(many, -1)]
+            back = back @ w.swapaxes(1, 2)
+        return loss + penalty, np.concatenate(parts[::-1], axis=1)
 
 
 EPS = 1e-7

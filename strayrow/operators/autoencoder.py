@@ -1,12 +1,14 @@
 """Autoencoder detector: rows the network reconstructs badly are flagged.
 
-Training is synchronous and data-parallel. A hash deals the rows to the batches of an
-epoch; for every batch all tasks add up the gradients of their rows at the same weights,
-and one step follows from the sum. There are no replicas, so the losses and weights are
-those that one machine would come to, whatever the number of tasks.
+Every row is in one batch of ``batch_size`` rows in every epoch, and every batch makes a step.
+A hash deals the rows to replicas of some ROUND_STEPS batches. In an epoch each replica takes
+the steps of its batches from the same weights, inside the task that holds its rows; then
+weights and the optimizer's memory are averaged by rows. The replicas follow from the number of
+rows alone, so the losses and weights are the same whatever the number of tasks. Up to
+ROUND_STEPS batches are one replica, that is plain descent batch by batch.
 
-An epoch has at most MAX_STEPS batches. Where that makes them larger than ``batch_size``,
-steps are longer by the square root of the ratio, up to MAX_STRETCH.
+Batches of over BIG_BATCH rows are shared out instead: all tasks add up the gradients of their rows
+at the same weights, and one step follows from the sum.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ from strayrow.operators.threshold import contamination_threshold
 from strayrow.operators.units import Units, deal
 
 HIDDEN = (32, 16, 16, 32)
-# Steps of an epoch, and how much longer than usual a step may be.
-MAX_STEPS = 4
-MAX_STRETCH = 8.0
-# Rows of a batch that make a work unit.
+# Steps that a replica takes between averages, unless its rows are too many.
+ROUND_STEPS = 256
+REPLICA_ROWS = 65_536
+# Replicas whose steps are computed together, where there are more units than this without it.
+LANES = 16
+LEAST_UNITS = 64
+# Rows of a batch that is shared out among tasks, and those of it that make a work unit.
+BIG_BATCH = 4096
 BATCH_UNIT_ROWS = 64
 
 
@@ -90,6 +96,60 @@ class Autoencoder(ThresholdRule, RowModel):
         )
 
 
+def _replicas(n: int, batch_size: int) -> tuple[int, int]:
+    """Number of work units for ``n`` rows, and replicas in each of them."""
+    rows = min(ROUND_STEPS * batch_size, REPLICA_ROWS)
+    replicas = math.ceil(n / rows)
+    lanes = max(1, min(LANES, replicas // LEAST_UNITS, REPLICA_ROWS // rows))
+    return math.ceil(replicas / lanes), lanes
+
+
+def _batches(copies: np.ndarray, batch_size: int, rng: np.random.Generator) -> np.ndarray:
+    """Places of the rows of every batch, in random order; -1 where a batch has fewer rows than others.
+
+    Copies of a row count as rows. A row has at most ``batch_size`` of them, and its batch is the one
+    where the first falls.
+    """
+    order = rng.permutation(len(copies))
+    before = np.cumsum(copies[order]) - copies[order]
+    batch = (before // batch_size).astype(np.int64)
+    sizes = np.bincount(batch)
+    within = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    places = np.full((len(sizes), sizes.max()), -1)
+    places[batch, within] = order
+    return places
+
+
+def _train(
+    x: np.ndarray, copies: np.ndarray, rng: np.random.Generator, network: Network, rule: Optimizer,
+    state: np.ndarray, batch_size: int, lanes: int,
+) -> np.ndarray:
+    """An epoch of the replicas of a unit: number of rows, sum of their losses, and sum of the states by rows.
+
+    A state holds the weights, the optimizer's memory and its two counters.
+    """
+    p = network.n_parameters
+    weights = np.repeat(state[None, :p], lanes, axis=0)
+    memory = np.repeat(state[p:-2].reshape(rule.slots, 1, p), lanes, axis=1)
+    counters = np.repeat(state[None, -2:], lanes, axis=0)
+    places = _batches(copies, batch_size, rng)
+    rows, lost = np.zeros(lanes), 0.0
+    for start in range(0, len(places), lanes):
+        # the last batches may be fewer than the replicas
+        at = places[start : start + lanes]
+        some = len(at)
+        w = np.where(at < 0, 0.0, copies[at])
+        loss, grad = network.gradients(weights[:some], x[at], rng, w)
+        of_batch = w.sum(axis=1)
+        rows[:some] += of_batch
+        lost += float(loss @ of_batch)
+        held, counted = memory[:, :some], counters[0].copy()
+        rule.step(weights[:some], grad, held, counted)
+        counters[:some] = counted
+    states = np.column_stack([weights, memory.swapaxes(0, 1).reshape(lanes, -1), counters])
+    return np.concatenate([[rows.sum(), lost], rows @ states])
+
+
 def _batch_gradient(
     units: Units, batch: int, network: Network, weights: np.ndarray, salt: tuple[int, ...]
 ) -> tuple[float, float, np.ndarray]:
@@ -180,14 +240,18 @@ def fit_network(
                 df.select(place.alias("o")), "o", validation_split, n
             )
             aside = place > cut
-    steps = max(1, min(MAX_STEPS, math.ceil(n / batch_size)))
-    stretch = min(MAX_STRETCH, math.sqrt(max(1.0, n / steps / batch_size)))
     cells = [F.col(f"`{f}`") for f in features]
     named = [F.col(f"`{c}`") for c in ids]
-    # Rows held out are one more part after the batches.
-    batch = F.pmod(F.xxhash64(*named, *cells, F.lit(seed), F.lit("batch")), F.lit(steps))
-    part = F.when(aside, F.lit(steps)).otherwise(batch)
-    units = deal(df, features, n, part, steps + 1, named, BATCH_UNIT_ROWS)
+    big = batch_size > BIG_BATCH
+    # Parts are the big batches, or all rows that are trained on; rows held out are one more part.
+    parts = math.ceil(n / batch_size) if big else 1
+    batch = F.pmod(F.xxhash64(*named, *cells, F.lit(seed), F.lit("batch")), F.lit(parts))
+    part = F.when(aside, F.lit(parts)).otherwise(batch)
+    if big:
+        units = deal(df, features, n, part, parts + 1, named, BATCH_UNIT_ROWS)
+    else:
+        count, lanes = _replicas(n, batch_size)
+        units = deal(df, features, n, part, 2, named, count=count, most=batch_size)
     network = Network(
         (len(features), *hidden, len(features)), activation, dropout_rate, loss_function, l1, l2
     )
@@ -199,20 +263,31 @@ def fit_network(
     try:
         for epoch in range(epochs):
             # The held-out rows are scored with the weights that the epoch before ended with.
-            held = _held_loss(units, steps, network, weights) if epoch and patience is not None else None
+            held = _held_loss(units, parts, network, weights) if epoch and patience is not None else None
             if held is not None:
                 best, waited = (held, 0) if held < best else (best, waited + 1)
                 if waited >= max(patience, 1):
                     break
             trained = loss = 0.0
-            for number in np.random.default_rng([seed, epoch]).permutation(steps).tolist():
-                rows, lost, grad = _batch_gradient(units, number, network, weights, (seed, epoch))
-                if not rows:
-                    continue
-                before = weights.copy()
-                rule.step(weights, grad, memory, counters)
-                weights = before + stretch * (weights - before)
-                trained, loss = trained + rows, loss + lost
+            if big:
+                for number in np.random.default_rng([seed, epoch]).permutation(parts).tolist():
+                    rows, lost, grad = _batch_gradient(units, number, network, weights, (seed, epoch))
+                    if not rows:
+                        continue
+                    rule.step(weights, grad, memory, counters)
+                    trained, loss = trained + rows, loss + lost
+            else:
+                state = np.concatenate([weights, memory.ravel(), counters])
+
+                def epoch_of(x: np.ndarray, copies: np.ndarray, chunk: tuple[int, int]) -> np.ndarray:
+                    rng = np.random.default_rng([seed, epoch, chunk[0]])
+                    return _train(x, copies, rng, network, rule, state, batch_size, lanes)
+
+                total = units.add_up(epoch_of, len(state) + 2, 0, chunk_rows=None)
+                if total[0]:
+                    trained, loss, state = total[0], total[1], total[2:] / total[0]
+                    p = len(weights)
+                    weights, memory, counters = state[:p], state[p:-2].reshape(memory.shape), state[-2:]
             losses.append(loss / max(trained, 1.0))
     finally:
         units.release()

@@ -50,14 +50,19 @@ class Units:
     count: int
     tables: Scratch
 
-    def add_up(self, kernel: Kernel, length: int, part: int | None = None) -> np.ndarray:
-        """Sum of ``kernel``, a vector of ``length``, over all rows, or over one part of them."""
+    def add_up(
+        self, kernel: Kernel, length: int, part: int | None = None, chunk_rows: int | None = CHUNK_ROWS
+    ) -> np.ndarray:
+        """Sum of ``kernel``, a vector of ``length``, over all rows, or over one part of them.
+
+        The kernel gets ``chunk_rows`` rows at once, or a whole unit with None.
+        """
         rows = self.rows if part is None else self.rows.where(F.col("part") == part)
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, total = None, None
-            for unit, number, x, w in chunks(batches, width):
+            for unit, number, x, w in chunks(batches, width, chunk_rows):
                 if unit != at:
                     if at is not None:
                         yield _partial(at, total)
@@ -78,8 +83,10 @@ def _partial(unit: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), to_lists(total[None, :])], names=["unit", "v"])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(unit, number of the chunk, features, copies), CHUNK_ROWS rows at a time, fewer at a unit's end.
+def chunks(
+    batches: Iterator[pa.RecordBatch], width: int, most: int | None = CHUNK_ROWS
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(unit, number of the chunk, features, copies), ``most`` rows at a time, fewer at a unit's end.
 
     Rows come sorted by unit; where Arrow cuts them has no effect.
     """
@@ -102,11 +109,11 @@ def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
                 unit, number, held, size = int(units[a]), 0, [], 0
             held.append((matrix[a:b], copies[a:b]))
             size += b - a
-            while size >= CHUNK_ROWS:
+            while most is not None and size >= most:
                 x, w = joined()
-                yield unit, number, x[:CHUNK_ROWS], w[:CHUNK_ROWS]
+                yield unit, number, x[:most], w[:most]
                 number += 1
-                held, size = [(x[CHUNK_ROWS:], w[CHUNK_ROWS:])], size - CHUNK_ROWS
+                held, size = [(x[most:], w[most:])], size - most
     if size:
         yield unit, number, *joined()
 
@@ -119,19 +126,27 @@ def deal(
     parts: int = 1,
     also: Sequence[Column] = (),
     rows_per_unit: int = UNIT_ROWS,
+    count: int | None = None,
+    most: int | None = None,
 ) -> Units:
     """The rows of ``df`` in units, persisted. ``n`` is their number.
 
     ``part`` cuts the table in ``parts`` that are added up one by one; every part is
-    spread over all units. ``also`` tells rows apart that hold equal features.
+    spread over all units. ``also`` tells rows apart that hold equal features. ``count`` is the
+    number of units, if it does not follow from ``rows_per_unit``. A row with over ``most`` copies
+    becomes several, in units of their own.
     """
-    count = number_of_units(math.ceil(n / parts), rows_per_unit)
+    count = count or number_of_units(math.ceil(n / parts), rows_per_unit)
     f = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     keys = [f"k{i}" for i in range(len(also))]
     rows = df.select(
         (F.lit(0) if part is None else part).cast("int").alias("part"), f.alias("f"), *[c.alias(k) for c, k in zip(also, keys)]
     )
     rows = rows.groupBy("part", "f", *keys).agg(F.count(F.lit(1)).alias("w"))
+    if most is not None:
+        piece = F.explode(F.sequence(F.lit(0), F.ceil(F.col("w") / most) - 1))
+        rows = rows.withColumn("piece", piece).withColumn("w", F.least(F.lit(most), F.col("w") - F.col("piece") * most))
+        keys = [*keys, "piece"]
     rows = rows.withColumn("unit", F.pmod(F.xxhash64("f", *keys), F.lit(count)))
     # Written once: a fit asks for many passes, and each would plan all that lies before.
     tables = Scratch(df.sparkSession)
