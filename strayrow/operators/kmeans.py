@@ -20,18 +20,23 @@ from strayrow.operators.frame import fit_rows
 from strayrow.operators.stats import collect_stats
 from strayrow.operators.svm import hashed_rows
 from strayrow.operators.threshold import contamination_threshold
-from strayrow.operators.units import Units, deal
+from strayrow.operators.units import Places, Units, deal
 from strayrow.session import SMALL_ROWS, spread
 
 MAX_EXPRESSION_TERMS = 256
 MAX_ITER = 300
 # Distance that a centroid may still move when a fit ends.
 TOLERANCE = 1e-4
+# Distinct rows that tell which rows lie close.
+PLACE_ROWS = 1 << 15
 # Distinct rows that starts are drawn from, and rows of a work unit: a unit's sums hold all centroids.
 START_ROWS = 4096
 LLOYD_ROWS = 4096
 # Distances of rows to the centroids of one fit held at a time.
 STEP_CELLS = 1 << 15
+# Rows that lie close and leave out centroids together, and the allowance for rounding there.
+BOX_ROWS = 1024
+BOX_SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -130,6 +135,22 @@ class Fit:
     converged: bool = False
 
 
+def _possible(matrix: np.ndarray, centroids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which centroids can be the nearest of their fit to any of the rows.
+
+    Not those that are farther from the rows' box than another is from its farthest corner.
+    """
+    low, high = matrix.min(axis=0), matrix.max(axis=0)
+    gap = np.maximum(np.maximum(low - centroids, centroids - high), 0.0)
+    near = np.einsum("ij,ij->i", gap, gap)
+    reach = np.maximum(high - centroids, centroids - low)
+    far = np.einsum("ij,ij->i", reach, reach)
+    most = np.minimum.reduceat(far, first[:-1])
+    # distances are compared in product form, whose rounding follows from the largest of them
+    most = most * (1 + BOX_SLACK) + 1e-14 * far.max()
+    return near <= np.repeat(most, np.diff(first))
+
+
 def lloyd(units: Units, fits: Sequence[Fit], max_iter: int = MAX_ITER, tol: float = TOLERANCE) -> None:
     """Move the centroids of all fits to the means of their rows until they rest, one scan a step.
 
@@ -152,22 +173,36 @@ def lloyd(units: Units, fits: Sequence[Fit], max_iter: int = MAX_ITER, tol: floa
         def add_up(matrix: np.ndarray, copies: np.ndarray, _) -> np.ndarray:
             total = np.zeros((len(centroids), width + 1))
             inertia = np.zeros(len(first) - 1)
+            possible = _possible(matrix, centroids, first)
+            left = np.add.reduceat(possible, first[:-1], dtype=np.int64)
+            # All rows of the box go to the only centroid that can be nearest.
+            alone = left == 1
+            mine = np.flatnonzero(possible & np.repeat(alone, np.diff(first)))
+            n, sums = copies.sum(), copies @ matrix
+            total[mine, 0], total[mine, 1:] = n, sums
+            mean = sums / n
+            within = (copies * ((matrix - mean) ** 2).sum(axis=1)).sum()
+            inertia[alone] = within + n * ((mean - centroids[mine]) ** 2).sum(axis=1)
             moved = np.column_stack([matrix - middle, np.ones(len(matrix))])
             sums = [copies, *(copies * matrix[:, j] for j in range(width))]
             best = np.empty(len(matrix), dtype=np.int64)
-            for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                mine = np.ascontiguousarray(table[:, a:b])
+            for i in np.flatnonzero(~alone):
+                mine = np.flatnonzero(possible[first[i] : first[i + 1]]) + first[i]
+                few = np.ascontiguousarray(table[:, mine])
                 # few rows at once, whose distances stay in the cache
-                step = max(1, STEP_CELLS // (b - a))
+                step = max(1, STEP_CELLS // len(mine))
                 for start in range(0, len(matrix), step):
                     part = slice(start, start + step)
-                    best[part] = (moved[part] @ mine).argmin(axis=1)
+                    best[part] = (moved[part] @ few).argmin(axis=1)
                 for j, values in enumerate(sums):
-                    total[a:b, j] = np.bincount(best, values, b - a)
-                inertia[i] = (copies * ((matrix - centroids[a + best]) ** 2).sum(axis=1)).sum()
+                    total[mine, j] = np.bincount(best, values, len(mine))
+                square = np.zeros(len(matrix))
+                for j in range(width):
+                    square += (matrix[:, j] - centroids[mine, j].take(best)) ** 2
+                inertia[i] = square @ copies
             return np.concatenate([total.ravel(), inertia])
 
-        found = units.add_up(add_up, len(centroids) * (width + 1) + len(moving))
+        found = units.add_up(add_up, len(centroids) * (width + 1) + len(moving), None, BOX_ROWS)
         total = found[: -len(moving)].reshape(-1, width + 1)
         for i, fit in enumerate(moving):
             mine = total[first[i] : first[i + 1]]
@@ -196,10 +231,11 @@ def fit_every_k(
     n = df.count()
     if not n:
         raise ValueError("cannot fit on an empty table")
-    sample, copies = hashed_rows(df, features, n, START_ROWS, seed)
-    starts = [spread_out(sample, copies, max(ks), seed + i) for i in range(n_init)]
+    # In the order of their hashes, so the first of them are a sample too.
+    near, copies = hashed_rows(df, features, n, max(START_ROWS, PLACE_ROWS), seed)
+    starts = [spread_out(near[:START_ROWS], copies[:START_ROWS], max(ks), seed + i) for i in range(n_init)]
     fits = [Fit(k, start[:k]) for start in starts for k in ks]
-    units = deal(df, features, n, rows_per_unit=LLOYD_ROWS)
+    units = deal(df, features, n, rows_per_unit=LLOYD_ROWS, places=Places.of(near))
     try:
         lloyd(units, fits, max_iter, tol)
     finally:

@@ -6,6 +6,9 @@ in chunks of fixed length in a fixed order, and the units' sums are added in the
 their numbers. How many partitions, tasks or executors there are has no part in it, so a
 fit gives the same bits on a laptop and on a cluster, and after a lost executor.
 
+Where a kernel gains from rows that lie close, units are leaves of a tree over a sample of the rows,
+which is fixed by the data too.
+
 Copies of a row are one row with a count, so a value that fills a third of the table
 weighs no more on its unit than any other.
 """
@@ -22,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.functions.arrow import sum_vectors, to_lists, to_matrix
+from strayrow.functions.arrow import FEW_VECTORS, sum_vectors, to_lists, to_matrix
 from strayrow.session import Scratch
 
 # Rows aimed at per unit; beyond the largest number of units they grow.
@@ -32,6 +35,11 @@ MAX_UNITS = 4096
 TASK_ROWS = 100_000
 # Rows that a kernel gets at once.
 CHUNK_ROWS = 4096
+# Rows that lie close in a unit, where smaller units would be more than the driver adds up.
+CLOSE_ROWS = 65_536
+# Sampled rows of a place, and the greatest depth of the tree that leads there.
+LEAF_SAMPLE = 8
+MAX_DEPTH = 12
 
 # Sum over the rows of a matrix with their numbers of copies; the last argument is the unit and chunk.
 Kernel = Callable[[np.ndarray, np.ndarray, tuple[int, int]], np.ndarray]
@@ -118,6 +126,51 @@ def chunks(
         yield unit, number, *joined()
 
 
+@dataclass(frozen=True)
+class Places:
+    """A binary tree over a sample of rows: each node cuts the widest feature at its median."""
+
+    axis: np.ndarray
+    cut: np.ndarray
+    depth: int
+
+    @property
+    def leaves(self) -> int:
+        return 1 << self.depth
+
+    @classmethod
+    def of(cls, sample: np.ndarray) -> Places:
+        depth = max(0, min(MAX_DEPTH, int(math.log2(max(len(sample) / LEAF_SAMPLE, 1)))))
+        axis, cut = np.zeros((1 << depth) - 1, dtype=np.int64), np.full((1 << depth) - 1, np.inf)
+        held = {0: sample}
+        for node in range(len(axis)):
+            x = held.pop(node)
+            if len(x):
+                axis[node] = at = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
+                cut[node] = np.median(x[:, at])
+            right = x[:, axis[node]] > cut[node]
+            held[2 * node + 1], held[2 * node + 2] = x[~right], x[right]
+        return cls(axis, cut, depth)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[rows, self.axis[node]] > self.cut[node])
+        return node - len(self.axis)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """The rows ``(..., f)`` with the leaf of each as ``place``."""
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    f = batch.column("f")
+                    leaf = self.leaf(to_matrix(f, len(f.flatten()) // len(f)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=[*batch.schema.names, "place"])
+
+        fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+        return rows.mapInArrow(place, f"{fields}, place long")
+
+
 def deal(
     df: DataFrame,
     features: Sequence[str],
@@ -128,13 +181,15 @@ def deal(
     rows_per_unit: int = UNIT_ROWS,
     count: int | None = None,
     most: int | None = None,
+    places: Places | None = None,
 ) -> Units:
     """The rows of ``df`` in units, persisted. ``n`` is their number.
 
     ``part`` cuts the table in ``parts`` that are added up one by one; every part is
     spread over all units. ``also`` tells rows apart that hold equal features. ``count`` is the
     number of units, if it does not follow from ``rows_per_unit``. A row with over ``most`` copies
-    becomes several, in units of their own.
+    becomes several, in units of their own. With ``places``, units hold rows that lie close,
+    in that order, and their number follows from the distinct rows.
     """
     count = count or number_of_units(math.ceil(n / parts), rows_per_unit)
     f = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
@@ -147,12 +202,27 @@ def deal(
         piece = F.explode(F.sequence(F.lit(0), F.ceil(F.col("w") / most) - 1))
         rows = rows.withColumn("piece", piece).withColumn("w", F.least(F.lit(most), F.col("w") - F.col("piece") * most))
         keys = [*keys, "piece"]
-    rows = rows.withColumn("unit", F.pmod(F.xxhash64("f", *keys), F.lit(count)))
+    if places is None:
+        rows = rows.withColumn("unit", F.pmod(F.xxhash64("f", *keys), F.lit(count)))
     # Written once: a fit asks for many passes, and each would plan all that lies before.
     tables = Scratch(df.sparkSession)
     rows = tables(rows, "units")
+    if places is not None:
+        n = rows.count()
+        each = max(rows_per_unit, min(CLOSE_ROWS, math.ceil(n / FEW_VECTORS)))
+        # The units of a leaf, or the leaves of a unit.
+        count = number_of_units(n, each)
+        split = math.ceil(count / places.leaves)
+        count = count if split == 1 else split * places.leaves
+        first = F.floor(F.col("place") * count / places.leaves)
+        rows = places.add(rows).withColumn("unit", (first + F.pmod(F.xxhash64("f"), F.lit(split))).cast("long"))
     # Sorted by part, so that a pass over one of them skips the stored batches of the others.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = min(count, max(cores, math.ceil(n / TASK_ROWS)))
-    rows = rows.repartition(tasks, "unit").sortWithinPartitions("part", "unit", "f", *keys)
+    if places is None:
+        tasks = min(count, max(cores, math.ceil(n / TASK_ROWS)))
+        rows = rows.repartition(tasks, "unit").sortWithinPartitions("part", "unit", "f", *keys)
+    else:
+        # Units differ in their work, so tasks get as many of them each, and there are some to spare.
+        tasks = min(count, max(4 * cores, math.ceil(n / TASK_ROWS)))
+        rows = rows.repartitionByRange(tasks, "unit").sortWithinPartitions("part", "unit", "place", "f", *keys)
     return Units(rows.select("part", "unit", "w", "f").persist(StorageLevel.MEMORY_AND_DISK), len(features), count, tables)
