@@ -148,7 +148,8 @@ def _possible(matrix: np.ndarray, centroids: np.ndarray, first: np.ndarray) -> n
     most = np.minimum.reduceat(far, first[:-1])
     # distances are compared in product form, whose rounding follows from the largest of them
     most = most * (1 + BOX_SLACK) + 1e-14 * far.max()
-    return near <= np.repeat(most, np.diff(first))
+    # a missing cell leaves out nothing
+    return ~(near > np.repeat(most, np.diff(first)))
 
 
 def lloyd(units: Units, fits: Sequence[Fit], max_iter: int = MAX_ITER, tol: float = TOLERANCE) -> None:

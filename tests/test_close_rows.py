@@ -66,3 +66,14 @@ def test_fits_have_the_same_bits_for_every_partitioning(spark, monkeypatch):
     one, other = (kmeans.fit_every_k(table(spark, x).repartition(p), f, range(1, 12)) for p in (1, 9))
     for k in one:
         assert np.array_equal(one[k].centroids, other[k].centroids) and one[k].inertia == other[k].inertia
+
+
+def test_rows_with_missing_cells_leave_out_nothing(spark, monkeypatch):
+    x = np.random.default_rng(5).standard_normal((200, 2))
+    df = table(spark, x).withColumn("f1", F.when(F.col("id") % 40 != 3, F.col("f1")))
+    few = kmeans.fit_every_k(df, ["f0", "f1"], range(1, 6), max_iter=3)
+    monkeypatch.setattr(kmeans, "_possible", lambda m, c, first: np.ones(len(c), dtype=bool))
+    plain = kmeans.fit_every_k(df, ["f0", "f1"], range(1, 6), max_iter=3)
+    for k, fit in few.items():
+        assert np.array_equal(fit.counts, plain[k].counts) and fit.counts.sum() == 200
+        assert np.allclose(fit.centroids, plain[k].centroids, equal_nan=True)
